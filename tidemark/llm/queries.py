@@ -45,3 +45,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_near_dedup"] = op7_near_dedup
+
+
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op3_quality_resampling"] = op3_quality_resampling
