@@ -54,3 +54,12 @@ def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_quality_resampling"] = op3_quality_resampling
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op4_toxicity"] = op4_toxicity
