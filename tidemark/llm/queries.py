@@ -63,3 +63,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_toxicity"] = op4_toxicity
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+QUERIES["op6_packing"] = op6_packing
