@@ -72,3 +72,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_packing"] = op6_packing
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+QUERIES["op9_warc"] = op9_warc
+#: On whole tables; SHA-1 comes from DuckDB's own function.
+ORACLES["op9_warc"] = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as payload_bytes, sha1(body) as payload_digest, max(page_id) over (partition by body) as largest from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> largest then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> largest then largest end as refers_to
+from d
+"""
