@@ -90,3 +90,23 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
        case when payload_bytes >= 1000 and page_id <> largest then largest end as refers_to
 from d
 """
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+QUERIES["op2_exact_topk"] = op2_exact_topk
+ORACLES["op2_exact_topk"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
