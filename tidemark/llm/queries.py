@@ -110,3 +110,15 @@ s as (
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
 """
+
+#: The rules of op1's contract: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.urls import judged
+
+    return judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES["op1_url_filters"] = op1_url_filters
