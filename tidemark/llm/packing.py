@@ -23,30 +23,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import flat, slices, written
 
 CAPACITY = 2048
 #: Pieces of a length are ranked in so many buckets at least, and in one for each BUCKET_ROWS pieces of the corpus.
 BUCKETS, BUCKET_ROWS = 64, 1_000_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: New words after which a worker forgets those not used since the last time, and bytes of text that are encoded together.
+REMEMBERED, TOGETHER = 150_000, 2 << 20
 
 #: Texts of these characters need no normalization but lower case, and their words are found by WORD (Latin letters and signs).
 PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-į]*")
 WORD = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-į]+|[0-9]|[^\\sa-zß-öø-į0-9]+")
 
 
-class Encoder(dict):
-    """Ids of texts, as little-endian unsigned 32-bit numbers; a dictionary from words to theirs.
+class Encoder:
+    """Ids of texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and encodes each word for itself, so the words of a plain text are looked up and only new
-    ones are encoded; other texts go to the library whole.
+    ones are encoded; other texts go to the library whole. Words not used for a while are forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -54,16 +55,25 @@ class Encoder(dict):
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = self.library(word)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.library(text)
-        return b"".join(map(self.__getitem__, WORD.findall(text.lower())))
+    def learn(self, words: list[str]) -> None:
+        """Encode new words together: parted by blanks they stay words."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        cuts = (np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1)) * 4).tolist()
+        self.recent.update(zip(words, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that several of them share are looked for once."""
+        split = [None if "<|" in t or not PLAIN.fullmatch(t) else WORD.findall(t.lower()) for t in texts]
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.older = {}, self.recent
+        new = list(set().union(*(w for w in split if w)).difference(self.recent))
+        known = self.older
+        self.recent.update((w, known[w]) for w in new if w in known)
+        new = [w for w in new if w not in known]
+        for i in range(0, len(new), 5000):
+            self.learn(new[i : i + 5000])
+        return [self.library(t) if w is None else b"".join(map(self.recent.__getitem__, w)) for t, w in zip(texts, split)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -76,10 +86,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
+
+        def encoded(texts: pa.Array) -> Iterator[bytes]:
+            for a, b in slices(flat(texts)[1], TOGETHER):
+                yield from encoder.encode_all([t or "" for t in texts.slice(a, b - a).to_pylist()])
+
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + b"\0\0\0\0"
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
+                ids += b"\0\0\0\0"
                 for n, a in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[a : a + 4 * capacity]
                     row = (doc, n, a // 4, len(part) // 4, zlib.crc32(part))
