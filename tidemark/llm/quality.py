@@ -18,8 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import flat, slices, written
 from tidemark.llm.texthash import BYTE_VALUE, mix, span_hashes
@@ -27,8 +28,8 @@ from tidemark.llm.texthash import BYTE_VALUE, mix, span_hashes
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
 TEMPERATURE, CUT = 0.05, -3.0
-#: Pseudo-counts added to every bucket of either model.
-PRIOR = 1.0
+#: Pseudo-counts added to every bucket of either model, and those by which the target model is drawn towards the raw one (a bucket's mean).
+PRIOR, SHRINK = 1.0, 20.0
 
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 word, 2 punctuation
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -87,25 +88,33 @@ def log_ratios(docs: DataFrame, good_ids: DataFrame) -> np.ndarray:
     if target.sum() == BUCKETS * PRIOR:
         return np.zeros(BUCKETS)
     # The smaller model is smoothed towards the raw one, so that what the target has not seen is not held against a text.
-    target += 2 * BUCKETS * PRIOR * raw / raw.sum()
+    target += SHRINK * BUCKETS * raw / raw.sum()
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
 def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """``doc_id, n_features, log_weight`` of every row."""
+    """``docs`` (doc_id, text and any others) with n_features and log_weight in place of text."""
     model = docs.sparkSession.sparkContext.broadcast(ratios)
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    names = [f.name for f in others]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = flat(batch.column(1))
+            data, off = flat(batch.column("text"))
             n, total = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1)
             for a, b in slices(off):
                 bucket, text = features(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 n[a:b] = np.bincount(text, minlength=b - a)
                 total[a:b] = np.bincount(text, model.value[bucket], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(np.round(total, 9))], ["doc_id", "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n), pa.array(np.round(total, 9))], [*names, "n_features", "log_weight"])
+
+    return docs.mapInArrow(weigh, T.StructType([*others, T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())]))
 
-    return docs.select("doc_id", "text").mapInArrow(weigh, "doc_id long, n_features long, log_weight double")
+
+def gumbel_key(temperature: float) -> Column:
+    """Log weight over temperature, plus the noise of the document's id."""
+    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return F.col("log_weight") / temperature - F.log(-F.log(uniform))
 
 
 def kth_largest(rows: DataFrame, key: str, k: int) -> float:
@@ -126,14 +135,27 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float:
     return high
 
 
-def resampled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", temperature: float = TEMPERATURE, cut: float = CUT, k: int | None = None) -> DataFrame:
-    """``doc_id, n_features, log_weight, gumbel_key, sampled`` of every row of ``docs``; ``labels`` has doc_id and quality (0 or 1)."""
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+def _sampling(docs: DataFrame, labels: DataFrame, temperature: float, cut: float, k: int | None) -> tuple[DataFrame, np.ndarray, float]:
+    """Weights and keys of ``doc_id, text``, the models' log ratios, and the key from which on a row is sampled."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
-    uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = weighed(docs, log_ratios(docs, good)).withColumn("gumbel_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
-    rows = written(rows, "weighed")
+    ratios = log_ratios(docs, good)
+    rows = written(weighed(docs, ratios).withColumn("gumbel_key", gumbel_key(temperature)), "weighed")
     if k is None:
         k = rows.agg(F.count_if(F.col("log_weight") >= cut)).first()[0]
     least = kth_largest(rows, "gumbel_key", k) if k else float("inf")
-    return rows.withColumn("sampled", F.col("gumbel_key") >= least if least is not None else F.lit(True))
+    return rows, ratios, float("-inf") if least is None else least
+
+
+def resampled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", temperature: float = TEMPERATURE, cut: float = CUT, k: int | None = None) -> DataFrame:
+    """``doc_id, n_features, log_weight, gumbel_key, sampled`` of every row of ``docs``; ``labels`` has doc_id and quality (0 or 1)."""
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows, _, least = _sampling(docs, labels, temperature, cut, k)
+    return rows.withColumn("sampled", F.col("gumbel_key") >= least)
+
+
+def sampled_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, cut: float = CUT, k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text, and any others) that are sampled, unchanged and without a shuffle: a second pass weighs them again."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    _, ratios, least = _sampling(narrow, labels, temperature, cut, k)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return weighed(whole, ratios).where(gumbel_key(temperature) >= least).select("row.*")
