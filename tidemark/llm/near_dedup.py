@@ -11,8 +11,9 @@ sketches agree in a register about as often as the sets overlap.
    other one. Pairs whose sizes cannot reach the threshold go; so do those whose joint estimate by maximum likelihood
    lies MARGIN below it. The rest are confirmed on the full sets, which are made again from the texts
    of only those documents.
+   The EARLY bands go first: what they link needs no pair from the other bands.
 3. Components of the confirmed links label the nodes. Buckets that still hold several components are compared
-   in blocks: within a task all nodes of two blocks by their estimate, never as rows, and what may link is confirmed too.
+   in blocks: within a task all nodes of two blocks, by their estimate and then on their full sets; only links leave it.
    So a group of any size costs one pair a member once its members are linked, and no bucket is capped.
 
 A pair at the very threshold shares no band with probability (1 - 0.75 ** ROWS) ** BANDS, about 2e-6; links above it
@@ -38,14 +39,14 @@ from tidemark.llm.components import components
 from tidemark.llm.texthash import mix, shingles, words
 
 SHINGLE = 5
-ROWS, BANDS = 5, 48
+ROWS, BANDS, EARLY = 5, 48, 4
 REGISTERS = ROWS * BANDS
 #: The scale of the registers: base of the spacing, rate, and the largest value.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
-#: A pair is confirmed on the full sets if its estimate is no more than this below the threshold (over 5 standard deviations).
-MARGIN = 0.16
+#: A pair is confirmed on the full sets if its estimate is no more than this below the threshold (over 4 standard deviations).
+MARGIN = 0.13
 #: Nodes of a block when a bucket of several components is compared.
-BLOCK = 256
+BLOCK = 1024
 
 _rng = np.random.default_rng(77)
 _LOW = _rng.integers(1, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -78,24 +79,25 @@ def band_keys(reg: np.ndarray) -> np.ndarray:
     return mix(total ^ _BAND_SEEDS).view(np.int64)
 
 
+def _log_likelihood(j: np.ndarray, u: np.ndarray, more: np.ndarray, less: np.ndarray, m: int) -> np.ndarray:
+    """Of similarity ``j``, for sets of which the first has the share ``u`` of both sizes together."""
+
+    def p(x: np.ndarray) -> np.ndarray:
+        return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
+
+    tiny = 1e-12
+    a, b = np.maximum(p(u - (1 - u) * j), tiny), np.maximum(p((1 - u) - u * j), tiny)
+    return more * np.log(a) + less * np.log(b) + (m - more - less) * np.log(np.maximum(1 - a - b, tiny))
+
+
 _GRID = np.linspace(0, 1, 201)
 
 
 def estimate(n_a: np.ndarray, n_b: np.ndarray, more: np.ndarray, less: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     """Similarity of largest joint likelihood, given set sizes and how many registers of a exceed (``more``) or fall short (``less``)."""
     u = (n_a / (n_a + n_b))[:, None]
-    v = 1 - u
-    top = np.minimum(u / v, v / u)
-    j = _GRID[None, :] * top
-
-    def p(x: np.ndarray) -> np.ndarray:
-        return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-
-    tiny = 1e-12
-    a, b = np.maximum(p(u - v * j), tiny), np.maximum(p(v - u * j), tiny)
-    rest = np.maximum(1 - a - b, tiny)
-    more, less = more[:, None], less[:, None]
-    score = more * np.log(a) + less * np.log(b) + (m - more - less) * np.log(rest)
+    j = _GRID[None, :] * np.minimum(u / (1 - u), (1 - u) / u)
+    score = _log_likelihood(j, u, more[:, None], less[:, None], m)
     return np.take_along_axis(j, score.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
@@ -125,15 +127,16 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
-    """``key, node``: a row for each band of each node."""
+    """``key, node, early``: a row for each band of each node; ``early`` marks the first EARLY bands."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(1).to_pylist()]
             node = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(node, pa.int64())], ["key", "node"])
+            early = np.tile(np.arange(BANDS) < EARLY, len(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(node, pa.int64()), pa.array(early)], ["key", "node", "early"])
 
-    return nodes.select("node", "reg").mapInArrow(bands, "key long, node long")
+    return nodes.select("node", "reg").mapInArrow(bands, "key long, node long, early boolean")
 
 
 def _likely(n_a, n_b, reg_a, reg_b, threshold: float) -> np.ndarray:
@@ -144,7 +147,10 @@ def _likely(n_a, n_b, reg_a, reg_b, threshold: float) -> np.ndarray:
     out &= REGISTERS - more - less >= REGISTERS * (threshold - 2 * MARGIN)
     at = np.flatnonzero(out)
     if len(at):
-        out[at] = estimate(n_a[at], n_b[at], more[at], less[at]) >= threshold - MARGIN
+        # The likelihood has one peak: the estimate lies above a value if it still rises there.
+        u, level = n_a[at] / (n_a[at] + n_b[at]), threshold - MARGIN
+        rises = [_log_likelihood(level + d, u, more[at], less[at], REGISTERS) for d in (0, 0.002)]
+        out[at] = rises[1] >= rises[0]
     return out
 
 
@@ -167,56 +173,71 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "reg_a", "reg_b").mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. ``docs``: doc_id, text; only texts of the pairs' nodes are hashed again."""
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, shingles`` (64-bit hashes, ascending) of the ``node`` ids, made again from their texts."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for part in _sets(batch.column(1)) for s in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    sets = written(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(full, "node long, shingles binary"), "sets")
+    # A hashed join at any size: the ids are no table to broadcast.
+    wanted = nodes.select(F.col("node").alias("doc_id")).distinct().hint("shuffle_hash")
+    return written(docs.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(full, "node long, shingles binary"), "sets")
+
+
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    pairs = written(pairs, "pairs")
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            ok = [_linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "s_a", "s_b").mapInArrow(link, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a bucket and may link. ``members``: key, node, component, size.
+def _across(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of different components that share a bucket. ``members``: key, node, component, size.
 
-    A bucket is dealt into blocks of about BLOCK nodes, and every two of its blocks are compared in one task.
+    A bucket is dealt into blocks of about BLOCK nodes, and every two of its blocks meet in one task. There a pair is looked at in the
+    first band it shares only, by its estimate and then on the full sets, and only links leave the task.
     """
+    members = written(members, "members")
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), count).cast("int")
     dealt = members.withColumn("count", count).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component")
-    dealt = dealt.join(nodes.select("node", "n_shingles", "reg"), "node")
+    dealt = dealt.join(nodes.select("node", "n_shingles", "reg"), "node").join(_full_sets(members.select("node"), docs), "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node")
-        one = group[group.block == group.one]
-        two = group[group.block == group.two]
+        one, two = group[group.block == group.one], group[group.block == group.two]
+        within = bool(group.one.iloc[0] == group.two.iloc[0])
         reg_one, reg_two = _matrix(list(one.reg)), _matrix(list(two.reg))
-        n_two, c_two, id_two = two.n_shingles.to_numpy(), two.component.to_numpy(), two.node.to_numpy()
+        keys_one, keys_two = np.array([band_keys(r) for r in reg_one]), np.array([band_keys(r) for r in reg_two])
+        n_two, c_two, id_two, s_two = two.n_shingles.to_numpy(), two.component.to_numpy(), two.node.to_numpy(), list(two.shingles)
         a, b = [], []
-        for node, n, c, reg in zip(one.node, one.n_shingles, one.component, reg_one):
-            at = np.flatnonzero((c_two != c) & (id_two != node))
+        for node, n, c, s, reg, keys, key in zip(one.node, one.n_shingles, one.component, one.shingles, reg_one, keys_one, one.key):
+            same = keys_two == keys
+            later = id_two > node if within else id_two != node
+            at = np.flatnonzero((c_two != c) & later & (same.argmax(axis=1) == int((keys == key).argmax())))
             if len(at):
                 at = at[_likely(np.full(len(at), n), n_two[at], np.broadcast_to(reg, (len(at), REGISTERS)), reg_two[at], percent / 100)]
-                a += np.minimum(node, id_two[at]).tolist()
-                b += np.maximum(node, id_two[at]).tolist()
+            for i in at.tolist():
+                if _linked(s, s_two[i], percent):
+                    a.append(node)
+                    b.append(id_two[i])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return dealt.groupBy("key", "one", "two").applyInPandas(compare, "a long, b long").distinct()
@@ -232,15 +253,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = _banded(nodes)
     least = rows.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
     shared = written(rows.join(least, "key"), "buckets")
-    stars = shared.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_confirmed(_estimated(stars, nodes, percent), docs, percent), "links")
+    pair = [F.col("center").alias("a"), F.col("node").alias("b")]
+    first = shared.where("early and node <> center").select(*pair).distinct()
+    links = written(_confirmed(_estimated(first, nodes, percent), docs, percent), "links")
+    labels = written(components(links), "labels")
+    # What the first bands joined needs no pair from the others.
+    center = labels.select(F.col("node").alias("center"), F.col("component").alias("to"))
+    apart = shared.where("node <> center").join(labels, "node", "left").join(center, "center", "left").where(F.coalesce("component", "node") != F.coalesce("to", "center"))
+    then = written(apart.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    links = written(links.unionByName(_confirmed(_estimated(then, nodes, percent), docs, percent)), "links")
     # A node's other classes, where one doc_id has several texts, need no link: they share the id.
-    labels = components(links)
+    labels = written(components(links), "labels")
     labelled = shared.where("size > 2").select("key", "node", "size").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    across = _across(labelled.join(mixed, "key", "left_semi"), nodes, percent)
-    tried = across.join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(tried, docs, percent), "links")
+    more = written(_across(labelled.join(mixed, "key", "left_semi"), nodes, docs, percent), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     members = some.select("doc_id", "sig_a", "sig_b", "n_shingles").join(nodes.drop("reg"), ["sig_a", "sig_b", "n_shingles"]).select("doc_id", "node").distinct()
@@ -248,3 +274,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     out = seen.select("doc_id", "n_shingles").join(of, "doc_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text, and any others) without those whose group has a smaller doc_id."""
+    found = near_duplicates(docs, percent=percent)
+    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct().hint("shuffle_hash")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
