@@ -122,3 +122,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_url_filters"] = op1_url_filters
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sentencepiece import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES["op10_sentencepiece"] = op10_sentencepiece
