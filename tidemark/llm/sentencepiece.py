@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Documents are dealt into blocks of about BLOCK_BYTES of text. The distinct words of a block (a word keeps the blanks before it;
-no piece of the vocabulary reaches beyond one) are exploded into substrings of bounded length, which meet the piece table by an
+Documents are dealt into blocks of about BLOCK_BYTES of text. The distinct words of a block (a word keeps the blanks and signs before
+its letters; no piece of the vocabulary reaches beyond one) are exploded into substrings of bounded length, which meet the piece table by an
 equi-join; the edges are grouped by word, and a higher-order ``aggregate`` folds each word's lattice. A block's documents and
 its words then meet in one task, which puts the ids of words together and decodes them again.
 
@@ -18,21 +18,21 @@ encoding with byte fallback and without normalization, which ``Vocabulary`` chec
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The blank of pieces, and a word: blanks and what follows up to the next.
+#: The blank of pieces, and a word: blanks, what is no letter, letters; it ends before the next blank and after letters.
 BLANK = "▁"
-WORD = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
+WORD = f"{BLANK}*(?:[^{BLANK}%s]*[%s]+|[^{BLANK}%s]+)|{BLANK}+" % ((r"\p{L}",) * 3)
 LONGEST = 60
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 
 
 class Vocabulary:
@@ -55,7 +55,7 @@ class Vocabulary:
             self.text.append(b"" if control else piece.replace(BLANK, " ").encode())
             if not control:
                 self.pieces[piece] = (i, model.get_score(i))
-        if not any(self.bytes) or any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.pieces):
+        if not any(self.bytes) or any(regex.search(rf"[^{BLANK}]{BLANK}|\p{{L}}\P{{L}}", p) for p in self.pieces):
             raise ValueError(f"{path}: pieces must not reach over words and bytes must have pieces")
         if model.encode("ａ  b", out_type=str)[0] != BLANK:
             raise ValueError(f"{path}: the text must not be normalized")
@@ -149,7 +149,7 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
     words = dealt.select("block", "doc_id", each.alias("word")).groupBy("block", "word").agg(F.min("doc_id").alias("first_doc")).where(F.length("word") <= LONGEST)
     lattice = folded(words, vocabulary, ["block", "first_doc"])
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
-    word_pattern = re.compile(WORD)
+    word_pattern = regex.compile(WORD)
     pieces = vocabulary
 
     def put_together(texts: pa.Table, known: pa.Table) -> pa.Table:
