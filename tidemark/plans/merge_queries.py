@@ -263,9 +263,9 @@ def filter_amount_floor(spark, d):
 
 @register(
     "filter_screen",
-    """select p_partkey, p_name, p_retailprice, p_size from part where p_type like '%BRASS%' and p_retailprice <= 1500 and p_size between 5 and 40 order by p_retailprice desc nulls last, p_partkey limit 20""",
+    """select p_partkey, p_name, p_retailprice, p_size from part where p_type like '%ROM%' and p_retailprice <= 980 and p_size between 5 and 40 order by p_retailprice desc nulls last, p_partkey limit 20""",
     dates=(),
 )
 def filter_screen(spark, d):
-    p = B.read(spark, d, "part").where(c("p_type").contains("BRASS") & (c("p_retailprice") <= 1500) & c("p_size").between(5, 40))
+    p = B.read(spark, d, "part").where(c("p_type").contains("ROM") & (c("p_retailprice") <= 980) & c("p_size").between(5, 40))
     return p.orderBy(F.desc_nulls_last("p_retailprice"), "p_partkey").limit(20).select("p_partkey", "p_name", "p_retailprice", "p_size")

@@ -16,8 +16,8 @@ c = F.col
 
 
 def rounded(df: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
-    """Every other column as a double of so many places."""
-    return df.select(*keys, *(F.round(c(x).cast("double"), digits).alias(x) for x in df.columns if x not in keys))
+    """Every other column as a double of so many places, without negative zeros."""
+    return df.select(*keys, *((F.round(c(x).cast("double"), digits) + F.lit(0.0)).alias(x) for x in df.columns if x not in keys))
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
