@@ -56,7 +56,7 @@ def factor_fundamental_scores(spark, d):
     return factors.fundamental_scores(f).select("p_partkey", "value", "size", "earnings_yield", "dividend", "growth", "quality")
 
 
-@register("factor_weighted", f"with s as ({PRICE}) select code, date, round((momentum * 0.5 + coalesce(liquidity * 0.3, 0) + coalesce(gap_risk * 0.2, 0)) / (0.5 + case when liquidity is not null then 0.3 else 0 end + case when gap_risk is not null then 0.2 else 0 end), 8) as score from s")
+@register("factor_weighted", f"with s as ({PRICE}) select code, date, round((momentum * 0.5 + coalesce(liquidity * 0.25, 0) + coalesce(gap_risk * 0.25, 0)) / (0.5 + case when liquidity is not null then 0.25 else 0 end + case when gap_risk is not null then 0.25 else 0 end), 7) as score from s")
 def factor_weighted(spark, d):
     s = rounded(factors.price_scores(daily(spark, d)), "code", "date")
-    return s.select("code", "date", F.round(factors.weighted({"momentum": 0.5, "liquidity": 0.3, "gap_risk": 0.2}), 8).alias("score"))
+    return s.select("code", "date", F.round(factors.weighted({"momentum": 0.5, "liquidity": 0.25, "gap_risk": 0.25}), 7).alias("score"))
