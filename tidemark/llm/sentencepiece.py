@@ -2,8 +2,8 @@
 
 Documents are dealt into blocks of about BLOCK_BYTES of text. The distinct words of a block (a word keeps the blanks and signs before
 its letters; no piece of the vocabulary reaches beyond one) are exploded into substrings of bounded length, which meet the piece table by an
-equi-join; the edges are grouped by word, and a higher-order ``aggregate`` folds each word's lattice. A block's documents and
-its words then meet in one task, which puts the ids of words together and decodes them again.
+equi-join; the edges are grouped by word, and a higher-order ``aggregate`` folds each word's lattice to the places where its pieces
+end. A block's documents and its words then meet in one task, which puts the ids of words together and decodes them again.
 
 The vocabulary is byte-pair encoding, whose result is not the path of largest summed score: a Viterbi fold gives other
 pieces than the library. The fold therefore keeps the boundaries that still stand as bits of a number and, step by step, joins the two
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 BLANK = "▁"
 WORD = f"{BLANK}*(?:[^{BLANK}%s]*[%s]+|[^{BLANK}%s]+)|{BLANK}+" % ((r"\p{L}",) * 3)
 LONGEST = 60
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Vocabulary:
@@ -62,9 +63,10 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """``piece, id, score``; its size is the vocabulary's, whatever the corpus."""
-        rows = [(p, i, s) for p, (i, s) in self.pieces.items()]
-        return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
+        """``piece, rank`` of pieces of several characters, the best score first; its size is the vocabulary's, whatever the corpus."""
+        ranks = {score: n for n, score in enumerate(sorted({s for _, s in self.pieces.values()}, reverse=True))}
+        rows = [(p, ranks[s]) for p, (_, s) in self.pieces.items() if len(p) > 1]
+        return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "rank"]), "piece string, rank long")
 
     def merged(self, word: str) -> list[int]:
         """The ids of a word of any length, by a queue of neighbours that join."""
@@ -92,51 +94,77 @@ class Vocabulary:
                 offer(before[a])
         out, a = [], 0
         while a < n:
-            symbol = word[a : end[a]]
-            out += [self.pieces[symbol][0]] if symbol in self.pieces else [self.bytes[x] for x in symbol.encode()]
+            out += self.ids_of(word[a : end[a]])
             a = end[a]
         return out
 
+    def ids_of(self, symbol: str) -> list[int]:
+        """The id of a piece; of another character the ids of its bytes."""
+        return [self.pieces[symbol][0]] if symbol in self.pieces else [self.bytes[x] for x in symbol.encode()]
+
+    def cut(self, word: str, stand: int) -> list[int]:
+        """The ids of a word whose pieces end where ``stand`` has bits."""
+        out, a = [], 0
+        for b in range(1, len(word) + 1):
+            if stand >> b & 1:
+                out += self.ids_of(word[a:b])
+                a = b
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the blank that encoding puts before it."""
         text = b"".join(map(self.text.__getitem__, ids))
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit numbers, made when first asked for, from where their pieces end; ``lost`` holds words that decoding does not give back."""
+
+    def __init__(self, vocabulary: Vocabulary, stands: dict[str, int]):
+        super().__init__()
+        self.vocabulary, self.stands, self.lost = vocabulary, stands, set()
+
+    def __missing__(self, word: str) -> bytes:
+        stand = self.stands.get(word)
+        ids = self.vocabulary.cut(word, stand) if stand is not None else self.vocabulary.merged(word)
+        if b"".join(map(self.vocabulary.text.__getitem__, ids)) != word.replace(BLANK, " ").encode():
+            self.lost.add(word)
+        found = self[word] = array("I", ids).tobytes()
+        return found
+
+
 def folded(words: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
-    """``keys, word, ids`` of distinct rows ``keys, word`` with words of at most LONGEST characters."""
-    pieces = F.broadcast(vocabulary.table(words.sparkSession))
+    """``keys, word, stand`` of distinct rows ``keys, word`` with words of at most LONGEST characters: bit i of ``stand`` is set where a piece ends before character i.
+
+    Words in which no two characters make a piece are left out: their pieces are their characters.
+    """
+    ranked = F.broadcast(vocabulary.table(words.sparkSession))
     n = F.length("word")
-    starts = words.select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
-    parts = starts.select(*keys, "word", "a", F.explode(F.sequence(F.col("a") + 1, F.least(n, F.col("a") + vocabulary.longest))).alias("b"))
-    parts = parts.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("b") - F.col("a")))
-    # Characters that are no piece stay, as their bytes.
-    edges = parts.join(pieces, "piece", "left").where("id is not null or b = a + 1")
+    starts = words.select(*keys, "word", F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("a"))
+    parts = starts.where(n >= F.col("a") + 2).select(*keys, "word", "a", F.explode(F.sequence(F.col("a") + 2, F.least(n, F.col("a") + vocabulary.longest))).alias("b"))
+    edges = parts.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("b") - F.col("a"))).join(ranked, "piece")
+    # An edge as one number that sorts by rank, then by place.
+    lattice = edges.groupBy(*keys, "word").agg(F.sort_array(F.collect_list(F.col("rank") * 4096 + F.col("a") * 64 + F.col("b"))).alias("edges"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)
-    edge = F.struct((-F.col("score")).alias("cost"), "a", "b", "id", (bit(F.col("a")) + bit(F.col("b"))).alias("ends"), (bit(F.col("b")) - bit(F.col("a") + 1)).alias("inside"))
-    lattice = edges.groupBy(*keys, "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    lattice = lattice.withColumn("joins", F.filter("edges", lambda e: e["b"] > e["a"] + 1))
-
-    def step(stand, _):
-        fits = F.filter("joins", lambda e: (stand.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(stand.bitwiseAND(e["inside"])) == 1))
-        return stand.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inside"], F.lit(0).cast("long"))))
+    start, end = (lambda e: F.shiftright(e, 6).bitwiseAND(63).cast("int")), (lambda e: e.bitwiseAND(63).cast("int"))
+    done = -(2**63)  # the sign bit: no edge fits any more, and the steps left are skipped
 
-    all_places = bit(F.length("word") + 1) - 1
-    lattice = lattice.withColumn("stand", F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - 1)), all_places, step))
-    taken = F.filter("edges", lambda e: (F.col("stand").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("stand").bitwiseAND(e["inside"]) == 0))
-    byte_ids = F.array(*(F.lit(i) for i in vocabulary.bytes))
+    def fold(joins):
+        def step(stand, _):
+            fits = F.filter(joins, lambda e: (stand.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(stand.bitwiseAND(e["inside"])) == 1))
+            best = F.get(fits, F.lit(0))["inside"]
+            return F.when(stand < 0, stand).otherwise(F.coalesce(stand.bitwiseAND(F.bitwise_not(best)), stand.bitwiseOR(F.lit(done))))
 
-    def ids_of(e):
-        hexed = F.hex(F.substring("word", e["a"] + 1, F.lit(1)).cast("binary"))
-        as_bytes = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int")))
-        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(as_bytes)
+        return F.aggregate(F.sequence(F.lit(2), F.length("word")), bit(F.length("word") + 1) - 1, step)
 
-    in_order = F.array_sort(F.transform(taken, lambda e: F.struct(e["a"].alias("a"), ids_of(e).alias("ids"))))
-    return lattice.select(*keys, "word", F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
+    joins = F.transform("edges", lambda e: F.struct((bit(start(e)) + bit(end(e))).alias("ends"), (bit(end(e)) - bit(start(e) + 1)).alias("inside")))
+    # A transform of one element binds the joins to a name: the fold's steps would make them anew each time.
+    folds = F.get(F.transform(F.array(joins), fold), F.lit(0)).bitwiseAND(F.lit(2**63 - 1))
+    return lattice.select(*keys, "word", folds.alias("stand"))
 
 
 def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_crc32, round_trip`` [, ``ids``] of every row: the ids' CRC as little-endian unsigned 32-bit numbers, and whether decoding gives the text."""
+    """``doc_id, n_tokens, ids_crc32, round_trip`` [, ``ids``] of every row: the ids' CRC as little-endian unsigned 32-bit numbers, and whether decoding gives the text (with U+2581 as a blank)."""
     vocabulary = Vocabulary(path)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
@@ -153,23 +181,16 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
     pieces = vocabulary
 
     def put_together(texts: pa.Table, known: pa.Table) -> pa.Table:
-        found = known.column("word").to_pylist()
-        place = dict(zip(found, range(len(found))))
-        lists = known.column("ids").combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        values, cuts = lists.flatten().to_numpy().tolist(), (lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)).tolist()
+        ids_of = WordIds(pieces, dict(zip(known.column("word").to_pylist(), known.column("stand").to_pylist())))
         out = []
         for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()):
-            ids: list[int] = []
-            for w in word_pattern.findall(BLANK + text.replace(" ", BLANK)) if text else ():
-                at = place.get(w)
-                ids += pieces.merged(w) if at is None else values[cuts[at] : cuts[at + 1]]
-            row = (doc, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), pieces.decode(ids) == text.replace(BLANK, " "))
-            out.append((*row, ids) if with_ids else row)
+            words = word_pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
+            ids = b"".join(map(ids_of.__getitem__, words))
+            row = (doc, len(ids) // 4, zlib.crc32(ids), ids_of.lost.isdisjoint(words))
+            out.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row)
         columns = list(zip(*out)) or [()] * len(schema)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
 
-    here = lattice.select(F.col("block").alias("in_block"), "first_doc", "word", "ids").groupBy("in_block")
+    here = lattice.select(F.col("block").alias("in_block"), "first_doc", "word", "stand").groupBy("in_block")
     return dealt.select("block", "doc_id", "text").groupBy("block").cogroup(here).applyInArrow(lambda a, b: put_together(a, b), schema)
