@@ -29,7 +29,7 @@ CAPACITY = 2048
 #: Pieces of a length are ranked in so many buckets at least, and in one for each BUCKET_ROWS pieces of the corpus.
 BUCKETS, BUCKET_ROWS = 64, 1_000_000
 #: New words after which a worker forgets those not used since the last time, and bytes of text that are encoded together.
-REMEMBERED, TOGETHER = 150_000, 2 << 20
+REMEMBERED, TOGETHER = 250_000, 2 << 20
 
 #: Texts of these characters need no normalization but lower case, and their words are found by WORD (Latin letters and signs).
 PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-į]*")
