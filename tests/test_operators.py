@@ -156,3 +156,37 @@ def test_empty_frames(spark):
     assert technical.macd(none).count() == 0
     assert xsec.day_cube(none, ["close"]).count() == 0
     assert asof.backward(none, none.select("code", F.col("date").alias("since")), "code", "date", "since").count() == 0
+
+
+def test_covariance_helpers():
+    from tidemark.operators import covariance
+
+    m = np.array([[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]])
+    assert np.linalg.eigvalsh(covariance.nearest_psd(m)).min() > 0
+    c = np.array([[2.0, 0.5], [0.5, 1.0]])
+    o = covariance.orthogonal(c)
+    assert (o @ c @ o) == pytest.approx(np.eye(2), abs=1e-9)
+    assert np.trace(covariance.shrunk(c, 0.3)) == pytest.approx(3.0)
+    assert covariance.simulated_var(c, np.array([0.5, 0.5]), 0.05, n=200_000) == pytest.approx(-1.645, abs=0.03)
+
+
+def test_headlines_late_and_bare(spark):
+    from datetime import datetime
+
+    from tidemark.operators import headlines
+
+    rows = spark.createDataFrame(
+        [
+            (1, "a", datetime(2024, 1, 5, 9, 0), "timestamp", datetime(2024, 1, 5, 9, 1)),
+            (1, "b", datetime(2024, 1, 5), "date_only", datetime(2024, 1, 5, 8, 0)),
+            (1, "c", datetime(2024, 1, 5, 9, 0), "timestamp", datetime(2024, 1, 5, 10, 0)),
+            (1, "a ", datetime(2024, 1, 4), "date_only", datetime(2024, 1, 4, 8, 0)),
+            (2, None, None, None, None),
+        ],
+        "code long, title string, published_at timestamp, clock_quality string, fetched_at timestamp",
+    )
+    calendar = spark.createDataFrame([(date(2024, 1, 4),), (date(2024, 1, 5),), (date(2024, 1, 8),)], "date date")
+    kept = headlines.unique(rows)
+    assert kept.count() == 4
+    days = {(r["code"], r["title"]): r["decision_date"] for r in headlines.decision_days(kept, calendar).collect()}
+    assert days == {(1, "a"): date(2024, 1, 5), (1, "b"): date(2024, 1, 8), (1, "c"): date(2024, 1, 8), (2, None): None}

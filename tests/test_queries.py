@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from tests.conftest import SMALL, as_rows
 
-from tidemark.plans import factor_queries, merge_queries, panel_queries, registry, research_queries, series_queries  # noqa: F401
+from tidemark.plans import factor_queries, market_queries, merge_queries, panel_queries, registry, research_queries, series_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
