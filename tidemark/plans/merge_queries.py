@@ -215,11 +215,11 @@ def xs_panel_zscore(spark, d):
     "xs_neutral_scores",
     f"""with {_FEATS}, b as (select *, cast(floor((row_number() over (partition by date order by close nulls first, code) - 1) * 5 / count(*) over (partition by date)) as integer) as bucket from feats),
     n as (select *, volume - avg(volume) over (partition by date, sector) + 50 as by_sector from b)
-    select code, date, bucket, round(by_sector, 6) as by_sector, round(by_sector - avg(by_sector) over (partition by date, bucket) + 50, 6) as by_size from n""",
+    select code, date, bucket, round(by_sector, 10) as by_sector, round(by_sector - avg(by_sector) over (partition by date, bucket) + 50, 10) as by_size from n""",
 )
 def xs_neutral_scores(spark, d):
     f = feats(spark, d).withColumn("bucket", xsec.size_bucket(c("close"), 5)).withColumn("by_sector", xsec.neutralised(c("volume"), "date", "sector"))
-    return f.select("code", "date", "bucket", F.round("by_sector", 6).alias("by_sector"), F.round(xsec.neutralised(c("by_sector"), "date", "bucket"), 6).alias("by_size"))
+    return f.select("code", "date", "bucket", F.round("by_sector", 10).alias("by_sector"), F.round(xsec.neutralised(c("by_sector"), "date", "bucket"), 10).alias("by_size"))
 
 
 @register("xs_breadth", f"with {_FEATS} select distinct date, sector, round(avg(case when ret1 >= 0.02 then 1.0 when ret1 is not null then 0.0 end) over (partition by date, sector), 6) as breadth from feats")
