@@ -190,3 +190,18 @@ def test_headlines_late_and_bare(spark):
     assert kept.count() == 4
     days = {(r["code"], r["title"]): r["decision_date"] for r in headlines.decision_days(kept, calendar).collect()}
     assert days == {(1, "a"): date(2024, 1, 5), (1, "b"): date(2024, 1, 8), (1, "c"): date(2024, 1, 8), (2, None): None}
+
+
+def test_flat_and_zero_series_do_not_divide_by_zero(spark):
+    from tidemark.operators import packs
+
+    flat = bars(spark, [2.0] * 8).unionByName(bars(spark, [0.0] * 8, code=2))
+    assert packs.open_pack(flat, (5,)).where("code = 1").orderBy("date").collect()[-1]["CORR_5"] is None
+    assert packs.open_pack(flat, (5,)).count() == 16
+    assert packs.gap_pack(flat).count() == 16
+    assert column(flat.select("*", P.corr(F.col("close"), F.col("volume"), 3).alias("x")), "x") == [None] * 16
+    rows = flat.withColumn("y", F.col("close"))
+    assert metrics.rank_ic(rows, "close", "y").count() == 8
+    assert xsec.pair_correlations(flat, ["close", "volume"], 2).first()["r"] is None
+    assert portfolio.tracking(flat, "close", "volume").first()["corr"] is None
+    assert technical.rsi(flat, 3).count() > 0 and technical.kdj(flat).count() == 16

@@ -25,6 +25,14 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) > EPS, a / b)
 
 
+def pearson(x: Column, y: Column, window: WindowSpec | None = None) -> Column:
+    """Correlation over the rows that have both, NULL where either does not vary (Spark's own divides by zero there)."""
+    u, v = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(u, v), F.stddev_pop(u), F.stddev_pop(v)]
+    c, a, b = (p.over(window) for p in parts) if window is not None else parts
+    return c / F.nullif(a * b, F.lit(0.0))
+
+
 class Panel:
     """Windows over a frame with one row per entity and date."""
 
@@ -100,7 +108,7 @@ class Panel:
 
     def corr(self, x: Column, y: Column, n: int) -> Column:
         flat = (self.std(x, n) < EPS) | (self.std(y, n) < EPS)
-        return F.when(~flat, self.full(n, F.corr(finite(x), finite(y)).over(self.frame(n)), finite(x), finite(y)))
+        return F.when(~flat, self.full(n, pearson(finite(x), finite(y), self.frame(n)), finite(x), finite(y)))
 
     def cov(self, x: Column, y: Column, n: int) -> Column:
         if n < 2:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import EPS, Panel, finite
+from tidemark.functions.panel import EPS, Panel, finite, pearson
 
 
 def _both(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -17,14 +17,14 @@ def rank_ic(rows: DataFrame, x: str, y: str, section: str = "date", least: int =
     rows = _both(rows, x, y)
     p = Panel(section=section)
     ranked = rows.select(section, x, y, p.average_rank(F.col(x)).alias("rx"), p.average_rank(F.col(y)).alias("ry"))
-    found = ranked.groupBy(section).agg(F.count("*").alias("n"), F.corr(x, y).alias("ic"), F.corr("rx", "ry").alias("rank_ic"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
+    found = ranked.groupBy(section).agg(F.count("*").alias("n"), pearson(F.col(x), F.col(y)).alias("ic"), pearson(F.col("rx"), F.col("ry")).alias("rank_ic"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"))
     return found.where((F.col("n") >= least) & (F.col("sx") > EPS) & (F.col("sy") > EPS)).drop("sx", "sy")
 
 
 def ic_summary(ics: DataFrame, column: str = "rank_ic") -> DataFrame:
     """Days, mean, mean over sample deviation, and share above zero of a daily IC."""
     x = F.col(column)
-    return ics.agg(F.count("*").alias("days"), F.round(F.avg(x), 6).alias("mean_ic"), F.round(F.avg(x) / F.stddev_samp(x), 5).alias("ic_ir"), F.round(F.avg((x > 0).cast("double")), 6).alias("positive"), F.max("n").alias("max_names"))
+    return ics.agg(F.count("*").alias("days"), F.round(F.avg(x), 6).alias("mean_ic"), F.round(F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0)), 5).alias("ic_ir"), F.round(F.avg((x > 0).cast("double")), 6).alias("positive"), F.max("n").alias("max_names"))
 
 
 def auc(rows: DataFrame, score: str, label: str, *by: str, least: int = 5) -> DataFrame:

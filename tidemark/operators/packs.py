@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import EPS, Panel
+from tidemark.functions.panel import EPS, Panel, pearson
 
 P = Panel()
 WINDOWS = (5, 10, 20)
@@ -23,9 +23,10 @@ def open_pack(bars: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """
     s = P.series
     # Today's row as it stands at the open: high and low are the open, the volume is yesterday's.
-    o, v0 = F.col("open"), F.lag("volume").over(s)
-    base = bars.withColumns({"o": o, "v": v0, "r": o / F.lag("open").over(s) - 1, "i": (F.row_number().over(s)).cast("double")})
-    base = base.withColumns({"dv": F.col("v") - F.lag("v").over(s), "vr": F.log(F.col("v") / F.lag("v").over(s) + 1), "lv": F.log(F.col("v") + 1), "rv": F.abs("r") * F.col("v")})
+    o, v0 = F.nullif("open", F.lit(0.0)), F.lag("volume").over(s)
+    bars = bars.withColumn("open", o)
+    base = bars.withColumns({"o": F.col("open"), "v": v0, "r": o / F.lag("open").over(s) - 1, "i": (F.row_number().over(s)).cast("double")})
+    base = base.withColumns({"dv": F.col("v") - F.lag("v").over(s), "vr": F.log(F.col("v") / F.nullif(F.lag("v").over(s), F.lit(0.0)) + 1), "lv": F.log(F.col("v") + 1), "rv": F.abs("r") * F.col("v")})
     x = F.col
     out: dict[str, Column] = {}
     for d in windows:
@@ -56,8 +57,8 @@ def open_pack(bars: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
             "IMAX": at_high,
             "IMIN": at_low,
             "IMXD": at_high - at_low,
-            "CORR": F.corr("o", "lv").over(w),
-            "CORD": F.corr("r", "vr").over(w),
+            "CORR": pearson(x("o"), x("lv"), w),
+            "CORD": pearson(x("r"), x("vr"), w),
             "CNTP": share(x("r") > 0),
             "CNTN": share(x("r") < 0),
             "CNTD": share(x("r") > 0) - share(x("r") < 0),
@@ -81,6 +82,7 @@ def gap_pack(bars: DataFrame) -> DataFrame:
     """``code, date`` and today's gap: against the last close, within yesterday's range, in yesterday's ranges, and to the limits of 10 per cent."""
     s = P.series
     close, high, low, open_ = (F.lag(c).over(s) for c in ("close", "high", "low", "open"))
+    close = F.nullif(close, F.lit(0.0))
     span = high - low
     inside = lambda v: F.when(span > EPS, v / span).otherwise(F.lit(0.0))
     o = F.col("open")

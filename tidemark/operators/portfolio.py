@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import EPS, safe_div
+from tidemark.functions.panel import EPS, pearson, safe_div
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -81,7 +81,7 @@ def tracking(rows: DataFrame, own: str, other: str, yearly: int = 252) -> DataFr
     """``n, corr, tracking_error, ir, total_excess_pct`` of two aligned return series (fractions); deviations of the population."""
     x = F.col(own) - F.col(other)
     sd = F.stddev_pop(x)
-    return rows.where(x.isNotNull()).agg(F.count("*").alias("n"), F.corr(own, other).alias("corr"), (sd * math.sqrt(yearly)).alias("tracking_error"), F.when(sd > EPS, F.avg(x) / sd).alias("ir"), ((F.exp(F.sum(F.log1p(x))) - 1) * 100).alias("total_excess_pct"))
+    return rows.where(x.isNotNull()).agg(F.count("*").alias("n"), pearson(F.col(own), F.col(other)).alias("corr"), (sd * math.sqrt(yearly)).alias("tracking_error"), F.when(sd > EPS, F.avg(x) / sd).alias("ir"), ((F.exp(F.sum(F.log1p(x))) - 1) * 100).alias("total_excess_pct"))
 
 
 def turnover(before: DataFrame, after: DataFrame) -> DataFrame:

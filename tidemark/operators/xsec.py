@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import EPS, finite
+from tidemark.functions.panel import EPS, finite, pearson
 
 
 def long_form(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -66,7 +66,7 @@ def pair_correlations(rows: DataFrame, features: list[str], least: int) -> DataF
     for a, b in combinations(features, 2):
         has = x[a].isNotNull() & x[b].isNotNull()
         u, v = F.when(has, x[a]), F.when(has, x[b])
-        stats.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(u).alias("n"), F.corr(u, v).alias("r"), F.least(F.stddev_pop(u), F.stddev_pop(v)).alias("s")))
+        stats.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(u).alias("n"), pearson(u, v).alias("r"), F.least(F.stddev_pop(u), F.stddev_pop(v)).alias("s")))
     found = rows.agg(F.array(*stats).alias("p")).select(F.inline("p"))
     reason = F.when(F.col("n") < least, "sparse").when(F.col("s") <= EPS, "constant").otherwise("ok")
     return found.select("a", "b", "n", F.when(reason == "ok", F.col("r")).alias("r"), reason.alias("reason"))
