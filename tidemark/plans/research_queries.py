@@ -248,29 +248,29 @@ def portfolio_capped_weights(spark, d):
 
 @register(
     "bt_overlapping",
-    f"""with {DAILY}, t as (select code, date, close / open as score, close, lead(open, 1) over w as e, lead(open, 4) over w as x from bars window w as (partition by code order by date))
+    f"""with {DAILY}, t as (select code, date, close / nullif(open, 0) as score, close, lead(open, 1) over w as e, lead(open, 4) over w as x from bars window w as (partition by code order by date))
     select code, date, e as entry, x as exit, round((case when abs(e) > 1e-12 then x / e end - 1) * 100 - 0.2, 6) as ret_pct from t where score >= 1 and e is not null and x is not null and not (e / close - 1 >= 0.095)""",
 )
 def bt_overlapping(spark, d):
-    b = daily(spark, d).withColumn("score", c("close") / c("open"))
+    b = daily(spark, d).withColumn("score", safe_div(c("close"), c("open")))
     return backtest.overlapping_trades(b, "score", 1.0, 3, 0.2).withColumn("ret_pct", F.round("ret_pct", 6))
 
 
 @register("bt_walk")
 def bt_walk(spark, d):
-    b = daily(spark, d).withColumn("score", c("close") / c("open"))
+    b = daily(spark, d).withColumn("score", safe_div(c("close"), c("open")))
     return backtest.walk(b, "score", 1.0, 3, 0.2).withColumn("ret_pct", F.round("ret_pct", 6))
 
 
 @register(
     "bt_summary",
-    f"""with {DAILY}, t as (select code, date, close / open as score, close, lead(open, 1) over w as e, lead(open, 4) over w as x from bars window w as (partition by code order by date)),
+    f"""with {DAILY}, t as (select code, date, close / nullif(open, 0) as score, close, lead(open, 1) over w as e, lead(open, 4) over w as x from bars window w as (partition by code order by date)),
     r as (select code, greatest(-90, least(200, (case when abs(e) > 1e-12 then x / e end - 1) * 100 - 0.2)) as ret_pct from t where score >= 1 and e is not null and x is not null and not (e / close - 1 >= 0.095))
     select code, count(*) as n, round(avg(case when ret_pct > 0 then 1.0 else 0.0 end) * 100, 6) as win_pct, round(avg(ret_pct), 6) as mean_pct from r group by 1""",
     dates=(),
 )
 def bt_summary(spark, d):
-    b = daily(spark, d).withColumn("score", c("close") / c("open"))
+    b = daily(spark, d).withColumn("score", safe_div(c("close"), c("open")))
     t = backtest.overlapping_trades(b, "score", 1.0, 3, 0.2).withColumn("ret_pct", portfolio.clamp(c("ret_pct"), -90, 200))
     return rounded(backtest.trade_summary(t, "code").drop("total_pct"), "code", "n")
 
