@@ -205,3 +205,16 @@ def test_flat_and_zero_series_do_not_divide_by_zero(spark):
     assert xsec.pair_correlations(flat, ["close", "volume"], 2).first()["r"] is None
     assert portfolio.tracking(flat, "close", "volume").first()["corr"] is None
     assert technical.rsi(flat, 3).count() > 0 and technical.kdj(flat).count() == 16
+
+
+def test_risk_covers_every_supplier(spark):
+    from tests.conftest import SMALL
+
+    from tidemark.plans import market_queries, registry, research_queries
+
+    r = research_queries.returns(spark, SMALL)
+    codes = {x["code"] for x in r.select("code").distinct().collect()}
+    assert {x["code"] for x in registry.QUERIES["risk_tracking_codes"](spark, SMALL).collect()} == codes and len(codes) > 6
+    assert market_queries.nations(spark, SMALL).agg(F.sum("members")).first()[0] == r.count()
+    held = registry.QUERIES["risk_contributions_nations"](spark, SMALL).collect()
+    assert sum(x["weight"] for x in held) == pytest.approx(1, abs=1e-6) and sum(x["share"] for x in held) == pytest.approx(1, abs=1e-5)

@@ -77,11 +77,11 @@ def brinson(rows: DataFrame, sector: str, w: str, b: str, r: str, q: str) -> Dat
     )
 
 
-def tracking(rows: DataFrame, own: str, other: str, yearly: int = 252) -> DataFrame:
-    """``n, corr, tracking_error, ir, total_excess_pct`` of two aligned return series (fractions); deviations of the population."""
+def tracking(rows: DataFrame, own: str, other: str, *keys: str, yearly: int = 252) -> DataFrame:
+    """``n, corr, tracking_error, ir, total_excess_pct`` of two aligned return series (fractions), by ``keys`` if any; deviations of the population."""
     x = F.col(own) - F.col(other)
     sd = F.stddev_pop(x)
-    return rows.where(x.isNotNull()).agg(F.count("*").alias("n"), pearson(F.col(own), F.col(other)).alias("corr"), (sd * math.sqrt(yearly)).alias("tracking_error"), F.when(sd > EPS, F.avg(x) / sd).alias("ir"), ((F.exp(F.sum(F.log1p(x))) - 1) * 100).alias("total_excess_pct"))
+    return rows.where(x.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), pearson(F.col(own), F.col(other)).alias("corr"), (sd * math.sqrt(yearly)).alias("tracking_error"), F.when(sd > EPS, F.avg(x) / sd).alias("ir"), ((F.exp(F.sum(F.log1p(x))) - 1) * 100).alias("total_excess_pct"))
 
 
 def turnover(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -126,3 +126,43 @@ def risk_contributions(spark, d):
     weights = spark.createDataFrame([(i, (i + 1) / 21.0) for i in range(6)], "code long, weight double")
     out = covariance.contributions(covariance.pairs(few(spark, d), half_life=400.0), weights)
     return out.select("code", F.round("weight", 8).alias("weight"), F.round("marginal", 7).alias("marginal"), F.round("share", 7).alias("share"))
+
+
+# The same over all suppliers: their returns averaged by nation and date, so that pairs stay few at any scale.
+
+_NATIONS = f"{_RET}, q as (select cast(coalesce(s_nationkey, -1) as bigint) as code, date, avg(greatest(-0.5, least(0.5, ret))) as ret, count(*) as members from r left join supplier on code = s_suppkey where ret is not null group by 1, 2)"
+
+
+def nations(spark, d):
+    of = B.read(spark, d, "supplier").select(c("s_suppkey").alias("code"), c("s_nationkey").cast("long").alias("nation"))
+    r = returns(spark, d).join(of, "code", "left").withColumn("ret", F.greatest(F.lit(-0.5), F.least(F.lit(0.5), c("ret"))))
+    return r.groupBy(F.coalesce("nation", F.lit(-1)).alias("code"), "date").agg(F.avg("ret").alias("ret"), F.count("*").alias("members"))
+
+
+@register("risk_covariance_nations", f"with {_NATIONS} select x.code as a, y.code as b, count(*) as n, round(covar_pop(x.ret, y.ret), 8) as cov from q x join q y on x.date = y.date and x.code <= y.code group by 1, 2", dates=())
+def risk_covariance_nations(spark, d):
+    return covariance.pairs(nations(spark, d)).withColumn("cov", F.round("cov", 8))
+
+
+_EWMA_NATIONS = _EWMA.replace(_FEW, _NATIONS)
+
+
+@register("risk_ewma_covariance_nations", f"with {_EWMA_NATIONS} select a, b, n, round(cov, 8) as cov from cv", dates=())
+def risk_ewma_covariance_nations(spark, d):
+    return covariance.pairs(nations(spark, d), half_life=400.0).withColumn("cov", F.round("cov", 8))
+
+
+@register(
+    "risk_contributions_nations",
+    f"""with {_EWMA_NATIONS}, p as (select code, sum(members) / sum(sum(members)) over () as weight from q group by 1), f as (select a, b, cov from cv union all select b, a, cov from cv where a <> b),
+    t as (select a, sum(cov * weight) as cw from f join p on b = code group by 1), v as (select sum(cw * weight) as var from t join p on a = code)
+    select code, round(weight, 8) as weight, round(cw / sqrt(var), 7) as marginal, round(cw * weight / var, 7) as share from t join p on a = code, v""",
+    dates=(),
+)
+def risk_contributions_nations(spark, d):
+    """A nation's weight is its share of all returns."""
+    r = nations(spark, d)
+    n = r.groupBy("code").agg(F.sum("members").alias("n"))
+    weights = n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("code", (c("n") / c("all")).alias("weight"))
+    out = covariance.contributions(covariance.pairs(r, half_life=400.0), weights)
+    return out.select("code", F.round("weight", 8).alias("weight"), F.round("marginal", 7).alias("marginal"), F.round("share", 7).alias("share"))

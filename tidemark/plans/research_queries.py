@@ -209,6 +209,18 @@ def risk_tracking(spark, d):
     return t.select("n", F.round("corr", 6).alias("corr"), F.round("tracking_error", 5).alias("tracking_error"), F.round("ir", 6).alias("ir"))
 
 
+@register(
+    "risk_tracking_codes",
+    f"""with {_INDEX}, j as (select r.code, r.ret as a, i.ret as b from r join i using (date) where r.ret is not null), g as (select code, count(*) as n, case when stddev_pop(a) > 1e-9 and stddev_pop(b) > 1e-9 then corr(a, b) end as k, stddev_pop(a - b) as sd, avg(a - b) as mean from j group by 1)
+    select code, n, round(k, 6) as corr, round(sd * sqrt(252.0), 5) as tracking_error, round(case when sd > 1e-12 then mean / sd end, 6) as ir from g""",
+    dates=(),
+)
+def risk_tracking_codes(spark, d):
+    both = returns(spark, d).select("code", "date", c("ret").alias("a")).join(index_returns(spark, d).select("date", c("ret").alias("b")), "date")
+    t = portfolio.tracking(both, "a", "b", "code")
+    return t.select("code", "n", F.round("corr", 6).alias("corr"), F.round("tracking_error", 5).alias("tracking_error"), F.round("ir", 6).alias("ir"))
+
+
 @register(
     "risk_brinson",
     """with g as (select c_mktsegment as sector, sum(case when o_orderstatus = 'F' then o_totalprice else 0 end) as v, sum(o_totalprice) as u, avg(case when o_orderstatus = 'F' then o_totalprice end) / 1e6 as r, avg(o_totalprice) / 1e6 as q from orders join customer on o_custkey = c_custkey group by 1),
