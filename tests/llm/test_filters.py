@@ -164,6 +164,25 @@ def test_disguises_are_undone(char_model):
     assert first == "you idiot and loser , idiot soon clean words é stay 2024" and second == "loser"
 
 
+def test_rows_of_letters_become_words():
+    text = "you are an idiot and a pathetic loser but the moon is bright and this little boat sails on for you and an idiot " * 20
+    data = np.frombuffer(text.encode(), np.uint8)
+    off = np.array([0, len(data)])
+    counts = toxicity.word_counts(data, off)
+    some = np.flatnonzero(counts)
+    restorer = toxicity.Restorer(toxicity.CharModel(toxicity.char_counts(data, off), toxicity.frequent_words(some, counts[some], counts.sum() // 2)))
+
+    def restored(text):
+        return bytes(restorer(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]).decode()
+
+    assert restored("y o u i d i o t") == restored("y o u   i d i o t") == restored("y\no\nu\ni\nd\ni\no\nt") == "you idiot"
+    assert restored("a i d i o t") == "a idiot"
+    spaced = "the moon is bright and this little boat sails on but you are an idiot and a pathetic loser"
+    assert restored(" ".join(spaced.replace(" ", ""))) == spaced
+    assert restored(" ".join((spaced.replace(" ", "") * 40))) == " ".join([spaced] * 40)
+    assert restored("idi" + "o" * 300 + "t") == "idiot"
+
+
 def test_toxicity_on_held_out_rows(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = {r["doc_id"]: r for r in toxicity.scored(d, labels).collect()}

@@ -1,9 +1,10 @@
 """Toxicity behind disguises: a noisy channel restores words, a classifier scores the restored text.
 
-1. A character trigram model is counted over the words of all documents.
+1. A character trigram model and hashed counts of words are taken over all documents.
 2. Words that look disguised (digits or signs among letters, a letter three times or more, letters set apart by
    blanks or points) become a lattice of the letters each character may stand for. A Viterbi search under the channel's
-   costs and the character model picks the likeliest spelling, which takes the word's place in the text.
+   costs and the character model picks the likeliest spelling, which takes the word's place in the text. Letters set apart
+   may be several words: any separator may end one, a wider one most likely does; frequent words cost what their counts say. Neither words nor rows of letters have a longest length.
 3. A word's marks are its hash and those of its prefixes of 4 to 8 bytes; a feature is a mark that at least 1, 2 or 3 of a
    text's distinct words bear. From a bounded sample of labelled rows (TRAIN_ROWS, chosen by hash; copies and near copies
    count once) the classifier takes the features whose presence marks toxic texts beyond doubt, then weaker ones as long as they
@@ -18,8 +19,10 @@ kinds all rows score the base rate. Repeated rows get equal rows; an empty table
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,16 @@ STRONGEST, OTHERS = 0.75, 0.1
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: Costs, in nats, of a sign for a letter, a sign kept, a letter dropped from a run, a separator dropped.
 SIGN, KEPT, DROPPED, APART = 1.0, 6.0, 0.3, 0.2
+#: Costs of a separator that ends a word (besides the character model's); of a wider one that does not, or a narrow one that does beside wider ones.
+BREAK, UNLIKE = 0.2, 8.0
+#: Cost of a word that is not among the counted ones; spellings this much dearer than the best so far are given up while letters are set apart.
+OPEN, BEAM = 3.0, 30.0
+#: Buckets of each of two tables of word counts; words no more frequent than a bucket's mean are not told from chance.
+WORDS = 1 << 20
+#: A line's end is as wide as so many blanks.
+LINE = 8
+#: Runs between two looks for what all spellings share; longer words are not remembered.
+STEP, REMEMBERED = 64, 64
 
 _LETTER = np.zeros(256, np.int64)
 _LETTER[97:123] = np.arange(1, 27)
@@ -53,32 +66,51 @@ _LETTER[65:91] = np.arange(1, 27)
 _IS_LETTER = _LETTER > 0
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in STANDS_FOR]] = True
+_BLANKS = " \t\n\v\f\r"
+_APARTS = re.compile(r"[._*-]|[ \t\n\v\f\r]+")
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in "._-*"]] = True
 
 
 class CharModel:
-    """Trigram log probabilities over a-z and the word's edge (0), from a 27 x 27 x 27 array of counts."""
+    """Trigram log probabilities over a-z and the word's edge (0), from a 27 x 27 x 27 array of counts; and frequent words' by bucket."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, frequent: np.ndarray | None = None):
         counts = counts.reshape(27, 27, 27).astype(float)
         back = counts.sum(axis=0) + 0.5
         back /= back.sum(axis=1, keepdims=True)
         smooth = counts + 5 * back[None]
         self.log = np.log(smooth / smooth.sum(axis=2, keepdims=True)).tolist()
+        #: Log probabilities of words by bucket, of both tables in one array; minus infinity where there is no frequent word.
+        self.frequent = frequent
+
+    def word_cost(self, word: str) -> float:
+        """Cost of a word by its frequency."""
+        if self.frequent is None or not word:
+            return math.inf
+        data = np.frombuffer(word.encode(), np.uint8)
+        one, two = word_buckets(span_hashes(data, np.array([0]), np.array([len(data)])))
+        return -float(min(self.frequent[one[0]], self.frequent[two[0]]))
 
     def restore(self, word: str) -> str:
         """The likeliest letters behind ``word`` (lower case)."""
         runs: list[tuple[str, int]] = []
         for c in word:
+            n = LINE if c in "\n\r" else 1
+            c = " " if c in _BLANKS else c
             if runs and runs[-1][0] == c:
-                runs[-1] = (c, runs[-1][1] + 1)
+                runs[-1] = (c, runs[-1][1] + n)
             else:
-                runs.append((c, 1))
-        letters_apart = sum(len(r) == 1 for r in word.replace("-", ".").replace("_", ".").replace("*", ".").replace(" ", ".").split(".")) >= 3
-        # Best cost and spelling by the last two letters.
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for c, n in runs:
+                runs.append((c, n))
+        letters_apart = sum(len(r) == 1 for r in _APARTS.split(word)) >= 3
+        gaps = [n for c, n in runs if c in "._-* "] if letters_apart else []
+        narrow, wide = (min(gaps), max(gaps)) if gaps else (1, 1)
+        # Best spelling by the word's start (if letters are set apart) and the last two letters: its cost, its cost without the current word's letters,
+        # the words before and the current one. What all spellings share goes to done.
+        cost_of = lru_cache(1 << 12)(self.word_cost)
+        best: dict[tuple[int, int, int], tuple[float, float, str, str]] = {(0, 0, 0): (0.0, 0.0, "", "")}
+        done: list[str] = []
+        for at, (c, n) in enumerate(runs, 1):
             ways: list[tuple[str, float]] = []
             if "a" <= c <= "z":
                 ways = [(c * k, DROPPED * (n - k)) for k in ((1, 2) if n > 2 else (n,))]
@@ -86,21 +118,39 @@ class CharModel:
                 ways = [(x * k, SIGN * n) for x in STANDS_FOR[c] for k in {1, min(n, 2)}]
                 ways.append((c * n, KEPT * n))
             elif c in "._-* " and letters_apart:
-                ways = [("", APART * n)]
+                ways = [("", APART + UNLIKE * (n > narrow))]
             else:
                 ways = [(c * n, 0.0)]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (p, q), (cost, text) in best.items():
+            after: dict[tuple[int, int, int], tuple[float, float, str, str]] = {}
+            for (start, p, q), (cost, plain, text, own) in best.items():
+                if gaps and start >= 0 and at - start > 2 * REMEMBERED:
+                    start = -1
                 for letters, price in ways:
                     a, b, total = p, q, cost + price
                     for x in letters:
                         i = ord(x) - 96 if "a" <= x <= "z" else 0
                         total -= self.log[a][b][i]
                         a, b = b, i
-                    if (a, b) not in after or total < after[a, b][0]:
-                        after[a, b] = (total, text + letters)
+                    if (start, a, b) not in after or total < after[start, a, b][0]:
+                        after[start, a, b] = (total, plain + price, text, own + letters) if len(own) <= REMEMBERED else (total, math.inf, text + own, letters)
+                if ways[0][0] == "":
+                    total = min(cost - self.log[p][q][0] + OPEN, plain + cost_of(own)) + BREAK + UNLIKE * (n == narrow < wide)
+                    if (at, 0, 0) not in after or total < after[at, 0, 0][0]:
+                        after[at, 0, 0] = (total, total, text + own + " ", "")
+            if gaps:
+                bound = min(v[0] for v in after.values()) + BEAM
+                after = {k: v for k, v in after.items() if v[0] <= bound}
             best = after
-        return min((cost - self.log[a][b][0], text) for (a, b), (cost, text) in best.items())[1]
+            if at % STEP == 0:
+                done.append(commonprefix([v[2] for v in best.values()]))
+                best = {k: (cost, plain, text[len(done[-1]) :], own) for k, (cost, plain, text, own) in best.items()}
+        ends = ((min(cost - self.log[a][b][0] + OPEN, plain + cost_of(own)) if gaps else cost - self.log[a][b][0], text + own) for (_, a, b), (cost, plain, text, own) in best.items())
+        return "".join(done) + min(ends)[1]
+
+
+def word_buckets(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of words' hashes in both tables of word counts."""
+    return (hashes >> np.uint64(44)).astype(np.int64), (hashes & np.uint64(WORDS - 1)).astype(np.int64) + WORDS
 
 
 def char_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -121,37 +171,59 @@ def char_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return counts + np.bincount((one[last] * 27 + kind[last]) * 27, minlength=27**3)
 
 
+def word_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Counts of words by bucket, of both tables in one array."""
+    start, end = word_spans(data, off, _BREAKS)
+    return np.bincount(np.concatenate(word_buckets(span_hashes(data, start, end))), minlength=2 * WORDS)
+
+
+def frequent_words(bucket: np.ndarray, n: np.ndarray, total: int) -> np.ndarray:
+    """Log probabilities by bucket from the counts of some of ``total`` words."""
+    out = np.full(2 * WORDS, -np.inf, np.float32)
+    out[bucket] = np.log(n / total)
+    return out
+
+
 def char_model(docs: DataFrame) -> CharModel:
-    """The character model of all texts; each task sends its 27 ** 3 counts."""
+    """The character model and the frequent words of all texts; each task sends its counts of grams and of buckets."""
+    grams = 27**3
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(27**3, np.int64)
+        total = np.zeros(grams + 2 * WORDS, np.int64)
         for batch in batches:
             data, off = flat(batch.column(0))
             for a, b in slices(off):
-                total += char_counts(data[off[a] : off[b]], off[a : b + 1] - off[a])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(27**3, np.int64)
-    counts[rows.gram] = rows.n
-    return CharModel(counts)
+                own, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                total[:grams] += char_counts(own, at)
+                total[grams:] += word_counts(own, at)
+        some = np.flatnonzero(total)
+        for i in range(0, len(some), 1 << 16):
+            at = some[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
+
+    rows = written(docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    words_in = (rows.where(F.col("gram") >= grams).agg(F.sum("n")).first()[0] or 0) // 2
+    found = rows.where((F.col("gram") < grams) | (F.col("n") > words_in / WORDS)).toPandas()
+    counts = np.zeros(grams, np.int64)
+    letters = found[found.gram < grams]
+    counts[letters.gram] = letters.n
+    frequent = found[found.gram >= grams]
+    return CharModel(counts, frequent_words(frequent.gram.to_numpy() - grams, frequent.n.to_numpy(), words_in))
 
 
 class Restorer:
     """Texts with their disguised words restored; spellings found are remembered up to a bound."""
 
     def __init__(self, model: CharModel):
+        self.model = model
         self.spell = lru_cache(1 << 16)(model.restore)
 
     def word(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
-        if len(text) > 64:
-            return raw
         # A sign at either end is punctuation unless it stands for a letter among digits and letters.
         low = text.strip(".,;:?\"'()[]{}<>!*_-").lower()
-        return self.spell(low).encode() if low else raw
+        spell = self.spell if len(low) <= REMEMBERED else self.model.restore
+        return spell(low).encode() if low else raw
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end = word_spans(data, off)
@@ -165,13 +237,13 @@ class Restorer:
         marked = np.flatnonzero(mark)
         odd = np.zeros(len(start), bool)
         odd[np.searchsorted(start, marked, "right") - 1] = True
-        # Four and more words of one character in a row are one word set apart.
+        # Four and more words of one character in a row are words set apart; the lattice finds where they end.
         single = (end - start == 1) & (letter[start] | sign[start])
         begins = np.isin(start, off)
         chain = single[1:] & single[:-1] & ~begins[1:]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], chain.astype(np.int8), [0]])))
         first, last = edge[::2], edge[1::2]
-        long = (last - first >= 3) & (last - first < 40)
+        long = last - first >= 3
         spans = [(int(start[i]), int(end[j])) for i, j in zip(first[long], last[long])]
         for i, j in zip(first[long], last[long]):
             odd[i : j + 1] = False
