@@ -218,3 +218,9 @@ def test_risk_covers_every_supplier(spark):
     assert market_queries.nations(spark, SMALL).agg(F.sum("members")).first()[0] == r.count()
     held = registry.QUERIES["risk_contributions_nations"](spark, SMALL).collect()
     assert sum(x["weight"] for x in held) == pytest.approx(1, abs=1e-6) and sum(x["share"] for x in held) == pytest.approx(1, abs=1e-5)
+
+
+def test_every_window_of_the_open_pack_is_registered():
+    from tidemark.plans import registry, series_queries  # noqa: F401
+
+    assert {f"pack_open_{d}" for d in (5, 10, 20, 30, 60)} <= set(registry.QUERIES)

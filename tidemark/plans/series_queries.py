@@ -135,6 +135,21 @@ def pack_open_20(spark, d):
     return rounded(packs.open_pack(ships(spark, d), (20,)), "code", "date", digits=4)
 
 
+@register("pack_open_10", _PACK.format(_pack_sql(10)))
+def pack_open_10(spark, d):
+    return rounded(packs.open_pack(ships(spark, d), (10,)), "code", "date", digits=4)
+
+
+@register("pack_open_30", _PACK.format(_pack_sql(30)))
+def pack_open_30(spark, d):
+    return rounded(packs.open_pack(ships(spark, d), (30,)), "code", "date", digits=4)
+
+
+@register("pack_open_60", _PACK.format(_pack_sql(60)))
+def pack_open_60(spark, d):
+    return rounded(packs.open_pack(ships(spark, d), (60,)), "code", "date", digits=4)
+
+
 @register(
     "pack_gap",
     f"""with {DAILY}, p as (select code, date, open as o, lag(close) over s as pc, lag(high) over s as ph, lag(low) over s as pl, lag(open) over s as po from bars window s as (partition by code order by date)), q as (select *, ph - pl as sp from p)
