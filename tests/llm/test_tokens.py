@@ -119,15 +119,20 @@ def test_sentencepiece_equals_the_library(spark, table):
             assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
 
 
-def test_sentencepiece_long_words_and_decoding():
-    v = sentencepiece.Vocabulary(tokenizer("piece_bpe_32k.model"))
+def test_sentencepiece_long_words_blanks_and_decoding(spark):
+    import random
+
     import sentencepiece as library
 
-    model = library.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
-    for text in ["understanding" * 20, "a" * 300, "ab" * 70 + "中" * 20]:
-        ids = model.encode(text)
-        assert v.merged("▁" + text) == ids
-        assert v.decode(ids) == text
+    rng = random.Random(5)
+    texts = ["understanding" * 20, "a" * 300, "ab" * 70 + "中" * 20, "x" * 5000, "m² ²." * 9]
+    texts += [" " * k + x for k in range(40) for x in ("", "a", "foo bar", " !")]
+    texts += ["".join(rng.choice("abcdeinrst  ▁.,é中0_") for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    path = tokenizer("piece_bpe_32k.model")
+    model, vocabulary = library.SentencePieceProcessor(model_file=path), sentencepiece.Vocabulary(path)
+    for r in sentencepiece.encoded(docs(spark, list(enumerate(texts))), path, with_ids=True).collect():
+        assert r["ids"] == model.encode(texts[r["doc_id"]]), texts[r["doc_id"]][:50]
+        assert r["round_trip"] and vocabulary.decode(r["ids"]) == texts[r["doc_id"]].replace("▁", " ")
 
 
 def test_empty_tables(spark):

@@ -1,39 +1,61 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Documents are dealt into blocks of about BLOCK_BYTES of text. The distinct words of a block (a word keeps the blanks and signs before
-its letters; no piece of the vocabulary reaches beyond one) are exploded into substrings of bounded length, which meet the piece table by an
-equi-join; the edges are grouped by word, and a higher-order ``aggregate`` folds each word's lattice to the places where its pieces
-end. A block's documents and its words then meet in one task, which puts the ids of words together and decodes them again.
-
-The vocabulary is byte-pair encoding, whose result is not the path of largest summed score: a Viterbi fold gives other
-pieces than the library. The fold therefore keeps the boundaries that still stand as bits of a number and, step by step, joins the two
-neighbours whose edge scores best, the leftmost of equals, until no edge is left. Characters that are no
-piece become bytes. Words of over LONGEST characters have more boundaries than bits and are merged in Python, by the same rule.
+Documents are dealt into blocks of about BLOCK_BYTES of text, and each block names its distinct words (a word keeps the blanks and signs
+before its letters; no piece of the vocabulary reaches beyond one). Every distinct word of the corpus is exploded once into substrings
+of bounded length, which meet the piece table by an equi-join; the edges are grouped by word, and a higher-order ``aggregate`` folds
+each word's lattice to the places where its pieces end. These go back to the blocks that named the word. A block's documents
+and its words then meet in one task, which puts the ids of words together and decodes them again.
+
+The vocabulary is byte-pair encoding, whose result is not the path of largest summed score: a Viterbi fold of sums gives other
+pieces than the library. The fold therefore keeps which boundaries still stand, one byte a place, and walks the edges once from the
+best score to the worst: an edge that finds both its ends and one boundary between them takes that boundary away. That is what the
+library's queue does as long as no piece scores better than the two parts it is last made of, for then every edge that
+a step makes possible is still to come; ``Vocabulary`` checks it for all pieces. Equal scores, of runs of blanks only, go by their ends,
+the shorter first. Characters that are no piece become bytes. Words of any length take this one way.
 
 Null and empty texts have no ids. A null doc_id is kept, repeated rows each give a row and may fall into different blocks, texts
 of any length are encoded whole, an empty table gives an empty result and further columns are ignored. The vocabulary must be byte-pair
-encoding with byte fallback and without normalization, which ``Vocabulary`` checks.
+encoding with byte fallback and without normalization, which ``Vocabulary`` checks too.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
+import re
 import zlib
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The blank of pieces, and a word: blanks, what is no letter, letters; it ends before the next blank and after letters.
+from tidemark.llm.common import flat, slices
+
+#: The blank of pieces; what stands from one blank to the next; and a word of it: blanks, what is no letter, letters (three digits
+#: count as signs because a piece joins one with a point).
 BLANK = "▁"
-WORD = f"{BLANK}*(?:[^{BLANK}%s]*[%s]+|[^{BLANK}%s]+)|{BLANK}+" % ((r"\p{L}",) * 3)
-LONGEST = 60
-BLOCK_BYTES = 8 << 20
+LETTER, OTHER = r"[^\W\d_¹²³]", rf"(?:[^\w{BLANK}]|[\d_¹²³])"
+WORD = re.compile(f"{BLANK}*(?:{OTHER}*{LETTER}+|{OTHER}+)|{BLANK}+")
+UNIT = re.compile(f"{BLANK}+[^{BLANK}]*")
+BLOCK_BYTES = 32 << 20
+
+
+def units_of(text: str) -> list[str]:
+    """A text cut before its blanks; it begins with a blank of its own unless it is empty."""
+    return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+
+
+def words_of(texts: Iterable[list[str]]) -> list[str]:
+    """The distinct words of many texts, in order."""
+    return sorted({word for text in texts for unit in set().union(*map(units_of, text)) for word in WORD.findall(unit)})
+
+
+def _batch(data: bytes | pa.Buffer) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.decompress(data)).read_next_batch()
 
 
 class Vocabulary:
@@ -56,59 +78,45 @@ class Vocabulary:
             self.text.append(b"" if control else piece.replace(BLANK, " ").encode())
             if not control:
                 self.pieces[piece] = (i, model.get_score(i))
-        if not any(self.bytes) or any(regex.search(rf"[^{BLANK}]{BLANK}|\p{{L}}\P{{L}}", p) for p in self.pieces):
+        if not any(self.bytes) or any(len(WORD.findall(p)) > 1 for p in self.pieces):
             raise ValueError(f"{path}: pieces must not reach over words and bytes must have pieces")
         if model.encode("ａ  b", out_type=str)[0] != BLANK:
             raise ValueError(f"{path}: the text must not be normalized")
         self.longest = max(map(len, self.pieces))
+        for piece, (_, score) in self.pieces.items():
+            halves = self._last_halves(piece) if len(piece) > 1 else ()
+            worst = min((self.pieces[h][1] for h in halves if len(h) > 1), default=math.inf)
+            if len(halves) == 1 or worst < score or (worst == score and piece.strip(BLANK)):
+                raise ValueError(f"{path}: {piece!r} scores better than what it is made of")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """``piece, rank`` of pieces of several characters, the best score first; its size is the vocabulary's, whatever the corpus."""
         ranks = {score: n for n, score in enumerate(sorted({s for _, s in self.pieces.values()}, reverse=True))}
         rows = [(p, ranks[s]) for p, (_, s) in self.pieces.items() if len(p) > 1]
-        return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "rank"]), "piece string, rank long")
-
-    def merged(self, word: str) -> list[int]:
-        """The ids of a word of any length, by a queue of neighbours that join."""
-        n = len(word)
-        end = list(range(1, n + 1))  # of the symbol that begins at a place; 0 once it is joined to the one before
-        before = list(range(-1, n - 1))
-        queue: list[tuple[float, int, int, int]] = []
-
-        def offer(a: int) -> None:
-            b = end[a]
-            if b < n and (found := self.pieces.get(word[a : end[b]])):
-                heapq.heappush(queue, (-found[1], a, b, end[b]))
-
-        for a in range(n - 1):
-            offer(a)
-        while queue:
-            _, a, b, c = heapq.heappop(queue)
-            if end[a] != b or end[b] != c:
-                continue
-            end[a], end[b] = c, 0
-            if c < n:
-                before[c] = a
-            offer(a)
-            if before[a] >= 0:
-                offer(before[a])
+        return spark.createDataFrame(pa.table(list(zip(*rows)), ["piece", "rank"]))
+
+    def _last_halves(self, piece: str) -> list[str]:
+        """The two symbols that encoding the piece's own text joins last; the whole text if it does not end in one symbol."""
+        symbols, before = list(piece), []
+        while len(symbols) > 1:
+            joins = [(-self.pieces[x + y][1], i) for i, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in self.pieces]
+            if not joins:
+                return [piece]
+            before, i = symbols, min(joins)[1]
+            symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
+        return before
+
+    def cut(self, word: str, stand: bytes | None) -> list[int]:
+        """The ids of a word whose pieces end where ``stand`` has a 1 (without one, its characters); a character that is no piece gives its bytes."""
         out, a = [], 0
-        while a < n:
-            out += self.ids_of(word[a : end[a]])
-            a = end[a]
-        return out
-
-    def ids_of(self, symbol: str) -> list[int]:
-        """The id of a piece; of another character the ids of its bytes."""
-        return [self.pieces[symbol][0]] if symbol in self.pieces else [self.bytes[x] for x in symbol.encode()]
-
-    def cut(self, word: str, stand: int) -> list[int]:
-        """The ids of a word whose pieces end where ``stand`` has bits."""
-        out, a = [], 0
-        for b in range(1, len(word) + 1):
-            if stand >> b & 1:
-                out += self.ids_of(word[a:b])
-                a = b
+        while a < len(word):
+            b = a + 1 if stand is None else stand.index(b"1", a + 1)
+            piece = word[a:b]
+            if piece in self.pieces:
+                out.append(self.pieces[piece][0])
+            else:
+                out += [self.bytes[x] for x in piece.encode()]
+            a = b
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -117,50 +125,43 @@ class Vocabulary:
         return text.removeprefix(b" ").decode("utf-8", "replace")
 
 
-class WordIds(dict):
-    """Ids of words as little-endian unsigned 32-bit numbers, made when first asked for, from where their pieces end; ``lost`` holds words that decoding does not give back."""
+class UnitIds(dict):
+    """Ids of units as little-endian unsigned 32-bit numbers, made when first asked for, from where the pieces of words end."""
 
-    def __init__(self, vocabulary: Vocabulary, stands: dict[str, int]):
+    def __init__(self, vocabulary: Vocabulary, stands: dict[str, bytes]):
         super().__init__()
-        self.vocabulary, self.stands, self.lost = vocabulary, stands, set()
-
-    def __missing__(self, word: str) -> bytes:
-        stand = self.stands.get(word)
-        ids = self.vocabulary.cut(word, stand) if stand is not None else self.vocabulary.merged(word)
-        if b"".join(map(self.vocabulary.text.__getitem__, ids)) != word.replace(BLANK, " ").encode():
-            self.lost.add(word)
-        found = self[word] = array("I", ids).tobytes()
+        self.vocabulary, self.stands = vocabulary, stands
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = array("I", [i for w in WORD.findall(unit) for i in self.vocabulary.cut(w, self.stands[w])]).tobytes()
         return found
 
 
 def folded(words: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
-    """``keys, word, stand`` of distinct rows ``keys, word`` with words of at most LONGEST characters: bit i of ``stand`` is set where a piece ends before character i.
+    """``keys, word, stand`` of distinct rows ``keys, word``: byte i of ``stand`` is 1 where a piece ends before character i, else 0.
 
     Words in which no two characters make a piece are left out: their pieces are their characters.
     """
     ranked = F.broadcast(vocabulary.table(words.sparkSession))
     n = F.length("word")
-    starts = words.select(*keys, "word", F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("a"))
-    parts = starts.where(n >= F.col("a") + 2).select(*keys, "word", "a", F.explode(F.sequence(F.col("a") + 2, F.least(n, F.col("a") + vocabulary.longest))).alias("b"))
-    edges = parts.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("b") - F.col("a"))).join(ranked, "piece")
-    # An edge as one number that sorts by rank, then by place.
-    lattice = edges.groupBy(*keys, "word").agg(F.sort_array(F.collect_list(F.col("rank") * 4096 + F.col("a") * 64 + F.col("b"))).alias("edges"))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)
-    start, end = (lambda e: F.shiftright(e, 6).bitwiseAND(63).cast("int")), (lambda e: e.bitwiseAND(63).cast("int"))
-    done = -(2**63)  # the sign bit: no edge fits any more, and the steps left are skipped
-
-    def fold(joins):
-        def step(stand, _):
-            fits = F.filter(joins, lambda e: (stand.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(stand.bitwiseAND(e["inside"])) == 1))
-            best = F.get(fits, F.lit(0))["inside"]
-            return F.when(stand < 0, stand).otherwise(F.coalesce(stand.bitwiseAND(F.bitwise_not(best)), stand.bitwiseOR(F.lit(done))))
-
-        return F.aggregate(F.sequence(F.lit(2), F.length("word")), bit(F.length("word") + 1) - 1, step)
-
-    joins = F.transform("edges", lambda e: F.struct((bit(start(e)) + bit(end(e))).alias("ends"), (bit(end(e)) - bit(start(e) + 1)).alias("inside")))
-    # A transform of one element binds the joins to a name: the fold's steps would make them anew each time.
-    folds = F.get(F.transform(F.array(joins), fold), F.lit(0)).bitwiseAND(F.lit(2**63 - 1))
-    return lattice.select(*keys, "word", folds.alias("stand"))
+    ends = words.select(*keys, "word", F.explode(F.sequence(F.lit(2), F.greatest(n, F.lit(2)))).alias("end"))
+    parts = ends.select(*keys, "word", "end", F.explode(F.sequence(F.lit(2), F.least("end", F.lit(vocabulary.longest)))).alias("size"))
+    edges = parts.withColumn("piece", F.substring("word", F.col("end") - F.col("size") + 1, F.col("size"))).join(ranked, "piece")
+    # An edge as one number that sorts by rank, then by end, then by length.
+    number = F.shiftleft("rank", 40) + F.shiftleft(F.col("end").cast("long"), 8) + F.col("size")
+    # The hash stands first among the keys: sorting compares one number instead of texts.
+    lattice = edges.groupBy(F.xxhash64("word").alias("hash"), "word", *keys).agg(F.sort_array(F.collect_list(number)).alias("edges"))
+    gone = F.array(*(F.lit(b"0" * k) for k in range(vocabulary.longest)))
+
+    def step(stand, edge):
+        size = edge.bitwiseAND(255).cast("int")
+        first = F.shiftright(edge, 8).bitwiseAND(2**32 - 1).cast("int") - size + 1  # of the edge, counted from 1
+        seen = F.substring(stand, first, size + 1).cast("string")
+        fits = seen.startswith("1") & seen.endswith("1") & (F.length(F.replace(seen, F.lit("0"))) == 3)
+        return F.when(fits, F.overlay(stand, F.get(gone, size - 1), first + 1)).otherwise(stand)
+
+    all_stand = F.repeat(F.lit("1"), F.length("word") + 1).cast("binary")
+    return lattice.select(*keys, "word", F.aggregate("edges", all_stand, step).alias("stand"))
 
 
 def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
@@ -168,29 +169,57 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
     vocabulary = Vocabulary(path)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
-    # Rows, not ids, are dealt: a repeated id is spread too.
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Some megabytes of rows as one compressed value: texts shrink to a third before they are shuffled."""
+        for batch in batches:
+            for a, b in slices(flat(batch.column("text"))[1]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(sink.getvalue(), 6)], pa.binary())], ["rows"])
+
+    # Packs of rows, not ids, are dealt: a repeated id is spread too.
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
-    dealt = docs.withColumn("block", block).repartitionById(blocks, F.col("block"))
-    marked = F.when(F.col("text") != "", F.concat(F.lit(BLANK), F.translate("text", " ", BLANK))).otherwise("")
-    each = F.explode(F.array_distinct(F.regexp_extract_all(marked, F.lit(f"({WORD})"), F.lit(1))))
-    # The first document of a word is asked for so that both uses of the dealt texts share one shuffle.
-    words = dealt.select("block", "doc_id", each.alias("word")).groupBy("block", "word").agg(F.min("doc_id").alias("first_doc")).where(F.length("word") <= LONGEST)
-    lattice = folded(words, vocabulary, ["block", "first_doc"])
+    dealt = docs.mapInArrow(pack, "rows binary").select(block.alias("block"), "rows").repartitionById(blocks, F.col("block"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words of a block, which is one partition, numbered in their order."""
+        numbers: list[int] = []
+
+        def texts() -> Iterator[list[str]]:
+            for batch in batches:
+                numbers.extend(batch.column("block").to_pylist())
+                yield from (_batch(r.as_buffer()).column("text").to_pylist() for r in batch.column("rows"))
+
+        words = words_of(texts())
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(numbers[0], pa.int32()), len(part)), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part)], ["block", "number", "word"])
+
+    # No column may be null or is left out, so that both uses of the dealt texts, and of the names, share one shuffle.
+    kinds = {"block": T.IntegerType(), "number": T.IntegerType(), "word": T.StringType()}
+    names = dealt.mapInArrow(name, T.StructType([T.StructField(c, k, False) for c, k in kinds.items()])).repartition(2 * blocks, "word")
+    each = names.groupBy("word").agg(F.min(F.struct("block", "number")).alias("first"))
+    lattice = folded(each, vocabulary, ["first"]).withColumnRenamed("word", "same").hint("shuffle_hash")
+    known = names.join(lattice, F.col("word") == F.col("same"), "left").select(F.col("block").alias("in_block"), "number", "stand", F.col("first.number").alias("first"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
-    word_pattern = regex.compile(WORD)
-    pieces = vocabulary
 
-    def put_together(texts: pa.Table, known: pa.Table) -> pa.Table:
-        ids_of = WordIds(pieces, dict(zip(known.column("word").to_pylist(), known.column("stand").to_pylist())))
+    def put_together(packs: pa.Table, known: pa.Table) -> pa.Table:
+        rows = [_batch(r.as_buffer()) for r in packs.column("rows")]
+        words = words_of(r.column("text").to_pylist() for r in rows)
+        stands: list[bytes | None] = [None] * len(words)
+        for number, stand in zip(known.column("number").to_pylist(), known.column("stand").to_pylist()):
+            stands[number] = stand
+        ids_of = UnitIds(vocabulary, dict(zip(words, stands)))
         out = []
-        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()):
-            words = word_pattern.findall(BLANK + text.replace(" ", BLANK)) if text else []
-            ids = b"".join(map(ids_of.__getitem__, words))
-            row = (doc, len(ids) // 4, zlib.crc32(ids), ids_of.lost.isdisjoint(words))
-            out.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row)
+        for doc, text in (row for r in rows for row in zip(r.column("doc_id").to_pylist(), r.column("text").to_pylist())):
+            ids = b"".join(map(ids_of.__getitem__, units_of(text)))
+            numbers = np.frombuffer(ids, "<u4")
+            row = (doc, len(numbers), zlib.crc32(ids), vocabulary.decode(numbers.tolist()) == text.replace(BLANK, " "))
+            out.append((*row, numbers.astype(np.int32)) if with_ids else row)
         columns = list(zip(*out)) or [()] * len(schema)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], schema.names)
 
-    here = lattice.select(F.col("block").alias("in_block"), "first_doc", "word", "stand").groupBy("in_block")
-    return dealt.select("block", "doc_id", "text").groupBy("block").cogroup(here).applyInArrow(lambda a, b: put_together(a, b), schema)
+    return dealt.groupBy("block").cogroup(known.repartitionById(blocks, F.col("in_block")).groupBy("in_block")).applyInArrow(lambda a, b: put_together(a, b), schema)
