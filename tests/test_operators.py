@@ -115,7 +115,7 @@ def test_auc_ties(spark):
 def test_session_clock_skips_lunch(spark):
     rows = spark.createDataFrame([(570,), (685,), (700,), (785,), (899,), (1000,)], "m int")
     got = rows.select(session.elapsed(F.col("m")).alias("e"), session.hhmm(session.shifted(F.col("m"), 10)).alias("t")).collect()
-    assert [(r["e"], r["t"]) for r in got] == [(0, "09:40"), (115, "13:05"), (120, "13:10"), (125, "13:15"), (239, None), (240, None)]
+    assert [(r["e"], r["t"]) for r in got] == [(0, "09:40"), (115, "13:05"), (120, "13:10"), (125, "13:15"), (239, None), (None, None)]
 
 
 def test_capped_weights_against_loop(spark):
@@ -135,12 +135,24 @@ def test_walk_waits_for_exits(spark):
 
 
 def test_first_in_first_out(spark):
-    buys = spark.createDataFrame([(1, 1, 1, 5), (1, 2, 2, 5)], "code long, id long, at long, quantity long")
-    sells = spark.createDataFrame([(1, 7, 3, 4), (1, 8, 4, 4), (1, 9, 5, 9)], "code long, id long, at long, quantity long")
+    day = lambda n: date(2024, 1, n)
+    kind = "code long, id long, at date, quantity long"
+    buys = spark.createDataFrame([(1, 1, day(1), 5), (1, 2, day(2), 5)], kind)
+    sells = spark.createDataFrame([(1, 7, day(3), 4), (1, 8, day(4), 4), (1, 9, day(5), 9)], kind)
     got = sorted((r["buy_id"], r["sell_id"], r["quantity"]) for r in backtest.first_in_first_out(buys, sells).collect())
     assert got == [(1, 7, 4), (1, 8, 1), (2, 8, 3), (2, 9, 2)]
 
 
+def test_sales_take_only_what_was_bought_on_an_earlier_day(spark):
+    day = lambda n: date(2024, 1, n)
+    kind = "code long, id long, at date, quantity long"
+    buys = spark.createDataFrame([(1, 1, day(2), 3), (1, 2, day(5), 4), (1, 3, day(8), 9)], kind)
+    # On day 2 nothing is sellable yet, day 3 finds three of five, day 5 nothing, day 6 four.
+    sells = spark.createDataFrame([(1, 4, day(2), 1), (1, 5, day(3), 5), (1, 6, day(5), 2), (1, 7, day(6), 1), (1, 8, day(7), 9)], kind)
+    got = sorted((r["buy_id"], r["sell_id"], r["quantity"]) for r in backtest.first_in_first_out(buys, sells).collect())
+    assert got == [(1, 5, 3), (2, 7, 1), (2, 8, 3)]
+
+
 def test_lag_features_use_partial_history(spark):
     df = bars(spark, [1.0, 2.0, -1.0, -2.0]).withColumn("y", F.col("close"))
     got = labels.lag_features(df, "y", 3)
@@ -196,7 +208,8 @@ def test_flat_and_zero_series_do_not_divide_by_zero(spark):
     from tidemark.operators import packs
 
     flat = bars(spark, [2.0] * 8).unionByName(bars(spark, [0.0] * 8, code=2))
-    assert packs.open_pack(flat, (5,)).where("code = 1").orderBy("date").collect()[-1]["CORR_5"] is None
+    last = packs.open_pack(flat, (5,), least=6).where("code = 1").orderBy("date").collect()[-1]
+    assert last["CORR_5"] is None and last["RSQR_5"] == 0 and last["MA_5"] == pytest.approx(1)
     assert packs.open_pack(flat, (5,)).count() == 16
     assert packs.gap_pack(flat).count() == 16
     assert column(flat.select("*", P.corr(F.col("close"), F.col("volume"), 3).alias("x")), "x") == [None] * 16
@@ -204,7 +217,7 @@ def test_flat_and_zero_series_do_not_divide_by_zero(spark):
     assert metrics.rank_ic(rows, "close", "y").count() == 8
     assert xsec.pair_correlations(flat, ["close", "volume"], 2).first()["r"] is None
     assert portfolio.tracking(flat, "close", "volume").first()["corr"] is None
-    assert technical.rsi(flat, 3).count() > 0 and technical.kdj(flat).count() == 16
+    assert technical.rsi(flat, 3).count() > 0 and technical.kdj(flat, n=8).count() == 16 and technical.kdj(flat).count() == 0
 
 
 def test_risk_covers_every_supplier(spark):
@@ -215,9 +228,10 @@ def test_risk_covers_every_supplier(spark):
     r = research_queries.returns(spark, SMALL)
     codes = {x["code"] for x in r.select("code").distinct().collect()}
     assert {x["code"] for x in registry.QUERIES["risk_tracking_codes"](spark, SMALL).collect()} == codes and len(codes) > 6
-    assert market_queries.nations(spark, SMALL).agg(F.sum("members")).first()[0] == r.count()
-    held = registry.QUERIES["risk_contributions_nations"](spark, SMALL).collect()
-    assert sum(x["weight"] for x in held) == pytest.approx(1, abs=1e-6) and sum(x["share"] for x in held) == pytest.approx(1, abs=1e-5)
+    assert market_queries.grouped(spark, SMALL, "n_nationkey").agg(F.sum("members")).first()[0] == r.count()
+    for name in ("risk_contributions", "risk_contributions_nations"):
+        held = registry.QUERIES[name](spark, SMALL).collect()
+        assert sum(x["weight"] for x in held) == pytest.approx(1, abs=1e-6) and sum(x["share"] for x in held) == pytest.approx(1, abs=1e-5)
 
 
 def test_every_window_of_the_open_pack_is_registered():

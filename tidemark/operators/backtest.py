@@ -64,16 +64,24 @@ def top_k_curve(rows: DataFrame, score: str, k: int, hold: int) -> DataFrame:
 
 
 def first_in_first_out(buys: DataFrame, sells: DataFrame) -> DataFrame:
-    """``code, buy_id, sell_id, quantity``: which buys each sale takes, oldest first.
+    """``code, buy_id, sell_id, quantity``: which buys (code, id, at, quantity; at is a date) each sale takes, oldest first.
 
-    Running totals of both sides cut a code's quantity into stretches; each belongs to the buy and the sale whose totals next reach its end.
+    A sale takes only what was bought on an earlier date and not sold before, and less than it asks for if there is less: with B bought before
+    it and Q asked for up to it, the sold total is Q plus the least B - Q so far, if that is negative. Running totals of both sides
+    then cut a code's quantity into stretches; each belongs to the buy and the sale whose totals next reach its end.
     """
-
-    def ends(rows: DataFrame, name: str, other: str) -> DataFrame:
-        total = F.sum("quantity").over(Window.partitionBy("code").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0))
-        return rows.where("quantity > 0").select("code", total.alias("end"), F.col("id").alias(f"{name}_id"), F.lit(None).cast("long").alias(f"{other}_id"))
-
-    cuts = ends(buys, "buy", "sell").unionByName(ends(sells, "sell", "buy")).groupBy("code", "end").agg(F.max("buy_id").alias("buy_id"), F.max("sell_id").alias("sell_id"))
+    by_time = Window.partitionBy("code").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    day = F.datediff("at", F.lit("1970-01-01"))
+    earlier = Window.partitionBy("code").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    rows = lambda side, sale: side.where("quantity > 0 and at is not null").select("code", "id", "at", day.alias("day"), F.col("quantity").cast("long").alias("quantity"), F.lit(sale).alias("sale"))
+    both = rows(buys, False).unionByName(rows(sells, True)).withColumn("bought", F.coalesce(F.sum(F.when(~F.col("sale"), F.col("quantity"))).over(earlier), F.lit(0)))
+    asked = both.where("sale").withColumn("asked", F.sum("quantity").over(by_time))
+    sold = asked.withColumn("end", F.col("asked") + F.least(F.lit(0), F.min(F.col("bought") - F.col("asked")).over(by_time)))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("code").orderBy("at", "id")), F.lit(0))
+    sold = sold.withColumn("before", before).where("end > before")
+    none = F.lit(None).cast("long")
+    cuts = both.where("not sale").select("code", F.sum("quantity").over(by_time).alias("end"), F.col("id").alias("buy_id"), none.alias("sell_id"))
+    cuts = cuts.unionByName(sold.select("code", "end", none.alias("buy_id"), F.col("id").alias("sell_id"))).groupBy("code", "end").agg(F.max("buy_id").alias("buy_id"), F.max("sell_id").alias("sell_id"))
     by_end = Window.partitionBy("code").orderBy("end")
     ahead = by_end.rowsBetween(0, Window.unboundedFollowing)
     size = F.col("end") - F.coalesce(F.lag("end").over(by_end), F.lit(0))

@@ -6,19 +6,29 @@ Pairs are made of the entities asked for, never of a whole table; sums over date
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pairs(returns: DataFrame, half_life: float | None = None) -> DataFrame:
-    """``a, b, n, cov`` for a <= b over the dates both have (code, date, ret); newer dates weigh more with a half-life in days."""
-    last = F.broadcast(returns.agg(F.max("date").alias("last")))  # one row
-    r = returns.where("ret is not null").join(last)
-    w = F.lit(1.0) if half_life is None else F.pow(F.lit(0.5), F.datediff("last", "date") / half_life)
-    r = r.select("date", "code", "ret", w.alias("w"))
+def pairs(returns: DataFrame, half_life: float | None = None, least: int = 1) -> DataFrame:
+    """``a, b, n, cov`` for a <= b over the dates both have (code, date, ret); pairs with fewer than ``least`` dates are left out.
+
+    With a half-life in periods a date weighs by how many dates of the table follow it. Only the distinct dates are ranked.
+    """
+    r = returns.where("ret is not null").select("date", "code", "ret")
+    if half_life is None:
+        r = r.withColumn("w", F.lit(1.0))
+    else:
+        age = F.row_number().over(Window.orderBy(F.desc("date"))) - 1
+        r = r.join(r.select("date").distinct().select("date", F.pow(F.lit(0.5), age / half_life).alias("w")), "date")
     x = r.select("date", F.col("code").alias("a"), F.col("ret").alias("x"), "w").join(r.select("date", F.col("code").alias("b"), F.col("ret").alias("y")), "date").where("a <= b")
     s = x.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("sxy"))
-    return s.select("a", "b", "n", (F.col("sxy") / F.col("sw") - F.col("sx") / F.col("sw") * F.col("sy") / F.col("sw")).alias("cov"))
+    return s.where(F.col("n") >= least).select("a", "b", "n", (F.col("sxy") / F.col("sw") - F.col("sx") / F.col("sw") * F.col("sy") / F.col("sw")).alias("cov"))
+
+
+def ewma(returns: DataFrame, half_life: float = 21.0, least: int = 10) -> DataFrame:
+    """``a, b, n, cov`` weighted by age in periods, for pairs with ``least`` common dates or more."""
+    return pairs(returns, half_life, least)
 
 
 def matrix(cov: DataFrame, codes: list) -> np.ndarray:

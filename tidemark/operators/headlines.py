@@ -13,7 +13,7 @@ def unique(rows: DataFrame) -> DataFrame:
     """One row for each code and title (code, title, published_at, clock_quality, fetched_at): the first time it was published, an exact clock before a bare date."""
     rows = rows.withColumn("title_hash", title_hash(F.col("title")))
     order = Window.partitionBy("code", "title_hash").orderBy(F.when(F.col("clock_quality") == "timestamp", 0).otherwise(1), F.asc_nulls_last("published_at"), "fetched_at", "title")
-    return rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    return rows.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
 
 
 def decision_days(rows: DataFrame, calendar: DataFrame, fill: str = "09:35") -> DataFrame:
@@ -38,4 +38,4 @@ def as_of(rows: DataFrame, day: str, limit: int) -> DataFrame:
     """The newest ``limit`` titles of each code published (or else fetched) up to a day."""
     at = F.coalesce(F.to_date("published_at"), F.to_date("fetched_at"))
     newest = Window.partitionBy("code").orderBy(F.desc("published_at"), "title")
-    return rows.where(at <= F.lit(day).cast("date")).withColumn("place", F.row_number().over(newest)).where(F.col("place") <= limit).drop("place")
+    return rows.where(at <= F.lit(day).cast("date")).withColumn("__place", F.row_number().over(newest)).where(F.col("__place") <= limit).drop("__place")

@@ -21,10 +21,12 @@ def rank_ic(rows: DataFrame, x: str, y: str, section: str = "date", least: int =
     return found.where((F.col("n") >= least) & (F.col("sx") > EPS) & (F.col("sy") > EPS)).drop("sx", "sy")
 
 
-def ic_summary(ics: DataFrame, column: str = "rank_ic") -> DataFrame:
-    """Days, mean, mean over sample deviation, and share above zero of a daily IC."""
+def ic_summary(ics: DataFrame, column: str = "rank_ic", least: int = 3) -> DataFrame:
+    """``days, mean_ic, ic_std, ic_ir, positive, max_names`` of a daily IC to four places: mean, deviation (of the population), their ratio and the share above zero; NULL below ``least`` days."""
     x = F.col(column)
-    return ics.agg(F.count("*").alias("days"), F.round(F.avg(x), 6).alias("mean_ic"), F.round(F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0)), 5).alias("ic_ir"), F.round(F.avg((x > 0).cast("double")), 6).alias("positive"), F.max("n").alias("max_names"))
+    enough, sd = F.count(x) >= least, F.stddev_pop(x)
+    stats = {"mean_ic": F.avg(x), "ic_std": sd, "ic_ir": F.when(sd > EPS, F.avg(x) / F.nullif(sd, F.lit(0.0))), "positive": F.avg((x > 0).cast("double"))}
+    return ics.agg(F.count(x).alias("days"), *(F.when(enough, F.round(v, 4)).alias(k) for k, v in stats.items()), F.max("n").alias("max_names"))
 
 
 def auc(rows: DataFrame, score: str, label: str, *by: str, least: int = 5) -> DataFrame:

@@ -1,7 +1,11 @@
-"""Wide feature packs: rolling fields anchored at a day's open, with what was known at that open.
+"""Wide feature packs: fields anchored at a day's open, with what was known at that open.
 
-A day's row stands for a bar whose prices are all today's open and whose volume is yesterday's. Instead of adding such
-rows, each window joins the frame of the rows before with today's open.
+A day's row stands for a bar whose prices are all today's open and whose volume is yesterday's; the rows before keep their own
+values. Such rows are not added: each window covers the rows before, and today's value joins their mean and spread by one step of
+the usual update of moments.
+
+Bars have code, date, open, high, low, close, volume, one row for each code and date; further columns are ignored. A NULL price or
+volume makes NULL what needs it; an entity with too short a series gets NULLs, an empty table an empty result.
 """
 
 from __future__ import annotations
@@ -9,92 +13,169 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import EPS, Panel, pearson
+from tidemark.functions.panel import EPS, Panel
 
 P = Panel()
-WINDOWS = (5, 10, 20)
+#: The windows in days, and the rows (today's among them) without which a day has no pack.
+WINDOWS = (5, 10, 20, 30, 60)
+LEAST = 61
+
+
+def _over(a: Column, b: Column) -> Column:
+    return a / (b + EPS)
+
+
+def _joined_moments(x: str, y: str, x0: Column, y0: Column, before, d: int) -> tuple[Column, Column, Column, Column]:
+    """Mean of y, and variances and covariance of x and y, of the d - 1 rows before and a last pair (of the population)."""
+    share = (d - 1) / d
+    mean_x, mean_y = F.avg(x).over(before), F.avg(y).over(before)
+    var = lambda c, m, last: share * F.var_pop(c).over(before) + share / d * (last - m) * (last - m)
+    cov = share * F.covar_pop(x, y).over(before) + share / d * (x0 - mean_x) * (y0 - mean_y)
+    return mean_y + (y0 - mean_y) / d, var(x, mean_x, x0), var(y, mean_y, y0), cov
 
 
-def open_pack(bars: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """``code, date`` and for each window d the fields NAME_d; NULL unless d + 1 rows exist.
+def _corr(var_x: Column, var_y: Column, cov: Column) -> Column:
+    """NULL where either does not vary (a deviation below 1e-12, or one lost in rounding)."""
+    return F.when((var_x > 1e-18) & (var_y > 1e-18), cov / F.sqrt(var_x * var_y))
+
+
+def open_pack(bars: DataFrame, windows: tuple[int, ...] = WINDOWS, least: int = LEAST) -> DataFrame:
+    """``code, date`` and for each window d the fields NAME_d; NULL unless ``least`` and d + 1 rows exist.
 
     Fields: ROC, MA, STD, BETA, RSQR, RESI, MAX, LOW, QTLU, QTLD, RANK, RSV, IMAX, IMIN, IMXD, CORR, CORD, CNTP, CNTN, CNTD, SUMP, SUMN,
     SUMD of prices and VMA, VSTD, WVMA, VSUMP, VSUMN, VSUMD, VROC, VRAMA of volumes.
     """
-    s = P.series
-    # Today's row as it stands at the open: high and low are the open, the volume is yesterday's.
-    o, v0 = F.nullif("open", F.lit(0.0)), F.lag("volume").over(s)
-    bars = bars.withColumn("open", o)
-    base = bars.withColumns({"o": F.col("open"), "v": v0, "r": o / F.lag("open").over(s) - 1, "i": (F.row_number().over(s)).cast("double")})
-    base = base.withColumns({"dv": F.col("v") - F.lag("v").over(s), "vr": F.log(F.col("v") / F.nullif(F.lag("v").over(s), F.lit(0.0)) + 1), "lv": F.log(F.col("v") + 1), "rv": F.abs("r") * F.col("v")})
-    x = F.col
+    s, x = P.series, F.col
+    o = x("open")
+    ago = lambda c, n=1: F.lag(c, n).over(s)
+    base = bars.select("code", "date", "open", "high", "low", "volume").withColumns({
+        "o": o, "r": _over(o, ago("open")) - 1, "i": F.row_number().over(s).cast("double"), "dv": x("volume") - ago("volume"), "lv": F.log(x("volume") + 1),
+        "vr": F.log(_over(x("volume"), ago("volume")) + 1), "last_v": ago("volume"),
+    })
+    # Yesterday's volume stands for today's; without one a unit does. Its change against itself is none.
+    base = base.withColumns({"rv": F.abs("r") * x("volume"), "v0": F.when(x("i") > 1, F.coalesce(F.nullif("last_v", F.lit(0.0)), F.lit(1.0)))})
+    vr0 = F.log(_over(x("v0"), x("last_v")) + 1)
     out: dict[str, Column] = {}
+    arrays: dict[str, Column] = {}
     for d in windows:
         w, before = P.frame(d), s.rowsBetween(-(d - 1), -1)
-        there = F.row_number().over(s) >= d + 1
-        high = F.greatest(F.max("high").over(before), x("o"))
-        low = F.least(F.min("low").over(before), x("o"))
-        highs, lows = F.concat(F.collect_list("high").over(before), F.array("o")), F.concat(F.collect_list("low").over(before), F.array("o"))
+        arrays |= {f"_sorted_{d}": F.sort_array(F.collect_list("o").over(w)), f"_highs_{d}": F.concat(F.collect_list("high").over(before), F.array("o")), f"_lows_{d}": F.concat(F.collect_list("low").over(before), F.array("o"))}
+        there = x("i") >= max(d + 1, least)
+        ordered, highs, lows = x(f"_sorted_{d}"), x(f"_highs_{d}"), x(f"_lows_{d}")
+        high, low = F.array_max(highs), F.array_min(lows)
         at_high, at_low = (F.array_position(highs, high) - 1) / d, (F.array_position(lows, low) - 1) / d
-        slope, level = F.regr_slope("o", "i").over(w), F.regr_intercept("o", "i").over(w)
-        up, down, moves = F.sum(F.greatest("r", F.lit(0.0))).over(w), F.sum(F.greatest(-x("r"), F.lit(0.0))).over(w), F.sum(F.abs("r")).over(w) + EPS
-        v_up, v_down, v_moves = F.sum(F.greatest("dv", F.lit(0.0))).over(w), F.sum(F.greatest(-x("dv"), F.lit(0.0))).over(w), F.sum(F.abs("dv")).over(w) + EPS
+        slope, level, var_o, mean_o = F.regr_slope("o", "i").over(w), F.regr_intercept("o", "i").over(w), F.var_pop("o").over(w), F.avg("o").over(w)
+        up, down, moves = F.sum(F.greatest("r", F.lit(0.0))).over(w), F.sum(F.greatest(-x("r"), F.lit(0.0))).over(w), F.sum(F.abs("r")).over(w)
+        v_up, v_down, v_moves = F.sum(F.greatest("dv", F.lit(0.0))).over(before), F.sum(F.greatest(-x("dv"), F.lit(0.0))).over(before), F.sum(F.abs("dv")).over(before)
+        v_today = x("v0") - x("last_v")
+        v_up, v_down, v_moves = v_up + F.greatest(v_today, F.lit(0.0)), v_down + F.greatest(-v_today, F.lit(0.0)), v_moves + F.abs(v_today)
         share = lambda hit: F.avg(hit.cast("double")).over(w)  # noqa: B023, E731
-        weighted = F.avg("rv").over(w)
+        mean_v, _, var_v, _ = _joined_moments("o", "volume", x("o"), x("v0"), before, d)
+        mean_rv, _, var_rv, _ = _joined_moments("o", "rv", x("o"), F.abs("r") * x("v0"), before, d)
+        _, var_1, var_2, cov = _joined_moments("o", "lv", x("o"), F.log(x("v0") + 1), before, d)
+        _, var_3, var_4, cov_r = _joined_moments("r", "vr", x("r"), vr0, before, d)
+
+        def quantile(p: float) -> Column:
+            at = p * (d - 1)  # noqa: B023
+            a, b = F.get(ordered, F.lit(int(at))), F.get(ordered, F.lit(min(int(at) + 1, d - 1)))  # noqa: B023
+            return a + (b - a) * (at - int(at))
+
         fields = {
-            "ROC": F.lag("open", d).over(s) / x("o"),
-            "MA": F.avg("o").over(w) / x("o"),
-            "STD": F.stddev_pop("o").over(w) / x("o"),
-            "BETA": slope / x("o"),
-            "RSQR": F.regr_r2("o", "i").over(w),
-            "RESI": (x("o") - (level + slope * x("i"))) / x("o"),
-            "MAX": high / x("o"),
-            "LOW": low / x("o"),
-            "QTLU": F.percentile("o", 0.8).over(w) / x("o"),
-            "QTLD": F.percentile("o", 0.2).over(w) / x("o"),
-            "RANK": F.size(F.filter(F.collect_list("o").over(w), lambda y: y < x("o"))) / d,
-            "RSV": (x("o") - low) / (high - low + EPS),
+            "ROC": _over(ago("open", d), x("o")),
+            "MA": _over(mean_o, x("o")),
+            "STD": _over(F.sqrt(var_o), x("o")),
+            "BETA": _over(slope, x("o")),
+            "RSQR": F.when(var_o * d > EPS, F.regr_r2("o", "i").over(w)).otherwise(F.lit(0.0)),
+            "RESI": _over(x("o") - (level + slope * x("i")), x("o")),
+            "MAX": _over(high, x("o")),
+            "LOW": _over(low, x("o")),
+            "QTLU": _over(quantile(0.8), x("o")),
+            "QTLD": _over(quantile(0.2), x("o")),
+            "RANK": F.size(F.filter(ordered, lambda y: y < x("o"))) / d,
+            "RSV": _over(x("o") - low, high - low),
             "IMAX": at_high,
             "IMIN": at_low,
             "IMXD": at_high - at_low,
-            "CORR": pearson(x("o"), x("lv"), w),
-            "CORD": pearson(x("r"), x("vr"), w),
+            "CORR": _corr(var_1, var_2, cov),
+            "CORD": _corr(var_3, var_4, cov_r),
             "CNTP": share(x("r") > 0),
             "CNTN": share(x("r") < 0),
             "CNTD": share(x("r") > 0) - share(x("r") < 0),
-            "SUMP": up / moves,
-            "SUMN": down / moves,
-            "SUMD": (up - down) / moves,
-            "VMA": F.avg("v").over(w) / (x("v") + EPS),
-            "VSTD": F.stddev_pop("v").over(w) / (x("v") + EPS),
-            "WVMA": F.when(weighted > EPS, F.stddev_pop("rv").over(w) / weighted),
-            "VSUMP": v_up / v_moves,
-            "VSUMN": v_down / v_moves,
-            "VSUMD": (v_up - v_down) / v_moves,
-            "VROC": F.lag("v", d).over(s) / (x("v") + EPS),
-            "VRAMA": (F.avg("v").over(w) / (x("v") + EPS)) / (F.avg("o").over(w) / x("o")),
+            "SUMP": _over(up, moves),
+            "SUMN": _over(down, moves),
+            "SUMD": _over(up - down, moves),
+            "VMA": _over(mean_v, x("v0")),
+            "VSTD": _over(F.sqrt(var_v), x("v0")),
+            "WVMA": F.when(mean_rv > EPS, _over(F.sqrt(var_rv), mean_rv)),
+            "VSUMP": _over(v_up, v_moves),
+            "VSUMN": _over(v_down, v_moves),
+            "VSUMD": _over(v_up - v_down, v_moves),
+            "VROC": _over(ago("volume", d), x("last_v")),
+            "VRAMA": _over(_over(mean_v, x("last_v")), _over(mean_o, x("o"))),
         }
         out |= {f"{name}_{d}": F.when(there, value) for name, value in fields.items()}
-    return base.select("code", "date", *(value.alias(name) for name, value in out.items()))
+    return base.withColumns(arrays).select("code", "date", *(value.alias(name) for name, value in out.items()))
 
 
-def gap_pack(bars: DataFrame) -> DataFrame:
-    """``code, date`` and today's gap: against the last close, within yesterday's range, in yesterday's ranges, and to the limits of 10 per cent."""
+def _inside(value: Column, span: Column, flat: float) -> Column:
+    """``value`` in spans; ``flat`` where the span is none."""
+    return F.when(span > EPS, value / span).when(span.isNotNull(), F.lit(flat))
+
+
+def candle_pack(bars: DataFrame) -> DataFrame:
+    """``code, date`` and the shape of yesterday's bar: body, length, shadows and shift against its open, and against its range (0 where it has none)."""
     s = P.series
-    close, high, low, open_ = (F.lag(c).over(s) for c in ("close", "high", "low", "open"))
-    close = F.nullif(close, F.lit(0.0))
-    span = high - low
-    inside = lambda v: F.when(span > EPS, v / span).otherwise(F.lit(0.0))
-    o = F.col("open")
-    return bars.select(
-        "code",
-        "date",
-        (o / close - 1).alias("gap"),
-        inside(o - low).alias("place"),
-        inside(o - close).alias("gap_in_ranges"),
-        ((close * 1.1 - o) / close).alias("to_upper"),
-        ((o - close * 0.9) / close).alias("to_lower"),
-        inside(close - open_).alias("body"),
-        inside(high - F.greatest(close, open_)).alias("upper_shadow"),
-        inside(F.least(close, open_) - low).alias("lower_shadow"),
-    )
+    c, o, h, l = (F.lag(x).over(s) for x in ("close", "open", "high", "low"))
+    rng, top, bottom = h - l, F.greatest(o, c), F.least(o, c)
+    parts = {"YKMID": c - o, "YKUP": h - top, "YKLOW": bottom - l, "YKSFT": 2.0 * c - h - l}
+    fields = {name: _over(v, o) for name, v in parts.items()} | {f"{name}2": _inside(v, rng, 0.0) for name, v in parts.items()}
+    fields |= {"YKLEN": _over(rng, o), "YBODY": _over(F.abs(c - o), o), "YUPPER_SHARE": _inside(h - top, rng, 0.0), "YLOWER_SHARE": _inside(bottom - l, rng, 0.0)}
+    return bars.select("code", "date", *(v.alias(k) for k, v in fields.items()))
+
+
+def gap_pack(bars: DataFrame) -> DataFrame:
+    """``code, date`` and today's open against yesterday's bar: the gap, its size in ranges, in true ranges and in usual moves, the distance to the limits of 10 per cent, and yesterday's levels and volume."""
+    s, x = P.series, F.col
+    ago = lambda c, n=1: F.lag(c, n).over(s)
+    last = lambda n: s.rowsBetween(-n, -1)
+    b = bars.select("code", "date", "open", "high", "low", "close", "volume").withColumns({"n": F.row_number().over(s), "before": ago("close")})
+    b = b.withColumns({
+        "tr": _over(F.greatest(x("high") - x("low"), F.abs(x("high") - x("before")), F.abs(x("low") - x("before"))), x("before")),
+        "oo": F.when(x("n") == 1, F.lit(0.0)).otherwise(_over(x("open"), ago("open")) - 1),
+    })
+    # The first row has no true range: NULLs do not count in a mean.
+    tr = F.when(x("before").isNotNull(), x("tr"))
+    b = b.withColumn("tr", tr)
+    atr = F.coalesce(F.avg("tr").over(last(14)), F.lit(EPS))
+    c, o, h, l, v = (ago(y) for y in ("close", "open", "high", "low", "volume"))
+    gap, rng = _over(x("open"), c) - 1, h - l
+    rng_pct = _over(rng, c)
+    ma5 = F.when(x("n") > 5, F.avg("oo").over(last(5))).otherwise(F.lit(0.0))
+    ma20 = F.when(x("n") > 20, F.avg("oo").over(last(20))).otherwise(ma5)
+    full = x("n") > 20
+    vol_z = _over(v - F.when(full, F.avg("volume").over(last(20))).otherwise(v), F.when(full, F.stddev_pop("volume").over(last(20))).otherwise(F.lit(EPS)))
+    flag = lambda hit: F.when(hit.isNotNull(), hit.cast("double"))
+    fields = {
+        "GAP": gap, "GAP_ABS": F.abs(gap), "CLOSE0": _over(c, x("open")), "YHIGH0": _over(h, x("open")), "YLOW0": _over(l, x("open")), "YVWAP0": _over((h + l + c) / 3, x("open")), "YOPEN0": _over(o, x("open")),
+        "OPEN_IN_YRANGE": _inside(x("open") - l, rng, 0.5), "GAP_VS_YRANGE": _inside(gap, rng_pct, 0.0), "GAP_ATR": _over(gap, atr), "ABOVE_YHIGH": flag(x("open") > h), "BELOW_YLOW": flag(x("open") < l),
+        "GAP_UP": F.greatest(gap, F.lit(0.0)), "GAP_DN": F.greatest(-gap, F.lit(0.0)), "NEAR_UPLIMIT": _over(c * 1.1 - x("open"), c), "NEAR_DNLIMIT": _over(x("open") - c * 0.9, c), "YCLOSE_LOC": _inside(c - l, rng, 0.5),
+        "GAP_X_YVOL": gap * vol_z, "GAP_X_YRANGE": gap * rng_pct, "YOPEN_RET": F.when(x("n") >= 3, _over(o, ago("close", 2)) - 1).otherwise(F.lit(0.0)), "YRANGE_PCT": rng_pct, "YVOL_Z20": vol_z,
+        "GAP_VS_OOMA5": gap - ma5, "GAP_VS_OOMA20": gap - ma20,
+    }
+    return b.select("code", "date", *(F.when(x("n") > 1, y).alias(k) for k, y in fields.items()))
+
+
+def lag_pack(bars: DataFrame) -> DataFrame:
+    """``code, date`` and what the days before did: open-to-open returns up to today's, close and range moves, shocks; NULL with fewer than five days before."""
+    s, x = P.series, F.col
+    ago = lambda c, n=1: F.lag(c, n).over(s)
+    b = bars.select("code", "date", "open", "high", "low", "close", "volume").withColumns({"n": F.row_number().over(s), "oo": _over(x("open"), ago("open")) - 1, "rng": _over(x("high") - x("low"), x("close"))})
+    to_today, last20 = P.frame, s.rowsBetween(-20, -1)
+    usual = lambda c: F.when(x("n") > 20, F.avg(c).over(last20)).otherwise(ago(c))
+    ten = x("n") > 10
+    fields = {
+        "OO_LAG1": x("oo"), "OO_LAG2": ago("oo"), "OO_LAG3": ago("oo", 2), "OO_MA5": F.avg("oo").over(to_today(5)), "OO_STD5": F.stddev_pop("oo").over(to_today(5)), "CC_LAG1": _over(ago("close"), ago("close", 2)) - 1,
+        "OC_LAG1": _over(ago("close"), ago("open")) - 1, "OO_SIGN_MA5": F.avg(F.signum("oo")).over(to_today(5)), "MOM3_O": F.sum("oo").over(to_today(3)), "MOM3_C": _over(ago("close"), ago("close", 4)) - 1, "REV1_O": -x("oo"),
+        "VOL_SHOCK": _over(ago("volume"), usual("volume")), "RANGE_SHOCK": _over(ago("rng"), usual("rng")), "OO_MA10": F.when(ten, F.avg("oo").over(to_today(10))), "OO_STD10": F.when(ten, F.stddev_pop("oo").over(to_today(10))),
+    }
+    return b.select("code", "date", *(F.when(x("n") > 5, y).alias(k) for k, y in fields.items()))

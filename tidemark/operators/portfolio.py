@@ -58,12 +58,12 @@ def kupiec(rows: DataFrame, ret: str, limit: Column, alpha: float, *by: str) ->
 
 
 def scenarios(returns: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``scenario, days, total_pct, vol, worst_pct`` of returns (date, ret as a fraction) within each scenario's dates.
+    """``scenario, days, total_pct, log_total, vol, worst_pct`` of returns (date, ret as a fraction) within each scenario's dates.
 
     Scenarios (name, first, last) are few: each return is put into the ones that hold its date.
     """
     inside = returns.join(F.broadcast(ranges), F.col("date").between(F.col("first"), F.col("last")))
-    return inside.groupBy("scenario").agg(F.count("*").alias("days"), ((F.exp(F.sum(F.log1p("ret"))) - 1) * 100).alias("total_pct"), F.stddev_pop("ret").alias("vol"), (F.min("ret") * 100).alias("worst_pct"))
+    return inside.groupBy("scenario").agg(F.count("*").alias("days"), ((F.exp(F.sum(F.log1p("ret"))) - 1) * 100).alias("total_pct"), F.sum(F.log1p("ret")).alias("log_total"), F.stddev_pop("ret").alias("vol"), (F.min("ret") * 100).alias("worst_pct"))
 
 
 def brinson(rows: DataFrame, sector: str, w: str, b: str, r: str, q: str) -> DataFrame:
@@ -84,11 +84,17 @@ def tracking(rows: DataFrame, own: str, other: str, *keys: str, yearly: int = 25
     return rows.where(x.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), pearson(F.col(own), F.col(other)).alias("corr"), (sd * math.sqrt(yearly)).alias("tracking_error"), F.when(sd > EPS, F.avg(x) / sd).alias("ir"), ((F.exp(F.sum(F.log1p(x))) - 1) * 100).alias("total_excess_pct"))
 
 
-def turnover(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``code, delta`` of all codes in either, and ``turnover``: half the summed moves of weight."""
-    both = before.select("code", F.col("weight").alias("old")).join(after.select("code", F.col("weight").alias("new")), "code", "full")
-    delta = F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))
-    return both.select("code", delta.alias("delta"), (F.sum(F.abs(delta)).over(Window.partitionBy()) / 2).alias("turnover"))
+def turnover_by_date(weights: DataFrame) -> DataFrame:
+    """``date, n, turnover, bought`` of weights (code, date, weight) from the second date on: codes held on it or on the date before, half the summed moves, and the summed rises.
+
+    Each weight counts on its own date and, negative, on the next: two rows a weight, no self-join. Only the distinct dates are put in order.
+    """
+    dates = weights.select("date").distinct()
+    after = dates.select("date", F.lead("date").over(Window.orderBy("date")).alias("next"), F.lag("date").over(Window.orderBy("date")).alias("before"))
+    own = weights.join(after, "date")
+    moves = own.where("before is not null").select("code", "date", "weight").unionByName(own.where("next is not null").select("code", F.col("next").alias("date"), (-F.col("weight")).alias("weight")))
+    delta = moves.groupBy("date", "code").agg(F.sum("weight").alias("delta"))
+    return delta.groupBy("date").agg(F.count("*").alias("n"), (F.sum(F.abs("delta")) / 2).alias("turnover"), F.sum(F.greatest("delta", F.lit(0.0))).alias("bought"))
 
 
 def capped_weights(rows: DataFrame, score: str, cap: float, section: str = "date", rounds: int = 8) -> DataFrame:

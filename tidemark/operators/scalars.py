@@ -64,7 +64,8 @@ def fused(parts: list[tuple[Column, float]]) -> Column:
     return F.when(weight > 0, sum((F.coalesce(x * w, F.lit(0.0)) for x, w in parts), F.lit(0.0)) / weight)
 
 
-def kelly(win_rate: Column, gain: Column, loss: Column, cap: float = 0.25) -> Column:
-    """Kelly fraction of a bet, within 0 and ``cap``."""
-    ratio = safe_div(gain, loss)
-    return F.greatest(F.lit(0.0), F.least(F.lit(cap), F.coalesce(win_rate - safe_div(1 - win_rate, ratio), F.lit(0.0))))
+def kelly(win_rate: Column, gain_to_loss: Column, cap: float = 0.25, floor: float = 0.05, default: float = 0.15) -> Column:
+    """Half the Kelly fraction within ``floor`` and ``cap``, to four places; ``default`` without a ratio above 0 or a rate between 0 and 1."""
+    usable = (win_rate > 0) & (win_rate < 1) & (gain_to_loss > 0)
+    half = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (win_rate * gain_to_loss - (1 - win_rate)) / gain_to_loss)) / 2
+    return F.when(usable, F.round(F.greatest(F.lit(floor), F.least(F.lit(cap), half)), 4)).otherwise(F.lit(default))

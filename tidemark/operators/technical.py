@@ -41,30 +41,31 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
 
 
 def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
-    """``code, date, rsi`` by Wilder's average: begun with the mean of the first ``period`` moves; 100 without a loss."""
+    """``code, date, rsi`` by Wilder's average: begun with the mean of the first ``period`` moves, given from the move after them on; 100 without a loss."""
     move = F.col("close") - F.lag("close").over(P.series)
     moves = bars.where("close is not null").withColumn("move", move).where("move is not null").withColumns({"gain": F.greatest("move", F.lit(0.0)), "loss": F.greatest(-F.col("move"), F.lit(0.0))})
-    s = _series(moves, "gain", "loss").where(F.size("s") >= period)
+    s = _series(moves, "gain", "loss").where(F.size("s") > period)
 
     def wilder(name: str) -> Column:
         x = F.transform("s", lambda r: r[name])
         first = F.aggregate(F.slice(x, 1, period), F.lit(0.0), lambda a, v: a + v) / period
-        return scan(F.concat(F.array(first), F.slice(x, period + 1, F.size(x))), first, lambda e, v: (e * (period - 1) + v) / period)
+        all_states = scan(F.concat(F.array(first), F.slice(x, period + 1, F.size(x))), first, lambda e, v: (e * (period - 1) + v) / period)
+        return F.slice(all_states, 2, F.size(x))
 
-    dates = F.transform(F.slice("s", period, F.size("s")), lambda r: r["date"])
+    dates = F.transform(F.slice("s", period + 1, F.size("s")), lambda r: r["date"])
     rows = s.select("code", F.inline(F.arrays_zip(dates.alias("date"), wilder("gain").alias("g"), wilder("loss").alias("l"))))
     return rows.select("code", "date", F.when(F.col("l") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("g") / F.col("l"))).alias("rsi"))
 
 
 def kdj(bars: DataFrame, n: int = 9, m: int = 3) -> DataFrame:
-    """``code, date, k, d, j``: the place in the range of up to n rows, smoothed twice by 1 / m from 50."""
+    """``code, date, k, d, j``: the place in the range of up to n rows, smoothed twice by 1 / m; the first row is 50, and entities with fewer than n rows have none."""
     w = P.frame(n)
     low, high = F.min("low").over(w), F.max("high").over(w)
     rsv = F.when(high > low, (F.col("close") - low) / (high - low) * 100).otherwise(F.lit(50.0))
-    s = _series(bars.where("close is not null").withColumn("rsv", rsv), "rsv").withColumn("x", F.transform("s", lambda r: r["rsv"]))
+    s = _series(bars.where("close is not null").withColumn("rsv", rsv), "rsv").where(F.size("s") >= n).withColumn("x", F.transform("s", lambda r: r["rsv"]))
 
     def smooth(x: Column) -> Column:
-        return F.slice(scan(F.concat(F.array(F.lit(50.0)), x), F.lit(50.0), lambda e, v: (e * (m - 1) + v) / m), 2, F.size(x))
+        return scan(x, F.lit(50.0), lambda e, v: (e * (m - 1) + v) / m)
 
     s = s.withColumn("k", smooth(F.col("x"))).withColumn("d", smooth(F.col("k")))
     rows = s.select("code", F.inline(F.arrays_zip(F.transform("s", lambda r: r["date"]).alias("date"), "k", "d")))

@@ -52,11 +52,11 @@ def breadth(gap: Column, trigger: float, *groups: str) -> Column:
 
 def less_peers(rows: DataFrame, value: str, sector: str, section: str = "date", least: int = 3) -> DataFrame:
     """``rows`` with ``peer``, the median of the sector (of all, if it has fewer than ``least``), and the difference to it."""
-    of_sector = rows.groupBy(section, sector).agg(F.percentile(value, 0.5).alias("of_sector"), F.count(value).alias("n"))
-    of_all = rows.groupBy(section).agg(F.percentile(value, 0.5).alias("of_all"))
+    of_sector = rows.groupBy(section, sector).agg(F.percentile(value, 0.5).alias("__of_sector"), F.count(value).alias("__n"))
+    of_all = rows.groupBy(section).agg(F.percentile(value, 0.5).alias("__of_all"))
     joined = rows.join(of_sector, [section, sector]).join(of_all, section)
-    joined = joined.withColumn("peer", F.when(F.col("n") >= least, F.col("of_sector")).otherwise(F.col("of_all")))
-    return joined.withColumn("less_peer", F.col(value) - F.col("peer")).drop("of_sector", "of_all", "n")
+    joined = joined.withColumn("peer", F.when(F.col("__n") >= least, F.col("__of_sector")).otherwise(F.col("__of_all")))
+    return joined.withColumn("less_peer", F.col(value) - F.col("peer")).drop("__of_sector", "__of_all", "__n")
 
 
 def pair_correlations(rows: DataFrame, features: list[str], least: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.panel import safe_div
 from tidemark.operators import covariance, headlines, scalars
 from tidemark.plans.panel_queries import c, rounded
 from tidemark.plans.registry import register
@@ -41,13 +42,13 @@ def scalar_clocks(spark, d):
     "scalar_forecasts",
     """with s as (select event_id, value / 50 - 1 as a, case when event_id % 3 <> 0 then value / 40 - 2 end as b from events)
     select event_id, round(((1 + a / 100) * (1 + coalesce(b, 0) / 100) - 1) * 100, 8) + 0.0 as both_legs, round(((1 + a / 100) / (1 + b / 100) - 1) * 100, 8) + 0.0 as remaining, round((a * 0.6 + coalesce(b * 0.4, 0)) / case when b is null then 0.6 else 1.0 end, 8) + 0.0 as fused,
-    round(greatest(0, least(0.25, coalesce(0.55 - 0.45 / (abs(a) / case when abs(b) > 1e-12 then abs(b) end), 0))), 8) as kelly from s where abs(a) > 0.001""",
+    case when b is not null and abs(b) > 1e-12 then round(greatest(0.05, least(0.25, least(1, greatest(0, 0.55 - 0.45 / (abs(a) / abs(b)))) / 2)), 4) else 0.15 end as kelly from s where abs(a) > 0.001""",
     dates=(),
 )
 def scalar_forecasts(spark, d):
     s = B.read(spark, d, "events").select("event_id", (c("value") / 50 - 1).alias("a"), F.when(c("event_id") % 3 != 0, c("value") / 40 - 2).alias("b")).where("abs(a) > 0.001")
     a, b = c("a"), c("b")
-    out = s.select("event_id", scalars.compound_pct(a, F.coalesce(b, F.lit(0.0))).alias("both_legs"), scalars.remaining_pct(a, b).alias("remaining"), scalars.fused([(a, 0.6), (b, 0.4)]).alias("fused"), scalars.kelly(F.lit(0.55), F.abs(a), F.abs(b)).alias("kelly"))
+    out = s.select("event_id", scalars.compound_pct(a, F.coalesce(b, F.lit(0.0))).alias("both_legs"), scalars.remaining_pct(a, b).alias("remaining"), scalars.fused([(a, 0.6), (b, 0.4)]).alias("fused"), scalars.kelly(F.lit(0.55), safe_div(F.abs(a), F.abs(b))).alias("kelly"))
     return rounded(out, "event_id", digits=8)
 
 
@@ -95,74 +96,45 @@ def news_lexicon(spark, d):
     return B.read(spark, d, "conversations").select("conv_id", "turn", (scalars.lexicon_score(c("text"), ["la", "der"], ["the", "que"]) + 0.0).alias("score"))
 
 
-_FEW = f"{_RET}, q as (select code, date, greatest(-0.5, least(0.5, ret)) as ret from r where code < 6 and ret is not null)"
+# Covariances of all suppliers' returns, averaged by date and by nation or region of the supplier, so that pairs stay few at any scale.
 
 
-def few(spark, d):
-    return returns(spark, d).where("code < 6").withColumn("ret", F.greatest(F.lit(-0.5), F.least(F.lit(0.5), c("ret"))))
+def _grouped_sql(key: str) -> str:
+    return f"{_RET}, q as (select cast(coalesce({key}, -1) as bigint) as code, date, avg(greatest(-0.5, least(0.5, ret))) as ret, count(*) as members from r left join supplier on code = s_suppkey left join nation on s_nationkey = n_nationkey where ret is not null group by 1, 2)"
 
 
-@register("risk_covariance", f"with {_FEW} select x.code as a, y.code as b, count(*) as n, round(covar_pop(x.ret, y.ret), 8) as cov from q x join q y on x.date = y.date and x.code <= y.code group by 1, 2", dates=())
-def risk_covariance(spark, d):
-    return covariance.pairs(few(spark, d)).withColumn("cov", F.round("cov", 8))
+def grouped(spark, d, key):
+    places = B.read(spark, d, "supplier").join(F.broadcast(B.read(spark, d, "nation")), c("s_nationkey") == c("n_nationkey"), "left").select(c("s_suppkey").alias("code"), c(key).cast("long").alias("place"))  # nations are 25 rows
+    r = returns(spark, d).join(places, "code", "left").withColumn("ret", F.greatest(F.lit(-0.5), F.least(F.lit(0.5), c("ret"))))
+    return r.groupBy(F.coalesce("place", F.lit(-1)).alias("code"), "date").agg(F.avg("ret").alias("ret"), F.count("*").alias("members"))
 
 
-_EWMA = f"""{_FEW}, w as (select *, pow(0.5, date_diff('day', date, max(date) over ()) / 400.0) as w from q), s as (select x.code as a, y.code as b, count(*) as n, sum(x.w) as sw, sum(x.w * x.ret) as sx, sum(x.w * y.ret) as sy, sum(x.w * x.ret * y.ret) as sxy from w x join w y on x.date = y.date and x.code <= y.code group by 1, 2),
-cv as (select a, b, n, sxy / sw - sx / sw * sy / sw as cov from s)"""
-
-
-@register("risk_ewma_covariance", f"with {_EWMA} select a, b, n, round(cov, 8) as cov from cv", dates=())
-def risk_ewma_covariance(spark, d):
-    return covariance.pairs(few(spark, d), half_life=400.0).withColumn("cov", F.round("cov", 8))
-
-
-@register(
-    "risk_contributions",
-    f"""with {_EWMA}, f as (select a, b, cov from cv union all select b, a, cov from cv where a <> b), t as (select a, sum(cov * (b + 1) / 21.0) as cw from f group by 1), v as (select sum(cw * (a + 1) / 21.0) as var from t)
-    select a as code, round((a + 1) / 21.0, 8) as weight, round(cw / sqrt(var), 7) as marginal, round(cw * (a + 1) / 21.0 / var, 7) as share from t, v""",
-    dates=(),
-)
-def risk_contributions(spark, d):
-    weights = spark.createDataFrame([(i, (i + 1) / 21.0) for i in range(6)], "code long, weight double")
-    out = covariance.contributions(covariance.pairs(few(spark, d), half_life=400.0), weights)
-    return out.select("code", F.round("weight", 8).alias("weight"), F.round("marginal", 7).alias("marginal"), F.round("share", 7).alias("share"))
-
-
-# The same over all suppliers: their returns averaged by nation and date, so that pairs stay few at any scale.
-
-_NATIONS = f"{_RET}, q as (select cast(coalesce(s_nationkey, -1) as bigint) as code, date, avg(greatest(-0.5, least(0.5, ret))) as ret, count(*) as members from r left join supplier on code = s_suppkey where ret is not null group by 1, 2)"
-
-
-def nations(spark, d):
-    of = B.read(spark, d, "supplier").select(c("s_suppkey").alias("code"), c("s_nationkey").cast("long").alias("nation"))
-    r = returns(spark, d).join(of, "code", "left").withColumn("ret", F.greatest(F.lit(-0.5), F.least(F.lit(0.5), c("ret"))))
-    return r.groupBy(F.coalesce("nation", F.lit(-1)).alias("code"), "date").agg(F.avg("ret").alias("ret"), F.count("*").alias("members"))
-
-
-@register("risk_covariance_nations", f"with {_NATIONS} select x.code as a, y.code as b, count(*) as n, round(covar_pop(x.ret, y.ret), 8) as cov from q x join q y on x.date = y.date and x.code <= y.code group by 1, 2", dates=())
-def risk_covariance_nations(spark, d):
-    return covariance.pairs(nations(spark, d)).withColumn("cov", F.round("cov", 8))
-
+def _covariances(suffix: str, key: str) -> None:
+    q = _grouped_sql(key)
+    ewma = f"""{q}, o as (select date, row_number() over (order by date desc) - 1 as age from (select distinct date from q)), w as (select q.*, pow(0.5, age / 400.0) as w from q join o using (date)),
+    cv as (select x.code as a, y.code as b, count(*) as n, sum(x.w * x.ret * y.ret) / sum(x.w) - sum(x.w * x.ret) / sum(x.w) * sum(x.w * y.ret) / sum(x.w) as cov from w x join w y on x.date = y.date and x.code <= y.code group by 1, 2 having count(*) >= 10)"""
+    plain = f"with {q} select x.code as a, y.code as b, count(*) as n, round(covar_pop(x.ret, y.ret), 8) as cov from q x join q y on x.date = y.date and x.code <= y.code group by 1, 2"
+    risk = f"""with {ewma}, p as (select code, sum(members) / sum(sum(members)) over () as weight from q group by 1), f as (select a, b, cov from cv union all select b, a, cov from cv where a <> b),
+    t as (select a, sum(cov * weight) as cw from f join p on b = code group by 1), v as (select sum(cw * weight) as var from t join p on a = code)
+    select code, round(weight, 8) as weight, round(cw / sqrt(var), 7) as marginal, round(cw * weight / var, 7) as share from t join p on a = code, v"""
 
-_EWMA_NATIONS = _EWMA.replace(_FEW, _NATIONS)
+    @register(f"risk_covariance{suffix}", plain, dates=())
+    def risk_covariance(spark, d):
+        return covariance.pairs(grouped(spark, d, key)).withColumn("cov", F.round("cov", 8))
 
+    @register(f"risk_ewma_covariance{suffix}", f"with {ewma} select a, b, n, round(cov, 8) as cov from cv", dates=())
+    def risk_ewma_covariance(spark, d):
+        return covariance.ewma(grouped(spark, d, key), half_life=400.0).withColumn("cov", F.round("cov", 8))
 
-@register("risk_ewma_covariance_nations", f"with {_EWMA_NATIONS} select a, b, n, round(cov, 8) as cov from cv", dates=())
-def risk_ewma_covariance_nations(spark, d):
-    return covariance.pairs(nations(spark, d), half_life=400.0).withColumn("cov", F.round("cov", 8))
+    @register(f"risk_contributions{suffix}", risk, dates=())
+    def risk_contributions(spark, d):
+        """A group's weight is its share of all returns."""
+        r = grouped(spark, d, key)
+        n = r.groupBy("code").agg(F.sum("members").alias("n"))
+        weights = n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("code", (c("n") / c("all")).alias("weight"))  # one row
+        out = covariance.contributions(covariance.ewma(r, half_life=400.0), weights)
+        return out.select("code", F.round("weight", 8).alias("weight"), F.round("marginal", 7).alias("marginal"), F.round("share", 7).alias("share"))
 
 
-@register(
-    "risk_contributions_nations",
-    f"""with {_EWMA_NATIONS}, p as (select code, sum(members) / sum(sum(members)) over () as weight from q group by 1), f as (select a, b, cov from cv union all select b, a, cov from cv where a <> b),
-    t as (select a, sum(cov * weight) as cw from f join p on b = code group by 1), v as (select sum(cw * weight) as var from t join p on a = code)
-    select code, round(weight, 8) as weight, round(cw / sqrt(var), 7) as marginal, round(cw * weight / var, 7) as share from t join p on a = code, v""",
-    dates=(),
-)
-def risk_contributions_nations(spark, d):
-    """A nation's weight is its share of all returns."""
-    r = nations(spark, d)
-    n = r.groupBy("code").agg(F.sum("members").alias("n"))
-    weights = n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("code", (c("n") / c("all")).alias("weight"))
-    out = covariance.contributions(covariance.pairs(r, half_life=400.0), weights)
-    return out.select("code", F.round("weight", 8).alias("weight"), F.round("marginal", 7).alias("marginal"), F.round("share", 7).alias("share"))
+_covariances("", "n_regionkey")
+_covariances("_nations", "n_nationkey")

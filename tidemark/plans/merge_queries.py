@@ -78,8 +78,8 @@ def merge_volume_units(spark, d):
 @register(
     "quality_levels",
     f"""with {DAILY}, l as (select *, lag(close) over (partition by code order by date) as p from bars),
-    q as (select code, count(close) as n_bars, count_if(abs(open - p) <= 1e-9 * abs(p)) as n_flat, count(p) as k, max(date) as last from l group by 1)
-    select code, n_bars, cast(n_flat as bigint) as n_flat, case when n_bars = 0 then 'empty' when n_bars < 25 or date_diff('day', last, date '2024-01-31') > 3 or (k >= 20 and n_flat > 0.4 * k) then 'thin' else 'good' end as level from q""",
+    q as (select code, count(*) as n_bars, count_if(open > 0 and p > 0 and abs(open / p - 1) < 1e-4) as n_flat, count_if(open > 0 and p > 0) as k, max(date) as last from l group by 1)
+    select code, n_bars, cast(n_flat as bigint) as n_flat, case when n_bars < 25 or date_diff('day', last, date '2024-01-31') > 3 or (k >= 20 and n_flat > 0.4 * k) then 'thin' else 'good' end as level from q""",
     dates=(),
 )
 def quality_levels(spark, d):
@@ -97,7 +97,7 @@ def diff_series(spark, d):
     return merge.difference(*deliveries(spark, d)).select("code", "overlap", "added", "removed", F.round("max_move", 6).alias("max_move"), F.round("max_share", 6).alias("max_share"))
 
 
-@register("agg_coverage_dates", f"with {DAILY}, n as (select count(distinct code) as k from bars) select date, count(distinct code) as n from bars, n group by date, k having k <= 3 or count(distinct code) >= ceil(k * 0.8)")
+@register("agg_coverage_dates", f"with {DAILY}, t as (select case when count(distinct code) <= 3 then count(distinct code) else greatest(2, floor(count(distinct code) * 0.8 + 0.999999)) end as least from bars), g as (select date, count(distinct code) as n from bars group by 1) select date, n from g, t where n >= least or (select max(n) from g) < least")
 def agg_coverage_dates(spark, d):
     return merge.coverage(daily(spark, d))
 
@@ -114,11 +114,9 @@ def set_cluster_universe(spark, d):
     return a.union(B.read(spark, d, "orders").where("o_totalprice > 450000").select(c("o_custkey").alias("code"))).distinct()
 
 
-@register("set_universe_hash", f"with {DAILY} select date, substr(sha1(array_to_string(list_sort(list(distinct cast(code as varchar))), ',')), 1, 12) as universe_hash, count(distinct code) as n from bars group by 1")
+@register("set_universe_hash", f"with {DAILY} select date, cast(sum(code * code % 1000003) as bigint) % 1000000007 as mark, cast(sum(code * 48271 % 2147483647) as bigint) as universe_hash, count(*) as n from (select distinct date, code from bars) group by 1")
 def set_universe_hash(spark, d):
-    code = c("code").cast("string")
-    canonical = F.array_join(F.sort_array(F.collect_set(code)), ",")
-    return daily(spark, d).groupBy("date").agg(F.substring(F.sha1(canonical.cast("binary")), 1, 12).alias("universe_hash"), F.count_distinct("code").alias("n"))
+    return merge.universe_hash(daily(spark, d))
 
 
 # As-of joins: orders against the price of the customer's last earlier order, events against bars.
@@ -131,11 +129,24 @@ def asof_filter(spark, d):
 _TRADES = "t as (select event_id, user_id as code, cast(ts as date) as date from events)"
 
 
-@register("asof_backward", f"with {DAILY}, {_TRADES} select t.event_id, t.code, t.date, b.date as bar_date, b.close from t asof left join (select code, date, close from bars where day(date) % 3 = 0) b on t.code = b.code and t.date >= b.date", dates=("date", "bar_date"))
+#: The orders of a customer stand for quotes: an order line meets the last one before its shipping, or the next one after.
+_QUOTES = "o as (select o_custkey as code, cast(o_orderdate as date) as quote_date, max(o_totalprice) as price from orders group by 1, 2)"
+_SHIPPED = "t as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey as code, cast(l_shipdate as date) as date from lineitem join orders on l_orderkey = o_orderkey)"
+
+
+def quotes(spark, d):
+    return B.read(spark, d, "orders").groupBy(c("o_custkey").alias("code"), F.to_date("o_orderdate").alias("quote_date")).agg(F.max("o_totalprice").alias("price"))
+
+
+def shipped(spark, d):
+    orders = B.read(spark, d, "orders").select("o_orderkey", c("o_custkey").alias("code"))
+    return B.read(spark, d, "lineitem").join(orders, c("l_orderkey") == c("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "code", F.to_date("l_shipdate").alias("date"))
+
+
+@register("asof_backward", f"with {_QUOTES}, {_SHIPPED} select t.*, o.quote_date, o.price from t asof left join o on t.code = o.code and t.date >= o.quote_date", dates=("date", "quote_date"))
 def asof_backward(spark, d):
-    t = B.read(spark, d, "events").select("event_id", c("user_id").alias("code"), F.to_date("ts").alias("date"))
-    b = daily(spark, d).where(F.dayofmonth("date") % 3 == 0).select("code", c("date").alias("bar_date"), "close")
-    return asof.backward(t, b, "code", "date", "bar_date")
+    """Order lines with the customer's last order at or before shipping."""
+    return asof.backward(shipped(spark, d), quotes(spark, d), "code", "date", "quote_date")
 
 
 @register("asof_strict", f"with {DAILY}, {_TRADES} select t.event_id, t.code, t.date, b.date as bar_date, b.close from t asof left join (select code, date, close from bars) b on t.code = b.code and t.date > b.date", dates=("date", "bar_date"))
@@ -144,11 +155,10 @@ def asof_strict(spark, d):
     return asof.backward(t, daily(spark, d).select("code", c("date").alias("bar_date"), "close"), "code", "date", "bar_date", strict=True)
 
 
-@register("asof_forward", f"with {DAILY}, {_TRADES} select t.event_id, t.code, t.date, b.date as bar_date, b.open from t asof left join (select code, date, open from bars where day(date) % 4 = 0) b on t.code = b.code and t.date <= b.date", dates=("date", "bar_date"))
+@register("asof_forward", f"with {_QUOTES}, {_SHIPPED} select t.*, o.quote_date, o.price from t asof left join o on t.code = o.code and t.date <= o.quote_date", dates=("date", "quote_date"))
 def asof_forward(spark, d):
-    t = B.read(spark, d, "events").select("event_id", c("user_id").alias("code"), F.to_date("ts").alias("date"))
-    b = daily(spark, d).where(F.dayofmonth("date") % 4 == 0).select("code", c("date").alias("bar_date"), "open")
-    return asof.forward(t, b, "code", "date", "bar_date")
+    """Order lines with the customer's next order at or after shipping."""
+    return asof.forward(shipped(spark, d), quotes(spark, d), "code", "date", "quote_date")
 
 
 @register(
@@ -255,10 +265,9 @@ def xs_day_rank(spark, d):
 
 @register("filter_amount_floor", f"with {SHIPS}, a as (select code, avg(close * volume) as amount, count(*) as n from (select * from ships qualify row_number() over (partition by code order by date desc) <= 20) group by 1), r as (select *, row_number() over (order by amount, code) - 1 as i, count(*) over () as k from a) select code, round(amount, 4) as amount, amount >= (select amount from r where i = floor(k * 20 / 100)) as kept from r", dates=())
 def filter_amount_floor(spark, d):
-    """Entities whose 20-bar mean amount reaches the 20th percentile (the value at index int(n * 0.2)); one row an entity is ranked."""
+    """Entities whose 20-bar mean amount reaches the 20th percentile (the value at index int(n * 0.2))."""
     a = B.last_rows(ships(spark, d), 20).groupBy("code").agg(F.avg(c("close") * c("volume")).alias("amount"))
-    ordered = a.agg(F.sort_array(F.collect_list("amount")).alias("v")).select(F.get("v", F.floor(F.size("v") * 20 / 100).cast("int")).alias("floor"))
-    return a.join(F.broadcast(ordered)).select("code", F.round("amount", 4).alias("amount"), (c("amount") >= c("floor")).alias("kept"))
+    return merge.above_floor(a, "amount", 0.2).select("code", F.round("amount", 4).alias("amount"), "kept")
 
 
 @register(

@@ -175,7 +175,7 @@ def dsl_rank_ic_by_date(spark, d):
     return metrics.rank_ic(rows, "x", "y", least=5).select("date", "n", F.round("rank_ic", 6).alias("rank_ic"))
 
 
-@register("dsl_rank_ic_summary", IC + " select count(*) as days, round(avg(rank_ic), 6) as mean_ic, round(avg(rank_ic) / stddev_samp(rank_ic), 5) as ic_ir, round(avg(case when rank_ic > 0 then 1.0 else 0.0 end), 6) as positive, max(n) as max_names from ic", dates=())
+@register("dsl_rank_ic_summary", IC + " select count(*) as days, case when count(*) >= 3 then round(avg(rank_ic), 4) end as mean_ic, case when count(*) >= 3 then round(stddev_pop(rank_ic), 4) end as ic_std, case when count(*) >= 3 and stddev_pop(rank_ic) > 1e-12 then round(avg(rank_ic) / stddev_pop(rank_ic), 4) end as ic_ir, case when count(*) >= 3 then round(avg(case when rank_ic > 0 then 1.0 else 0.0 end), 4) end as positive, max(n) as max_names from ic", dates=())
 def dsl_rank_ic_summary(spark, d):
     b = daily(spark, d)
     rows = b.select("code", "date", P.roc(c("close"), 5).alias("x"), (safe_div(P.ref(c("close"), -3), c("close")) - 1).alias("y"))

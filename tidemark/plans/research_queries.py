@@ -198,15 +198,27 @@ def risk_scenarios(spark, d):
     ranges = spark.createDataFrame([("early", "1995-01-01", "1995-03-31"), ("late", "2000-06-01", "2000-08-31"), ("both", "1995-03-01", "2000-06-30")], "scenario string, first string, last string")
     ranges = ranges.select("scenario", c("first").cast("date").alias("first"), c("last").cast("date").alias("last"))
     found = portfolio.scenarios(index_returns(spark, d), ranges)
-    return found.select("scenario", "days", F.round("vol", 6).alias("vol"), F.round("worst_pct", 6).alias("worst_pct"), F.round(F.log(c("total_pct") / 100 + 1), 5).alias("log_total"))
+    return found.select("scenario", "days", F.round("vol", 6).alias("vol"), F.round("worst_pct", 6).alias("worst_pct"), F.round("log_total", 5).alias("log_total"))
 
 
-@register("risk_tracking", f"with {_INDEX}, j as (select r.ret as a, i.ret as b from r join i using (date) where code = 7 and r.ret is not null) select count(*) as n, round(corr(a, b), 6) as corr, round(stddev_pop(a - b) * sqrt(252.0), 5) as tracking_error, round(avg(a - b) / stddev_pop(a - b), 6) as ir from j", dates=())
+_TRACKED = "case when stddev_pop(a) > 1e-9 and stddev_pop(b) > 1e-9 then corr(a, b) end as k, stddev_pop(a - b) as sd, avg(a - b) as mean"
+
+
+def _tracked(t, *keys):
+    return t.select(*keys, "n", F.round("corr", 6).alias("corr"), F.round("tracking_error", 5).alias("tracking_error"), F.round("ir", 6).alias("ir"))
+
+
+@register(
+    "risk_tracking",
+    f"""with {_INDEX}, j as (select s_nationkey, date, avg(greatest(-0.5, least(0.5, r.ret))) as a, any_value(i.ret) as b from r join i using (date) join supplier on code = s_suppkey where r.ret is not null group by 1, 2), g as (select s_nationkey as nation, count(*) as n, {_TRACKED} from j group by 1)
+    select nation, n, round(k, 6) as corr, round(sd * sqrt(252.0), 5) as tracking_error, round(case when sd > 1e-12 then mean / sd end, 6) as ir from g""",
+    dates=(),
+)
 def risk_tracking(spark, d):
-    own = returns(spark, d).where("code = 7").select("date", c("ret").alias("a"))
-    both = own.join(index_returns(spark, d).select("date", c("ret").alias("b")), "date")
-    t = portfolio.tracking(both, "a", "b")
-    return t.select("n", F.round("corr", 6).alias("corr"), F.round("tracking_error", 5).alias("tracking_error"), F.round("ir", 6).alias("ir"))
+    """The mean return of each nation's suppliers against that of all."""
+    place = B.read(spark, d, "supplier").select(c("s_suppkey").alias("code"), c("s_nationkey").alias("nation"))
+    own = returns(spark, d).join(place, "code").groupBy("nation", "date").agg(F.avg(portfolio.clamp(c("ret"), -0.5, 0.5)).alias("a"))
+    return _tracked(portfolio.tracking(own.join(index_returns(spark, d).select("date", c("ret").alias("b")), "date"), "a", "b", "nation"), "nation")
 
 
 @register(
@@ -217,8 +229,7 @@ def risk_tracking(spark, d):
 )
 def risk_tracking_codes(spark, d):
     both = returns(spark, d).select("code", "date", c("ret").alias("a")).join(index_returns(spark, d).select("date", c("ret").alias("b")), "date")
-    t = portfolio.tracking(both, "a", "b", "code")
-    return t.select("code", "n", F.round("corr", 6).alias("corr"), F.round("tracking_error", 5).alias("tracking_error"), F.round("ir", 6).alias("ir"))
+    return _tracked(portfolio.tracking(both, "a", "b", "code"), "code")
 
 
 @register(
@@ -241,19 +252,25 @@ def risk_brinson(spark, d):
 
 @register(
     "portfolio_turnover",
-    f"""with {DAILY}, a as (select code, volume / sum(volume) over () as w from bars where date = date '2024-01-10'), b as (select code, volume / sum(volume) over () as w from bars where date = date '2024-01-11'), j as (select coalesce(a.code, b.code) as code, coalesce(b.w, 0) - coalesce(a.w, 0) as delta from a full join b on a.code = b.code)
-    select code, round(delta, 9) as delta, round(sum(abs(delta)) over () / 2, 9) as turnover from j""",
-    dates=(),
+    f"""with {DAILY}, w as (select code, date, volume / sum(volume) over (partition by date) as w from bars), d as (select date, lag(date) over (order by date) as before from (select distinct date from bars)), k as (select code, date from w union select w.code, d.date from w join d on w.date = d.before),
+    j as (select k.code, k.date, coalesce(a.w, 0) - coalesce(b.w, 0) as delta from k join d using (date) left join w a on a.code = k.code and a.date = k.date left join w b on b.code = k.code and b.date = d.before where d.before is not null)
+    select date, count(*) as n, round(sum(abs(delta)) / 2, 9) as turnover, round(sum(greatest(delta, 0)), 9) as bought from j group by 1""",
 )
 def portfolio_turnover(spark, d):
-    from pyspark.sql import Window
-
     b = daily(spark, d)
-    weights = lambda day: b.where(c("date") == F.lit(day).cast("date")).select("code", (c("volume") / F.sum("volume").over(Window.partitionBy())).alias("weight"))
-    return rounded(portfolio.turnover(weights("2024-01-10"), weights("2024-01-11")), "code", digits=9)
+    weights = b.select("code", "date", (c("volume") / F.sum("volume").over(P.day)).alias("weight"))
+    return rounded(portfolio.turnover_by_date(weights), "date", "n", digits=9)
+
+
+def _capped_sql(cap: float, rounds: int = 8) -> str:
+    steps = [f"w0 as (select code, date, volume / sum(volume) over (partition by date) as w from bars)"]
+    for i in range(rounds):
+        free, over = f"case when w < {cap} then w else 0 end", f"greatest(w - {cap}, 0)"
+        steps.append(f"w{i + 1} as (select code, date, least({cap}, w + sum({over}) over d * coalesce({free} / nullif(sum({free}) over d, 0), 0)) as w from w{i} window d as (partition by date))")
+    return f"with {DAILY}, {', '.join(steps)} select code, date, round(w, 9) as weight from w{rounds}"
 
 
-@register("portfolio_capped_weights")
+@register("portfolio_capped_weights", _capped_sql(0.012))
 def portfolio_capped_weights(spark, d):
     return portfolio.capped_weights(daily(spark, d), "volume", 0.012).select("code", "date", F.round("weight", 9).alias("weight"))
 
@@ -297,14 +314,18 @@ def bt_top_k(spark, d):
     return backtest.top_k_curve(m, "score", 10, 2).select("date", "n", F.round("ret_pct", 5).alias("ret_pct"), F.round(F.log("curve"), 5).alias("log_curve"))
 
 
-_LOTS = "{} as (select l_partkey as code, l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 as id, cast(l_shipdate as date) as t, cast(l_quantity as bigint) as quantity from lineitem where l_returnflag {})"
+_LOTS = "{} as (select l_partkey as code, l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 as id, min(cast(l_shipdate as date)) as t, cast(sum(l_quantity) as bigint) as quantity from lineitem where l_returnflag {} group by 1, 2)"
 
 
 @register(
     "bt_first_in_first_out",
-    f"""with {_LOTS.format('b0', "in ('N', 'A')")}, {_LOTS.format('s0', "= 'R'")}, b1 as (select code, id, min(t) as t, sum(quantity) as quantity from b0 group by 1, 2), s1 as (select code, id, min(t) as t, sum(quantity) as quantity from s0 group by 1, 2),
-    b as (select code, id, sum(quantity) over w as e, sum(quantity) over w - quantity as a from b1 window w as (partition by code order by t, id)), s as (select code, id, sum(quantity) over w as e, sum(quantity) over w - quantity as a from s1 window w as (partition by code order by t, id))
-    select b.code, b.id as buy_id, s.id as sell_id, cast(least(b.e, s.e) - greatest(b.a, s.a) as bigint) as quantity from b join s on b.code = s.code and b.a < s.e and s.a < b.e""",
+    f"""with {_LOTS.format('b0', "in ('N', 'A')")}, {_LOTS.format('s0', "= 'R'")},
+    b as (select code, id, sum(quantity) over w as e, sum(quantity) over w - quantity as a from b0 window w as (partition by code order by t, id)),
+    k as (select s0.code, s0.id, s0.t, s0.quantity as q, coalesce((select sum(quantity) from b0 where b0.code = s0.code and b0.t < s0.t), 0) as have from s0),
+    l as (select code, list(id order by t, id) as ids, list({{'e': cast(q as bigint), 'have': cast(have as bigint)}} order by t, id) as x from k group by 1),
+    m as (select code, unnest(ids) as id, unnest(list_transform(range(1, len(x) + 1), lambda i: list_reduce(list_prepend({{'e': cast(0 as bigint), 'have': cast(0 as bigint)}}, x[1:i]), lambda u, v: {{'e': least(u.e + v.e, v.have), 'have': cast(0 as bigint)}}).e)) as e, unnest(range(1, len(x) + 1)) as place from l),
+    s as (select code, id, e, coalesce(lag(e) over (partition by code order by place), 0) as a from m)
+    select b.code, b.id as buy_id, s.id as sell_id, cast(least(b.e, s.e) - greatest(b.a, s.a) as bigint) as quantity from b join s on b.code = s.code and b.a < s.e and s.a < b.e where s.a < s.e""",
     dates=(),
 )
 def bt_first_in_first_out(spark, d):

@@ -48,7 +48,7 @@ def ship_bars(lineitem: DataFrame) -> DataFrame:
 def last_rows(bars: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` bars of each entity."""
     newest = Window.partitionBy("code").orderBy(F.desc("date"))
-    return bars.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n).drop("place")
+    return bars.withColumn("__place", F.row_number().over(newest)).where(F.col("__place") <= n).drop("__place")
 
 
 def of_codes(bars: DataFrame, codes: DataFrame) -> DataFrame:

@@ -55,8 +55,8 @@ def without_cube(rows: DataFrame, cube: DataFrame) -> DataFrame:
 
 def tail(rows: DataFrame, stored: DataFrame, pad: int = 0) -> DataFrame:
     """Rows later than each code's last stored date, and ``pad`` days before, to be computed anew; all rows of new codes."""
-    last = stored.groupBy("code").agg(F.max("date").alias("last"))
-    return rows.join(last, "code", "left").where(F.col("last").isNull() | (F.col("date") > F.date_sub("last", pad))).drop("last")
+    last = stored.groupBy("code").agg(F.max("date").alias("__last"))
+    return rows.join(last, "code", "left").where(F.col("__last").isNull() | (F.col("date") > F.date_sub("__last", pad))).drop("__last")
 
 
 def keep_longer(old: DataFrame, new: DataFrame) -> DataFrame:
