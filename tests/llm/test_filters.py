@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import docs, odd_texts, sentence
 
 from tidemark.llm import quality, toxicity, urls, warc
@@ -41,7 +42,8 @@ def corpus(spark):
 
 def test_quality_parts_junk_from_text(corpus):
     rows, df, labels = corpus
-    got = {r["doc_id"]: r["sampled"] for r in quality.resampled(df, labels).collect()}
+    # Cold, so that the weights decide: at temperature 1 the models of so few words leave some of it to chance.
+    got = {r["doc_id"]: r["sampled"] for r in quality.resampled(df, labels, temperature=0.05, cut=-3.0).collect()}
     assert got == {i: i % 5 != 0 for i, _ in rows}
 
 
@@ -90,6 +92,23 @@ def test_kth_largest_with_ties(spark):
         assert quality.kth_largest(df, "x", k) == order[k - 1]
 
 
+def test_sample_is_the_k_largest_keys_with_gumbel_noise(spark):
+    """A model without ratios leaves the noise: k of many equal documents, by a draw that NumPy's own agrees with."""
+    df = docs(spark, [(i, "same text") for i in range(4000)])
+    got = quality.resampled(df, labelled(spark, []), k=500).collect()
+    keys = np.array([r["gumbel_key"] for r in got])
+    assert {r["doc_id"] for r in got if r["sampled"]} == {got[i]["doc_id"] for i in np.argsort(-keys)[:500]}
+    drawn = np.random.default_rng(1).gumbel(size=100_000)
+    for share in (0.05, 0.25, 0.5, 0.75, 0.95):
+        assert np.quantile(keys, share) == pytest.approx(np.quantile(drawn, share), abs=0.12)
+
+
+def test_equal_keys_fall_to_the_smaller_id(spark):
+    rows = spark.createDataFrame([(i, 1.0) for i in (9, 4, 7, None)] + [(1, 2.0), (2, 0.5)], "doc_id long, gumbel_key double")
+    for k, want in ((2, {1, None}), (3, {1, None, 4}), (4, {1, None, 4, 7}), (6, {1, None, 4, 7, 9, 2}), (0, set())):
+        assert {r["doc_id"] for r in rows.where(quality._sampler(rows, k)(F.col("gumbel_key"))).collect()} == want
+
+
 def test_quality_of_odd_rows(spark):
     df = docs(spark, [*enumerate(odd_texts()), (None, "no id"), (1, "")])
     none = labelled(spark, [])

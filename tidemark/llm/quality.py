@@ -5,16 +5,17 @@ BUCKETS buckets. The raw model counts them over all documents; the target model
 (of those rows a bounded sample, TARGET_ROWS, chosen by hash). A document's log weight is the sum of its features' log ratios.
 The sample of k documents without replacement is the k largest keys, log weight over TEMPERATURE plus Gumbel noise
 drawn from the document's id; their k-th largest is found by counting, without a sort or a gather.
-k is the number of documents whose log weight is CUT or more, counted over all of them.
+k is the number of documents whose log weight is CUT or more, counted over all of them; at temperature 1 chance decides
+which of the documents about that weight are among the k.
 
-Null and empty texts have no features: log weight 0, kept with the rest. A null doc_id draws its noise as
-id 0. Equal keys fall to the smaller doc_id; equal rows are sampled together. Without labelled rows all weights
-are 0 and every document is kept. An empty table gives an empty result; further columns are ignored.
+Null and empty texts have no features: log weight 0. A null doc_id draws its noise as id 0. Equal keys fall to the smaller doc_id (null
+as 0); rows of one id with equal keys are sampled together, so that such repeats may give more than k rows. Without labelled rows all
+weights are 0 and every document is kept. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from tidemark.llm.texthash import BYTE_VALUE, mix, span_hashes
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
-TEMPERATURE, CUT = 0.05, -3.0
+TEMPERATURE, CUT = 1.0, -6.0
 #: Pseudo-counts added to every bucket of either model, and those by which the target model is drawn towards the raw one (a bucket's mean).
 PRIOR, SHRINK = 1.0, 20.0
 
@@ -117,14 +118,13 @@ def gumbel_key(temperature: float) -> Column:
     return F.col("log_weight") / temperature - F.log(-F.log(uniform))
 
 
-def kth_largest(rows: DataFrame, key: str, k: int) -> float:
+def kth_largest(rows: DataFrame, key: str, k: int) -> float | int:
     """The k-th largest value of ``key``, by counts in ever finer bins; the driver sees 4096 counts a round."""
     low, high = rows.agg(F.min(key), F.max(key)).first()
     while low < high:
         width = (high - low) / 4096
-        if low + width == low:
-            break
-        bin_of = F.least(F.floor((F.col(key) - low) / width), F.lit(4095))
+        # A range too narrow for bins holds few values, which are counted one by one.
+        bin_of = F.col(key) if low + width == low else F.least(F.floor((F.col(key) - low) / width), F.lit(4095))
         counts = rows.where(F.col(key).between(low, high)).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy(F.desc("bin")).collect()
         # Rows above ``high`` were taken off k in earlier rounds.
         for c in counts:
@@ -135,27 +135,40 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float:
     return high
 
 
-def _sampling(docs: DataFrame, labels: DataFrame, temperature: float, cut: float, k: int | None) -> tuple[DataFrame, np.ndarray, float]:
-    """Weights and keys of ``doc_id, text``, the models' log ratios, and the key from which on a row is sampled."""
+Sampler = Callable[[Column], Column]
+
+
+def _sampler(rows: DataFrame, k: int) -> Sampler:
+    """Which rows of ``rows`` (doc_id, gumbel_key) are the k of largest key, given a row's key; the driver sees counts only."""
+    least = kth_largest(rows, "gumbel_key", k) if k else None
+    if least is None:
+        return lambda key: F.lit(False)
+    tied = rows.where(F.col("gumbel_key") == least).select((-F.coalesce("doc_id", F.lit(0))).alias("id"))
+    above = rows.where(F.col("gumbel_key") > least).count()
+    last = -kth_largest(tied, "id", k - above)
+    return lambda key: (key > least) | ((key == least) & (F.coalesce("doc_id", F.lit(0)) <= last))
+
+
+def _sampling(docs: DataFrame, labels: DataFrame, temperature: float, cut: float, k: int | None) -> tuple[DataFrame, np.ndarray, Sampler]:
+    """Weights and keys of ``doc_id, text``, the models' log ratios, and the choice of rows by their keys."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
     ratios = log_ratios(docs, good)
     rows = written(weighed(docs, ratios).withColumn("gumbel_key", gumbel_key(temperature)), "weighed")
     if k is None:
         k = rows.agg(F.count_if(F.col("log_weight") >= cut)).first()[0]
-    least = kth_largest(rows, "gumbel_key", k) if k else float("inf")
-    return rows, ratios, float("-inf") if least is None else least
+    return rows, ratios, _sampler(rows, min(k, rows.count()))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", temperature: float = TEMPERATURE, cut: float = CUT, k: int | None = None) -> DataFrame:
     """``doc_id, n_features, log_weight, gumbel_key, sampled`` of every row of ``docs``; ``labels`` has doc_id and quality (0 or 1)."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows, _, least = _sampling(docs, labels, temperature, cut, k)
-    return rows.withColumn("sampled", F.col("gumbel_key") >= least)
+    rows, _, sampled = _sampling(docs, labels, temperature, cut, k)
+    return rows.withColumn("sampled", sampled(F.col("gumbel_key")))
 
 
 def sampled_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, cut: float = CUT, k: int | None = None) -> DataFrame:
     """The rows of ``docs`` (with doc_id and text, and any others) that are sampled, unchanged and without a shuffle: a second pass weighs them again."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    _, ratios, least = _sampling(narrow, labels, temperature, cut, k)
+    _, ratios, sampled = _sampling(narrow, labels, temperature, cut, k)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return weighed(whole, ratios).where(gumbel_key(temperature) >= least).select("row.*")
+    return weighed(whole, ratios).where(sampled(gumbel_key(temperature))).select("row.*")
