@@ -49,7 +49,7 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("block", [1024, 4])
+@pytest.mark.parametrize("block", [4 << 20, 6000])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(9)
@@ -70,6 +70,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_of_each_of_repeated_and_unnamed_rows(spark):
+    rng = random.Random(8)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b + " more"), (None, c), (None, c), (None, None), (None, None), (None, ""), (4, c), (5, None), (5, None)]
+    kept = near_dedup.one_of_each(docs(spark, rows))
+    assert sorted(((r["doc_id"] or 0, r["text"] or "-") for r in kept.collect())) == sorted([(1, a), (3, b), (0, c), (0, "-"), (0, "-"), (4, c), (5, "-")])
+
+
 def test_one_of_each_keeps_columns(spark):
     df = docs(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (4, None)])
     kept = near_dedup.one_of_each(df)

@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat, slices, written
+from tidemark.llm.common import flat, slices, spread_join, written
 from tidemark.llm.components import components
 from tidemark.llm.texthash import mix, shingles, words
 
@@ -45,8 +45,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: A pair is confirmed on the full sets if its estimate is no more than this below the threshold (over 4 standard deviations).
 MARGIN = 0.13
-#: Nodes of a block when a bucket of several components is compared.
-BLOCK = 1024
+#: Bytes of sets and registers in a block when a bucket of several components is compared.
+BLOCK = 4 << 20
 
 _rng = np.random.default_rng(77)
 _LOW = _rng.integers(1, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -208,9 +208,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(members: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of different components that share a bucket. ``members``: key, node, component, size.
+    """Links between nodes of different components that share a bucket. ``members``: key, node, component, and the size of the bucket's sets and registers in bytes.
 
-    A bucket is dealt into blocks of about BLOCK nodes, and every two of its blocks meet in one task. There a pair is looked at in the
+    A bucket is dealt into blocks of about BLOCK bytes, and every two of its blocks meet in one task. There a pair is looked at in the
     first band it shares only, by its estimate and then on the full sets, and only links leave the task.
     """
     members = written(members, "members")
@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     nodes = written(classes, "classes")
     rows = _banded(nodes)
     least = rows.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
-    shared = written(rows.join(least, "key"), "buckets")
+    least = written(least.withColumn("n", F.col("size")), "centers")
+    shared = written(spread_join(rows, least, "key", "n", "inner"), "buckets")
     pair = [F.col("center").alias("a"), F.col("node").alias("b")]
     first = shared.where("early and node <> center").select(*pair).distinct()
     links = written(_confirmed(_estimated(first, nodes, percent), docs, percent), "links")
@@ -264,9 +265,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = written(links.unionByName(_confirmed(_estimated(then, nodes, percent), docs, percent)), "links")
     # A node's other classes, where one doc_id has several texts, need no link: they share the id.
     labels = written(components(links), "labels")
-    labelled = shared.where("size > 2").select("key", "node", "size").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    more = written(_across(labelled.join(mixed, "key", "left_semi"), nodes, docs, percent), "links")
+    weight = F.col("n_shingles") * 8 + REGISTERS * 2
+    labelled = shared.where("size > 2").select("key", "node").join(nodes.select("node", weight.alias("bytes")), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = written(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("bytes").alias("size"), F.count("*").alias("n")).where("x <> y").select("key", "size", "n")
+    members = spread_join(labelled.select("key", "node", "component"), written(mixed, "mixed"), "key", "n", "inner")
+    more = written(_across(members, nodes, docs, percent), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     members = some.select("doc_id", "sig_a", "sig_b", "n_shingles").join(nodes.drop("reg"), ["sig_a", "sig_b", "n_shingles"]).select("doc_id", "node").distinct()
@@ -277,7 +281,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` (with doc_id and text, and any others) without those whose group has a smaller doc_id."""
+    """The rows of ``docs`` (with doc_id and text, and any others), one of each group: that of its smallest doc_id.
+
+    Of rows that share a doc_id one stays, that of the smallest text (null first); of rows without an id one of each text.
+    """
     found = near_duplicates(docs, percent=percent)
     gone = found.where("doc_id is not null and not kept").select("doc_id").distinct().hint("shuffle_hash")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    if not again.limit(1).count() and not docs.where("doc_id is null").limit(1).count():
+        return known.select(*docs.columns)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    repeated = known.join(again, "doc_id", "left_semi").withColumn("__place", place).where("__place = 1")
+    # Copies without an id are told apart by a hash of their text, and one row of each is kept by partial aggregation.
+    unnamed = docs.where("doc_id is null").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("__hash"), F.col("text").isNull().alias("__null")).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return known.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(unnamed)

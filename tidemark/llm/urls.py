@@ -5,7 +5,10 @@
 2. Words are counted in the visible text of all pages. Letter runs of the distinct hosts become lattices: their substrings of
    bounded length meet the word counts by an equi-join, and a Viterbi search under the unigram model splits concatenated names.
 3. The verdicts of urls that a rule fits train the naive Bayes model over segmented host words and path words, hashed into BUCKETS
-   buckets. It judges all other urls; without a word or without training urls of both kinds it allows.
+   buckets. What a rule names, its host's labels and its path's words, is no feature of any url: the model would only learn the rules
+   again. It judges all other urls; without a word or without training urls of both kinds it allows.
+
+Hosts and letter runs are counted by partial aggregation, and the results of frequent ones are broadcast: a host of many pages is no task's alone.
 
 Null urls and urls without ``://`` have empty host and path and no rule. Runs of over LABEL letters, more than a host's label can
 hold, stay one word. Repeated rows each get a verdict, a null page_id is kept, rules of equal length are taken in their
@@ -24,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import spread_join, written
 
 Rule = tuple[str, str, str]
-#: Longest word of the unigram model, longest letter run that is split, buckets of the naive Bayes model.
-WORD, LABEL, BUCKETS = 16, 63, 1 << 18
+#: Longest word of the unigram model and longest letter run that is split (a host's label holds no more), buckets of the naive Bayes model.
+WORD, LABEL, BUCKETS = 63, 63, 1 << 18
 #: Log probability of a letter that no word covers, against the total count.
 UNKNOWN = -14.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,7 +86,7 @@ def viterbi(run: str, edges: list[tuple[int, str, int]], total: int) -> list[str
 
 
 def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``run, words`` for the distinct letter runs of ``runs``."""
+    """``run, n, words`` of ``runs`` (distinct letter runs, and how often they stand)."""
     total = counts.agg(F.sum("count")).first()[0] or 1
     short = runs.where(F.length("run") <= LABEL)
     starts = short.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at"))
@@ -94,39 +97,39 @@ def segmented(runs: DataFrame, counts: DataFrame) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column(0).to_pylist()
-            words = [viterbi(r, [(e["at"], e["word"], e["count"]) for e in es or ()], total) if len(r) <= LABEL else [r] for r, es in zip(runs, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
+            words = [viterbi(r, [(e["at"], e["word"], e["count"]) for e in es or ()], total) if len(r) <= LABEL else [r] for r, es in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["run", "n", "words"])
 
-    return rows.select("run", "edges").mapInArrow(split, "run string, words array<string>")
+    return rows.select("run", "n", "edges").mapInArrow(split, "run string, n long, words array<string>")
 
 
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """``host, words`` of distinct hosts: their letter runs, split."""
-    runs = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit("([a-z]+)"), 1)).alias("i", "run"))
-    pieces = segmented(runs.select("run").distinct(), counts)
-    words = runs.join(pieces, "run").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
-    return hosts.join(words, "host", "left")
+    """``hosts``, distinct in ``own``, with ``words``: their letter runs, split."""
+    runs = hosts.select("own", F.posexplode(F.regexp_extract_all("own", F.lit("([a-z]+)"), 1)).alias("i", "run"))
+    pieces = segmented(runs.groupBy("run").agg(F.count("*").alias("n")), counts)
+    words = spread_join(runs, written(pieces, "runs"), "run", "n").groupBy("own").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("words"))
+    return hosts.join(words, "own", "left")
 
 
-def tokens(words: list[str] | None, path: str) -> list[str]:
-    """Features of a url: its host's words, and its path's; a number counts by its length."""
-    found = (f"path:{'0' * len(t) if t[0].isdecimal() else t}" for t in _TOKEN.findall(path.lower()))
+def tokens(words: list[str] | None, path: str, named: frozenset[str] = frozenset()) -> list[str]:
+    """Features of a url: its host's words, and its path's but for segments in ``named``; a number counts by its length."""
+    rest = "/".join(s for s in path.lower().split("/") if s not in named)
+    found = (f"path:{'0' * len(t) if t[0].isdecimal() else t}" for t in _TOKEN.findall(rest))
     return [*(f"host:{w}" for w in words or ()), *found]
 
 
-def _buckets(words: list[str] | None, path: str) -> list[int]:
-    return [zlib.crc32(t.encode()) % BUCKETS for t in tokens(words, path)]
+def _buckets(words: list[str] | None, path: str, named: frozenset[str]) -> list[int]:
+    return [zlib.crc32(t.encode()) % BUCKETS for t in tokens(words, path, named)]
 
 
-def log_odds(urls: DataFrame) -> tuple[np.ndarray, float]:
+def log_odds(urls: DataFrame, named: frozenset[str] = frozenset()) -> tuple[np.ndarray, float]:
     """Log odds of ``block`` against ``allow`` for each bucket, and those of the kinds, from urls with a rule's verdict."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, bool], int] = {}
         for batch in batches:
             for words, path, verdict in zip(*(c.to_pylist() for c in batch.columns)):
-                for b in (-1, *_buckets(words, path)):
+                for b in (-1, *_buckets(words, path, named)):
                     key = (b, verdict == "block")
                     found[key] = found.get(key, 0) + 1
         keys = list(found)
@@ -145,19 +148,23 @@ def log_odds(urls: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def judged(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``page_id, host, path, rule, verdict, words, log_odds`` of every page."""
+    """``page_id, host, path, rule, verdict, words, log_odds`` of every page; ``words`` and ``log_odds`` leave out what the rules name."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = ruled(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumns({"rule": rule, "said": said})
-    split = host_words(urls.select("host").distinct(), word_counts(pages))
-    urls = written(urls.join(split, "host", "left"), "urls")
-    odds, base = log_odds(urls)
+    labels = sorted({label for name, _, _ in rules for label in name.split(".")})
+    own = F.array_join(F.array_except(F.split("host", r"\."), F.array(*map(F.lit, labels))), ".")
+    urls = urls.withColumns({"rule": rule, "said": said, "own": own})
+    counts = written(word_counts(pages), "words")
+    hosts = urls.groupBy("own").agg(F.count("*").alias("n"))
+    urls = written(spread_join(urls, written(host_words(hosts, counts), "hosts"), "own", "n"), "urls")
+    named = frozenset(segment.lower() for _, start, _ in rules for segment in start.split("/") if segment)
+    odds, base = log_odds(urls, named)
     bound = pages.sparkSession.sparkContext.broadcast(odds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = [base + float(bound.value[_buckets(w, p)].sum()) for w, p in zip(batch.column("words").to_pylist(), batch.column("path").to_pylist())]
+            value = [base + float(bound.value[_buckets(w, p, named)].sum()) for w, p in zip(batch.column("words").to_pylist(), batch.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], [*batch.schema.names, "log_odds"])
 
     rows = urls.select("page_id", "host", "path", "rule", "said", "words")
