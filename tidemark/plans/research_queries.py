@@ -337,7 +337,12 @@ def bt_first_in_first_out(spark, d):
 # Streams over the events, run until all that is there has been read.
 
 def _streamed(spark, d, make, mode="append"):
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp()
+    base = base.rstrip("/")
     name = f"{base}/stream-{uuid.uuid4().hex}"
     S.run_once(make(S.events_stream(spark, f"{d}/events.parque[t]")), f"{name}/out", f"{name}/state", mode)
     return spark.read.parquet(f"{name}/out")
