@@ -196,6 +196,7 @@ def test_rows_of_letters_become_words():
 
     assert restored("y o u i d i o t") == restored("y o u   i d i o t") == restored("y\no\nu\ni\nd\ni\no\nt") == "you idiot"
     assert restored("a i d i o t") == "a idiot"
+    assert restored("idio7") == restored("1d10t") == restored("id10+") == "idiot" and restored("you! 12") == "you! 12"
     spaced = "the moon is bright and this little boat sails on but you are an idiot and a pathetic loser"
     assert restored(" ".join(spaced.replace(" ", ""))) == spaced
     assert restored(" ".join((spaced.replace(" ", "") * 40))) == " ".join([spaced] * 40)
@@ -378,3 +379,21 @@ def test_faults_are_found():
     for bad in (raw[:-1], raw.replace(b"payload\r\n", b"paYload\r\n"), raw.replace(b"WARC/1.1", b"WARK/1.1"), raw.replace(b"Content-Length: 7", b"Content-Length: 8")):
         with pytest.raises(ValueError):
             warc.parsed(bad)
+
+
+def test_faults_name_the_archive(spark, tmp_path):
+    import zstandard
+
+    def read(blob):
+        path = tmp_path / "x.warc.zst"
+        path.write_bytes(blob)
+        return warc.read_archives(spark.createDataFrame([(f"file://{path}", 1)], "path string, records long")).collect()
+
+    good = warc.record(1, "http://x/", b"payload", None)
+    assert read(zstandard.compress(good))[0]["page_id"] == 1
+    without = b"\r\n".join(x for x in good.split(b"\r\n") if not x.lower().startswith(b"warc-type"))
+    frame = bytearray(zstandard.compress(good))
+    frame[-6] ^= 0xFF
+    for blob in (zstandard.compress(without), bytes(frame), b"no frame at all"):
+        with pytest.raises(Exception, match=r"x\.warc\.zst"):
+            read(blob)

@@ -1,7 +1,7 @@
 """Toxicity behind disguises: a noisy channel restores words, a classifier scores the restored text.
 
 1. A character trigram model and hashed counts of words are taken over all documents.
-2. Words that look disguised (digits or signs among letters, a letter three times or more, letters set apart by
+2. Words that look disguised (digits or signs before, among or after letters, a letter three times or more, letters set apart by
    blanks or points) become a lattice of the letters each character may stand for. A Viterbi search under the channel's
    costs and the character model picks the likeliest spelling, which takes the word's place in the text. Letters set apart
    may be several words: any separator may end one, a wider one most likely does; frequent words cost what their counts say. Neither words nor rows of letters have a longest length.
@@ -66,6 +66,9 @@ _LETTER[65:91] = np.arange(1, 27)
 _IS_LETTER = _LETTER > 0
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in STANDS_FOR]] = True
+#: Those that are no punctuation after a letter.
+_TAIL = _SIGN.copy()
+_TAIL[[ord(c) for c in "!|"]] = False
 _BLANKS = " \t\n\v\f\r"
 _APARTS = re.compile(r"[._*-]|[ \t\n\v\f\r]+")
 _APART = np.zeros(256, bool)
@@ -231,7 +234,7 @@ class Restorer:
             return data, off
         letter, sign, apart = _IS_LETTER[data], _SIGN[data], _APART[data]
         mark = np.zeros(len(data), bool)
-        mark[1:] |= sign[:-1] & letter[1:]
+        mark[1:] |= sign[:-1] & letter[1:] | letter[:-1] & _TAIL[data[1:]]
         mark[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
         mark[4:] |= letter[4:] & apart[3:-1] & letter[2:-2] & apart[1:-3] & letter[:-4]
         marked = np.flatnonzero(mark)

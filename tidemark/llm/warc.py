@@ -203,6 +203,7 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in kinds.items()], list(kinds))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyarrow import fs
 
         for batch in batches:
@@ -219,8 +220,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                                 rows = []
                     if count != n:
                         raise ValueError(f"{count} records; {n} were written")
-                except ValueError as e:
-                    raise ValueError(f"{path}: {e}") from e
+                except (ValueError, KeyError, zstandard.ZstdError) as e:
+                    raise ValueError(f"{path}: {f'no header {e}' if isinstance(e, KeyError) else e}") from e
                 if rows:
                     yield batch_of(rows)
 
