@@ -30,7 +30,7 @@ def register(name: str, oracle: str | None = None, dates: tuple[str, ...] = ("da
 
         QUERIES[name] = as_text
         if oracle:
-            columns = f" replace ({', '.join(f'cast({c} as varchar) as {c}' for c in dates)})" if dates else ""
+            columns = f" replace ({', '.join(f'cast("{c}" as varchar) as "{c}"' for c in dates)})" if dates else ""
             ORACLES[name] = f"select *{columns} from ({oracle})"
         return query
 

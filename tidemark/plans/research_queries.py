@@ -348,7 +348,12 @@ def _streamed(spark, d, make, mode="append"):
     return spark.read.parquet(f"{name}/out")
 
 
-@register("stream_session_bars", dates=("start", "end"))
+@register(
+    "stream_session_bars",
+    """with g as (select user_id as code, ts, case when ts - lag(ts) over w < interval 60 minutes then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)), s as (select code, ts, sum(fresh) over (partition by code order by ts rows unbounded preceding) as k from g),
+    b as (select code, min(ts) as start, max(ts) + interval 60 minutes as "end", count(*) as n from s group by code, k) select code, start, "end", n from b where "end" <= (select date_trunc('milliseconds', max(ts)) - interval 10 minutes from events)""",
+    dates=("start", "end"),
+)
 def stream_session_bars(spark, d):
     """Sessions that had ended by the stream's last watermark."""
     return _streamed(spark, d, S.session_bars)
@@ -360,6 +365,6 @@ def stream_windowed_bars(spark, d):
     return _streamed(spark, d, S.windowed_bars)
 
 
-@register("stream_high_water")
+@register("stream_high_water", "with t as (select user_id as code, ts, min(event_id) as first, count(*) as n from events group by 1, 2) select code, arg_max(first, ts) as last_id, count(*) as n_new, cast(sum(n) - count(*) as bigint) as n_late from t group by 1", dates=())
 def stream_high_water(spark, d):
     return _streamed(spark, d, S.high_water)

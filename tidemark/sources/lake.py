@@ -69,3 +69,20 @@ def keep_longer(old: DataFrame, new: DataFrame) -> DataFrame:
 def series_hash(*columns: str) -> Column:
     """Aggregate: a hash of all values of a series, whatever the order of rows."""
     return F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *columns))), "\n").cast("binary"))
+
+
+def without_dates(rows: DataFrame, dates: DataFrame, *by: str) -> DataFrame:
+    """``rows`` without those of the ``dates`` (date, and ``by`` where the dates are of single groups)."""
+    return rows.join(dates.select(*by, "date").distinct(), [*by, "date"], "left_anti")
+
+
+def recent(rows: DataFrame, keep_days: int, *by: str) -> DataFrame:
+    """``rows`` not older than ``keep_days`` days before the newest date of their group (of all, without groups)."""
+    newest = rows.groupBy(*by).agg(F.max("date").alias("__newest"))
+    joined = rows.join(newest, list(by)) if by else rows.join(F.broadcast(newest))  # one row
+    return joined.where(F.datediff("__newest", "date") <= keep_days).select(*rows.columns)
+
+
+def merged_rows(stored: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """``new`` and those rows of ``stored`` whose keys it does not have; both have the same columns."""
+    return stored.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
