@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labelled = shared.where("size > 2").select("key", "node").join(nodes.select("node", weight.alias("bytes")), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = written(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("bytes").alias("size"), F.count("*").alias("n")).where("x <> y").select("key", "size", "n")
-    members = spread_join(labelled.select("key", "node", "component"), written(mixed, "mixed"), "key", "n", "inner")
+    mixed = written(mixed, "mixed")
+    # Most buckets hold one component by now: only rows of the others go on.
+    members = spread_join(labelled.select("key", "node", "component").join(mixed.select("key"), "key", "left_semi"), mixed, "key", "n", "inner")
     more = written(_across(members, nodes, docs, percent), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
