@@ -29,13 +29,12 @@ def trades(spark, d):
 @register(
     "metric_trades",
     f"""with {_TRADES}, q as (select code, date, r, exp(sum(ln(1 + r / 100)) over (partition by code order by date)) as e from tr), p as (select *, greatest(1, max(e) over (partition by code order by date)) as p from q)
-    select code, count(*) as n, round(avg(case when r > 0 then 100.0 else 0 end), 6) as win_pct, round(avg(r), 6) as mean_pct, round((exp(sum(ln(1 + r / 100))) - 1) * 100, 5) as total_pct, round(greatest(0, max((p - e) / p * 100)), 6) as drawdown_pct,
-    round(case when stddev_samp(r) > 1e-9 then avg(r) / stddev_samp(r) * sqrt(252.0 / 3) end, 5) as sharpe from p group by 1""",
+    select code, count(*) as n, round(avg(case when r > 0 then 100.0 else 0 end), 6) as win_pct, round(avg(r), 6) as mean_pct, round(round((exp(sum(ln(1 + r / 100))) - 1) * 100, 6), 4) as total_pct, round(greatest(0, max((p - e) / p * 100)), 6) as drawdown_pct,
+    round(case when stddev_samp(r) > 1e-9 then avg(r) / stddev_samp(r) * sqrt(252.0 / 3) end, 6) as sharpe from p group by 1""",
     dates=(),
 )
 def metric_trades(spark, d):
-    t = rounded(measures.trade_metrics(trades(spark, d), "code", order=("date",), hold=3), "code", "n")
-    return t.withColumns({"total_pct": F.round("total_pct", 5), "sharpe": F.round("sharpe", 5)})
+    return rounded(measures.trade_metrics(trades(spark, d), "code", order=("date",), hold=3), "code", "n").withColumn("total_pct", F.round("total_pct", 4))
 
 
 @register(

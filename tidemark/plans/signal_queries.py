@@ -35,10 +35,11 @@ def win_combined_signal(spark, d):
 @register(
     "win_stops",
     f"""with {SHIPS}, t as (select code, date, close, case when lag(close) over s is not null then greatest(high - low, abs(high - lag(close) over s), abs(low - lag(close) over s)) end as tr from ships window s as (partition by code order by date))
-    select code, date, round(round(close - 2 * avg(tr) over (s rows between 13 preceding and current row), 4), 2) as range_stop, round(round(0.9 * max(close) over s, 4), 2) as trailing_stop from t window s as (partition by code order by date)""",
+    select code, date, round(round(close - 2 * avg(tr) over (s rows between 13 preceding and current row), 4) + 1e-6, 2) as range_stop, round(round(0.9 * max(close) over s, 4) + 1e-6, 2) as trailing_stop from t window s as (partition by code order by date)""",
 )
 def win_stops(spark, d):
-    return rounded(signals.stops(ships(spark, d)), "code", "date", digits=2)
+    s = signals.stops(ships(spark, d))
+    return s.select("code", "date", *(F.round(c(x) + 1e-6, 2).alias(x) for x in ("range_stop", "trailing_stop")))
 
 
 @register("win_rate", f"with {_TRADES} select code, date, round(case when row_number() over s >= 5 then avg(case when r > 0 then 1.0 else 0 end) over (s rows between 19 preceding and current row) else 0.5 end, 6) as win_rate from tr window s as (partition by code order by date)")
