@@ -22,9 +22,10 @@ def lag_features(rows: DataFrame, label: str, window: int) -> DataFrame:
     ``streak`` counts the equal signs at its end, negative for falls.
     """
     known = rows.select("code", "date", finite(F.col(label).cast("double")).alias("y"))
-    before = P.series.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.slice(F.collect_list("y").over(before), F.greatest(F.lit(1), F.count("y").over(before) - window + 1).cast("int"), F.lit(window))
-    v = known.withColumn("v", last)
+    # Rows are numbered by the labels so far, so that a frame of that number holds the last labels whatever gaps lie between.
+    known = known.withColumn("k", F.count("y").over(P.series.rowsBetween(Window.unboundedPreceding, 0)))
+    known = known.withColumn("now", F.collect_list("y").over(Window.partitionBy("code").orderBy("k").rangeBetween(1 - window, 0)))
+    v = known.withColumn("v", F.coalesce(F.lag("now").over(P.series), F.array().cast("array<double>")))
     n = F.size("v")
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n
     v = v.withColumn("mean", F.when(n > 0, mean))

@@ -126,7 +126,22 @@ def model_one_factor(spark, d):
     return models.predicted(rows, models.ridge(both, ["score"], "y", 0.0)).where("pred is not null").select("code", "date", "pred")
 
 
-@register("model_ridge")
+def _det(a: list[list[str]]) -> str:
+    return f"({a[0][0]} * ({a[1][1]} * {a[2][2]} - {a[1][2]} * {a[2][1]}) - {a[0][1]} * ({a[1][0]} * {a[2][2]} - {a[1][2]} * {a[2][0]}) + {a[0][2]} * ({a[1][0]} * {a[2][1]} - {a[1][1]} * {a[2][0]}))"
+
+
+_M = [["d", "m12", "m13"], ["m12", "d", "m23"], ["m13", "m23", "d"]]
+_BETA = [_det([[f"c{i + 1}" if j == k else _M[i][j] for j in range(3)] for i in range(3)]) + f" / {_det(_M)}" for k in range(3)]
+
+#: Three standard scores with a penalty of one: the normal equations by Cramer's rule.
+_RIDGE = f"""with {_FEATS}, t as (select ret1 as x1, range_pct as x2, volume as x3, lead(ret1) over (partition by code order by date) as y from feats), u as (select * from t where y is not null), a as (select count(*) as n, avg(x1) as u1, avg(x2) as u2, avg(x3) as u3, avg(y) as uy from u),
+v as (select coalesce(x1 - u1, 0) as z1, coalesce(x2 - u2, 0) as z2, coalesce(x3 - u3, 0) as z3, y - uy as w from u, a), g as (select sqrt(sum(z1 * z1) / count(*)) as s1, sqrt(sum(z2 * z2) / count(*)) as s2, sqrt(sum(z3 * z3) / count(*)) as s3, sum(z1 * z2) as g12, sum(z1 * z3) as g13, sum(z2 * z3) as g23, sum(z1 * w) as b1, sum(z2 * w) as b2, sum(z3 * w) as b3 from v),
+e as (select a.*, s1, s2, s3, n + 1 as d, g12 / (s1 * s2) as m12, g13 / (s1 * s3) as m13, g23 / (s2 * s3) as m23, b1 / s1 as c1, b2 / s2 as c2, b3 / s3 as c3 from a, g),
+r as (select unnest(['ret1', 'range_pct', 'volume', '(intercept)']) as feature, unnest([{', '.join(_BETA)}, uy]) as beta, unnest([u1, u2, u3, 0]) as mu, unnest([s1, s2, s3, 0]) as sigma from e)
+select feature, round(beta, 6) + 0.0 as beta, round(mu, 6) + 0.0 as mu, round(sigma, 6) + 0.0 as sigma from r"""
+
+
+@register("model_ridge", _RIDGE, dates=())
 def model_ridge(spark, d):
     f = feats(spark, d).withColumn("y", F.lead("ret1").over(P.series))
     return rounded(models.ridge(f, FEATS, "y", 1.0), "feature")

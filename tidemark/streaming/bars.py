@@ -40,12 +40,12 @@ def high_water(events: DataFrame) -> DataFrame:
         new = late = 0
         last = -1
         for rows in batches:
-            rows = rows.sort_values(["us", "event_id"])
-            for us, event in zip(rows.us, rows.event_id):
-                if us > mark:
-                    mark, new, last = int(us), new + 1, int(event)
-                else:
-                    late += 1
+            rows = rows.sort_values(["us", "event_id"], ignore_index=True)
+            # In order of time an event is past the mark if it is later than the mark and than the event before it.
+            past = rows[(rows.us > mark) & (rows.us != rows.us.shift())]
+            new, late = new + len(past), late + len(rows) - len(past)
+            if len(past):
+                mark, last = int(past.us.iloc[-1]), int(past.event_id.iloc[-1])
         state.update((mark,))
         yield pd.DataFrame({"code": [key[0]], "last_id": [last], "n_new": [new], "n_late": [late]})
 
