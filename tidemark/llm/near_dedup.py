@@ -127,16 +127,17 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
-    """``key, node, early``: a row for each band of each node; ``early`` marks the first EARLY bands."""
+    """``key, node, early, weight``: a row for each band of each node; ``early`` marks the first EARLY bands, ``weight`` is the bytes of the node's set and registers."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(1).to_pylist()]
             node = np.repeat(batch.column(0).to_numpy(), BANDS)
             early = np.tile(np.arange(BANDS) < EARLY, len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(node, pa.int64()), pa.array(early)], ["key", "node", "early"])
+            weight = np.repeat(batch.column(2).to_numpy() * 8 + REGISTERS * 2, BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(node, pa.int64()), pa.array(early), pa.array(weight, pa.int64())], ["key", "node", "early", "weight"])
 
-    return nodes.select("node", "reg").mapInArrow(bands, "key long, node long, early boolean")
+    return nodes.select("node", "reg", "n_shingles").mapInArrow(bands, "key long, node long, early boolean, weight long")
 
 
 def _likely(n_a, n_b, reg_a, reg_b, threshold: float) -> np.ndarray:
@@ -251,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = some.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("reg").alias("reg"))
     nodes = written(classes, "classes")
     rows = _banded(nodes)
-    least = rows.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
+    least = rows.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size"), F.sum("weight").alias("bytes")).where("size > 1")
     least = written(least.withColumn("n", F.col("size")), "centers")
     shared = written(spread_join(rows, least, "key", "n", "inner"), "buckets")
     pair = [F.col("center").alias("a"), F.col("node").alias("b")]
@@ -265,13 +266,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = written(links.unionByName(_confirmed(_estimated(then, nodes, percent), docs, percent)), "links")
     # A node's other classes, where one doc_id has several texts, need no link: they share the id.
     labels = written(components(links), "labels")
-    weight = F.col("n_shingles") * 8 + REGISTERS * 2
-    labelled = shared.where("size > 2").select("key", "node").join(nodes.select("node", weight.alias("bytes")), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = written(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("bytes").alias("size"), F.count("*").alias("n")).where("x <> y").select("key", "size", "n")
-    mixed = written(mixed, "mixed")
-    # Most buckets hold one component by now: only rows of the others go on.
-    members = spread_join(labelled.select("key", "node", "component").join(mixed.select("key"), "key", "left_semi"), mixed, "key", "n", "inner")
+    labelled = shared.where("size > 2").select("key", "node", F.col("bytes").alias("size")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    members = labelled.join(mixed, "key", "left_semi")
     more = written(_across(members, nodes, docs, percent), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
