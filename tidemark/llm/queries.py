@@ -131,3 +131,90 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_sentencepiece"] = op10_sentencepiece
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.merkle import audited, build, leaf, sha, siblings
+
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    manifest = build(docs, {"tampered": F.when(changed, leaf(lowered))})
+    found = audited(manifest, F.coalesce("tampered", "leaf"))
+    return found.select("doc_id", "leaf", "subroot", "root", sha(siblings(F.col("path"))).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES["op11_merkle_manifest"] = op11_merkle_manifest
+
+#: Levels written out in the twin of op11: enough for 16 ** 8 leaves a source, and as many sources.
+_LEVELS = 8
+
+
+def _merkle_sql() -> str:
+    """Levels one by one: nodes ``n``, their runs ``r``, and each document's place, proof and digest so far, ``d``; a tree of one node stays as it is."""
+
+    def part(value: str) -> str:
+        return f"coalesce(strlen({value})::varchar || ':' || {value}, '-')"
+
+    def levels(kind: str) -> list[str]:
+        out = []
+        for k in range(_LEVELS):
+            out.append(f"{kind}r{k} as (select tree, n, pos // 16 as run, list(digest order by pos) as kids from {kind}n{k} group by all)")
+            out.append(f"{kind}n{k + 1} as (select tree, run as pos, case when n = 1 then 1 else (n + 15) // 16 end as n, case when n = 1 then kids[1] else sha256(array_to_string(kids, '')) end as digest from {kind}r{k})")
+            before, after = "array_to_string(kids[1:pos % 16], '')", "array_to_string(kids[pos % 16 + 2:], '')"
+            out.append(
+                f"{kind}d{k + 1} as (select d.* exclude (pos, proof, folded), pos // 16 as pos, proof || {before} || {after} as proof, "
+                f"case when n = 1 then folded else sha256({before} || folded || {after}) end as folded from {kind}d{k} d join {kind}r{k} r on d.tree = r.tree and d.pos // 16 = r.run)"
+            )
+        return out
+
+    fixed = [part(f"{c}::varchar") for c in ("doc_id", "source", "lang", "n_chars")]
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    crc = f"xor(list_reduce([4294967295] || list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ord(substr(doc_id::varchar, i, 1))::bigint), lambda c, b: {bits}), 4294967295)"
+    lowered = "case when " + crc + " % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end"
+    steps = [
+        f"l as (select doc_id, coalesce('s' || source, '') as tree, sha256({' || '.join([*fixed, part('text')])}) as leaf, sha256({' || '.join([*fixed, part(f'({lowered})')])}) as folded from documents)",
+        "sd0 as (select doc_id, tree, leaf, folded, '' as proof, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos from l)",
+        "sn0 as (select tree, pos, count(*) over (partition by tree) as n, leaf as digest from sd0)",
+        *levels("s"),
+        f"roots as (select tree, digest, row_number() over (order by tree) - 1 as pos, count(*) over () as n from sn{_LEVELS})",
+        "tn0 as (select 0 as tree, pos, n, digest from roots)",
+        f"td0 as (select d.doc_id, d.leaf, r.digest as subroot, d.proof, d.folded, 0 as tree, r.pos from sd{_LEVELS} d join roots r on d.tree = r.tree)",
+        *levels("t"),
+    ]
+    chosen = "doc_id, leaf, subroot, n.digest as root, sha256(proof) as proof_sha256, folded as folded_root, folded = n.digest as verified"
+    return f"with {', '.join(steps)} select {chosen} from td{_LEVELS} d join tn{_LEVELS} n on d.tree = n.tree"
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.exact_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_exact_dedup"] = op12_exact_dedup
+ORACLES["op12_exact_dedup"] = """
+with d as (select doc_id, coalesce(text, '') as text from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(text) as text_sha256
+from d window same as (partition by text)
+"""
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.alignment import aligned, with_link_counts
+    from tidemark.llm.common import written
+
+    paths = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    found = aligned(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))
+    return with_link_counts(written(found.withColumn("groups_sha256", digest).drop("groups"), "alignments"), *paths)
+
+
+QUERIES["op13_tokenizer_alignment"] = op13_tokenizer_alignment
