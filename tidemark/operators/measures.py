@@ -113,10 +113,13 @@ def volume_anomaly(bars: DataFrame, threshold: float = 2.0) -> DataFrame:
     return b.select("code", "date", F.round(r, 2).alias("ratio"), kind.alias("kind"), strength.alias("strength"))
 
 
-def without_halted(bars: DataFrame, name: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Bars of days with volume whose ``name``, if there is one, has no word of a halt; and ``code, kept, no_volume, halted`` of all."""
-    idle = ~F.coalesce(F.col("volume") > 0, F.lit(False))
-    halted = F.coalesce(F.lower(name).rlike(HALT_WORDS), F.lit(False)) if name else F.lit(False)
+def without_halted(bars: DataFrame, texts: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Bars without a volume of 0 or less whose ``texts`` (names of columns) have no word of a halt, as it is written; and ``code, kept, no_volume, halted`` of all.
+
+    A NULL volume is no sign of a halt, nor is a NULL text. A bar that is idle and halted counts as idle.
+    """
+    idle = F.coalesce(F.col("volume") <= 0, F.lit(False))
+    halted = F.concat_ws(" ", *texts).rlike(HALT_WORDS) if texts else F.lit(False)
     audit = bars.groupBy("code").agg(F.count_if(~idle & ~halted).alias("kept"), F.count_if(idle).alias("no_volume"), F.count_if(halted & ~idle).alias("halted"))
     return bars.where(~idle & ~halted), audit
 

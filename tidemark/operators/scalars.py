@@ -21,9 +21,11 @@ def bare_code(text: Column) -> Column:
 
 
 def limit_pct(code: Column, name: Column) -> Column:
-    """The daily limit of a share: narrow for names marked ST, wide for growth boards."""
+    """The daily limit of a share: narrow for names marked ST (blanks set aside) or as leaving the market, wide for growth boards."""
     wide = F.substring(code, 1, 3).isin(*WIDE_PREFIXES)
-    return F.when(F.upper(F.coalesce(name, F.lit(""))).contains("ST"), SPECIAL_LIMIT).when(wide, WIDE_LIMIT).otherwise(LIMIT)
+    known = F.coalesce(name, F.lit(""))
+    special = F.upper(F.replace(known, F.lit(" "), F.lit(""))).contains("ST") | known.contains("退")
+    return F.when(special, SPECIAL_LIMIT).when(wide, WIDE_LIMIT).otherwise(LIMIT)
 
 
 def publish_clock(text: Column) -> tuple[Column, Column]:

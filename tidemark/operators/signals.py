@@ -52,18 +52,26 @@ def combined(bars: DataFrame, weights: dict[str, float] = WEIGHTS, least: int =
     rows = rows.withColumn("composite", F.round(sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)) / total, 4))
     x = F.col("composite")
     signal = F.when(x >= 1, "strong_buy").when(x >= 0.3, "buy").when(x <= -1, "strong_sell").when(x <= -0.3, "sell").otherwise("neutral")
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + x * 25)), 2)
+    score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 + x * 25)), 1)
     return rows.where(F.col("n") >= least).select("code", "date", *LEAST, "composite", signal.alias("signal"), score.alias("score"))
 
 
-def stops(bars: DataFrame, multiple: float = 2.0, window: int = 14, trail: float = 0.1) -> DataFrame:
-    """``code, date, range_stop, trailing_stop`` for an entry at each close: the close less ``multiple`` mean true ranges of up to ``window`` rows, and the highest close so far less ``trail`` of it; the first is NULL on an entity's first row."""
+def stops(bars: DataFrame, multiple: float = 2.0, window: int = 14, trail: float = 0.1, entry: Column | None = None, since: Column | None = None) -> DataFrame:
+    """``code, date, range_stop, trailing_stop``: the entry price less ``multiple`` mean true ranges of up to ``window`` rows, and the highest close of the position less ``trail`` of it.
+
+    ``entry`` (default: each close) and ``since`` (the date of the entry; default: the entity's first) are expressions over ``bars``. Before its entry, or where
+    the entry is NULL, a row has no stops; the first is NULL on an entity's first row too.
+    """
     s = P.series
     before = F.lag("close").over(s)
     tr = F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
-    b = bars.select("code", "date", "close", tr.alias("tr"))
-    peak = F.max("close").over(s.rowsBetween(Window.unboundedPreceding, 0))
-    return b.select("code", "date", F.round(F.col("close") - F.avg("tr").over(s.rowsBetween(1 - window, 0)) * multiple, 4).alias("range_stop"), F.round(peak * (1 - trail), 4).alias("trailing_stop"))
+    b = bars.select("code", "date", "close", tr.alias("tr"), (F.col("close") if entry is None else entry).alias("entry"), (F.lit(None).cast("date") if since is None else since).alias("since"))
+    held = F.lit(True) if since is None else F.coalesce(F.col("date") >= F.col("since"), F.lit(False))
+    b = b.withColumn("range", F.avg("tr").over(s.rowsBetween(1 - window, 0)))
+    of_position = Window.partitionBy("code", "since").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    peak = F.max(F.when(held, F.col("close"))).over(of_position)
+    stop = lambda x: F.when(held & F.col("entry").isNotNull(), F.round(x, 4))
+    return b.select("code", "date", stop(F.col("entry") - F.col("range") * multiple).alias("range_stop"), stop(peak * (1 - trail)).alias("trailing_stop"))
 
 
 def rolling_win_rate(trades: DataFrame, window: int = 20, least: int = 5) -> DataFrame:

@@ -241,11 +241,13 @@ def pattern_scores(bars: DataFrame) -> DataFrame:
     return b.select("code", "date", alignment[0].alias("alignment"), breakout[0].alias("breakout"), shape[0].alias("candle"), "adx", F.when(F.col("n") >= 5, _tenth(total)).alias("score"))
 
 
-def reversal_scores(bars: DataFrame, limit_pct: float = 9.5) -> DataFrame:
-    """``code, date, limit_ups, limit_downs, limit_run, place, amplitude, amplitude_trend, gap_share, score``: days at the limits among 20, the place in their range, and spans and gaps of ten rows."""
+def reversal_scores(bars: DataFrame, limit_pct: float | Column = 9.5) -> DataFrame:
+    """``limit_pct`` is one limit for all, or an expression over ``bars`` (by board and name: ``scalars.limit_pct``). ``code, date, limit_ups, limit_downs, limit_run, place, amplitude, amplitude_trend, gap_share, score``: days at the limits among 20, the place in their range, and spans and gaps of ten rows."""
     s = P.series
     change = F.coalesce(_change(), F.lit(0.0))
-    b = bars.select("code", "date", "open", "high", "low", "close").withColumns({"n": _rows(), "up": (change >= limit_pct).cast("int"), "down": (change <= -limit_pct).cast("int"), "before": F.lag("close").over(s)})
+    limit = limit_pct if isinstance(limit_pct, Column) else F.lit(limit_pct)
+    b = bars.select("code", "date", "open", "high", "low", "close", limit.alias("limit"))
+    b = b.withColumns({"n": _rows(), "up": (change >= F.col("limit")).cast("int"), "down": (change <= -F.col("limit")).cast("int"), "before": F.lag("close").over(s)})
     span, low = F.max("high").over(_last(20)) - F.min("low").over(_last(20)), F.min("low").over(_last(20))
     b = b.withColumns({"amp": F.when(F.col("close") > 0, (F.col("high") - F.col("low")) / F.nullif("close", F.lit(0.0)) * 100), "opened_up": (F.col("open") > F.col("before") * 1.01).cast("int"), "opened_down": (F.col("open") < F.col("before") * 0.99).cast("int"), "span": span, "low20": low})
     run = F.aggregate(F.collect_list("up").over(_last(20)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, v: F.struct(((a["now"] + 1) * v).alias("now"), F.greatest(a["most"], (a["now"] + 1) * v).alias("most")))["most"]

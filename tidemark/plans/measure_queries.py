@@ -104,15 +104,16 @@ def win_volume_anomaly(spark, d):
 
 @register(
     "filter_halted",
-    f"""with {SHIPS}, b as (select code, date, case when (code + day(date)) % 9 = 0 then 0 else volume end as v, case when (code + month(date)) % 11 = 0 then 'Suspended ' else '' end || s_name as name from ships join supplier on code = s_suppkey)
-    select code, cast(count_if(v > 0 and not lower(name) like '%suspended%') as bigint) as kept, cast(count_if(not v > 0) as bigint) as no_volume, cast(count_if(v > 0 and lower(name) like '%suspended%') as bigint) as halted from b group by 1""",
+    f"""with {SHIPS}, b as (select code, date, case when (code + day(date)) % 9 = 0 then 0 when (code + day(date)) % 9 = 1 then null else volume end as v, case when (code + month(date)) % 11 = 0 then 'Suspended ' else '' end || s_name as name, case when (code + month(date)) % 7 = 0 then 'trading suspended' end as remark from ships join supplier on code = s_suppkey)
+    select code, cast(count_if(coalesce(v > 0, true) and remark is null) as bigint) as kept, cast(count_if(v <= 0) as bigint) as no_volume, cast(count_if(coalesce(v > 0, true) and remark is not null) as bigint) as halted from b group by 1""",
     dates=(),
 )
 def filter_halted(spark, d):
-    """The audit of what is kept, over all bars; some have their volume or name replaced so that there is something to find."""
+    """The audit of what is kept, over all bars; some have their volume, name or remark replaced so that there is something to find (a capital S is no halt)."""
     b = ships(spark, d).join(B.read(spark, d, "supplier"), c("code") == c("s_suppkey"))
-    b = b.withColumn("volume", F.when((c("code") + F.dayofmonth("date")) % 9 == 0, 0.0).otherwise(c("volume"))).withColumn("name", F.concat(F.when((c("code") + F.month("date")) % 11 == 0, "Suspended ").otherwise(""), c("s_name")))
-    kept, audit = measures.without_halted(b, "name")
+    b = b.withColumn("volume", F.when((c("code") + F.dayofmonth("date")) % 9 == 0, 0.0).when((c("code") + F.dayofmonth("date")) % 9 != 1, c("volume"))).withColumn("name", F.concat(F.when((c("code") + F.month("date")) % 11 == 0, "Suspended ").otherwise(""), c("s_name")))
+    b = b.withColumn("remark", F.when((c("code") + F.month("date")) % 7 == 0, "trading suspended"))
+    kept, audit = measures.without_halted(b, ("name", "remark"))
     return audit
 
 

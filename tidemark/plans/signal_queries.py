@@ -26,7 +26,7 @@ def _inner(name: str) -> str:
     k as (select code, date, case when j < 0 then greatest(x, 1) when j > 100 then least(x, -1) else x end as k from k1), r as (select code, date, case when rsi < 30 then 2 when rsi < 40 then 1 when rsi > 70 then -2 when rsi > 60 then -1 else 0 end as r from rs),
     a as (select va.code, va.date, va.n, case when va.n >= 35 then coalesce(m, 0) else 0 end as macd, coalesce(k, 0) as kdj, coalesce(r, 0) as rsi, case when va.n < 20 or u = 0 then 0 when volume / u >= 4 then 3 when volume / u >= 2 then 2 when volume / u >= 1.5 then 1 when volume / u < 0.3 then -2 when volume / u < 0.5 then -1 else 0 end as volume
       from va left join m using (code, date) left join k using (code, date) left join r using (code, date)), b as (select *, round(macd * 0.35 + kdj * 0.25 + rsi * 0.25 + volume * 0.15, 4) + 0.0 as composite from a where n >= 30)
-    select code, date, macd, kdj, rsi, volume, composite, case when composite >= 1 then 'strong_buy' when composite >= 0.3 then 'buy' when composite <= -1 then 'strong_sell' when composite <= -0.3 then 'sell' else 'neutral' end as signal, round(greatest(0, least(100, 50 + composite * 25)), 2) as score from b""",
+    select code, date, macd, kdj, rsi, volume, composite, case when composite >= 1 then 'strong_buy' when composite >= 0.3 then 'buy' when composite <= -1 then 'strong_sell' when composite <= -0.3 then 'sell' else 'neutral' end as signal, round_even(greatest(0, least(100, 50 + composite * 25)), 1) as score from b""",
 )
 def win_combined_signal(spark, d):
     return signals.combined(ships(spark, d))

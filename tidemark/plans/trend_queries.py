@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import trends
+from tidemark.operators import scalars, trends
 from tidemark.plans.panel_queries import rounded, ships
 from tidemark.plans.registry import register
 from tidemark.plans.sql import SHIPS, SLOTS
@@ -140,14 +140,19 @@ def factor_pattern(spark, d):
 
 @register(
     "factor_reversal",
-    f"""with {_NUMBERED}, b as (select *, case when p > 0 and (close / p - 1) * 100 >= 9.5 then 1 else 0 end as u, case when p > 0 and (close / p - 1) * 100 <= -9.5 then 1 else 0 end as w, (high - low) / close * 100 as am, case when open > p * 1.01 then 1 else 0 end as gu, case when open < p * 0.99 then 1 else 0 end as gd from a),
+    f"""with {_NUMBERED}, z as (select a.*, case when s_nationkey % 5 = 0 then 4.5 when code % 3 = 0 then 19.5 else 9.5 end as lim from a join supplier on code = s_suppkey),
+    b as (select *, case when p > 0 and (close / p - 1) * 100 >= lim then 1 else 0 end as u, case when p > 0 and (close / p - 1) * 100 <= -lim then 1 else 0 end as w, (high - low) / close * 100 as am, case when open > p * 1.01 then 1 else 0 end as gu, case when open < p * 0.99 then 1 else 0 end as gd from z),
     k as (select *, sum(u) over {_frame(20)} as lu, sum(w) over {_frame(20)} as ld, array_to_string(list(u) over {_frame(20)}, '') as us, max(high) over {_frame(20)} as h, min(low) over {_frame(20)} as l, avg(am) over {_frame(10)} as aa, am - first(am) over {_frame(10)} as amt, sum(gu) over {_frame(10)} as g1, sum(gd) over {_frame(10)} as g2 from b {_S}),
     m as (select *, list_max(list_transform(string_split(us, '0'), lambda x: len(x))) as run, case when n >= 5 then case when h = l then 50 else (close - l) / (h - l) * 100 end end as pl, case when n >= 5 then round(aa, 2) end as a2, case when n >= 5 then round(amt, 2) end as t2, case when g1 + g2 > 0 then round(g1 / (g1 + g2), 2) else 0.5 end as gs from k)
     select code, date, cast(lu as double) as limit_ups, cast(ld as double) as limit_downs, cast(run as double) as limit_run, round(pl, 6) as place, a2 as amplitude, t2 + 0.0 as amplitude_trend, gs as gap_share, case when n >= 5 then round(cast(0.25 * greatest(case when lu >= 3 then 25 when lu = 2 then 38 when lu = 1 then 52 else 50 end, case when ld >= 2 then 72 when ld = 1 then 58 else 0 end)
       + 0.2 * case when run >= 3 then 20 when run = 2 then 38 when run = 1 then 52 else 60 end + 0.25 * {_case('pl', trends.PLACE_IN_RANGE)} + 0.15 * case when t2 > 2 and a2 > 5 then 35 when t2 < -2 and a2 < 3 then 58 when t2 > 0 and a2 < 4 then 52 else 48 end + 0.15 * {_case('gs', trends.GAP_SHARE)} + 1e-9 as double), 1) end as score from m""",
 )
 def factor_reversal(spark, d):
-    return rounded(trends.reversal_scores(ships(spark, d)), "code", "date")
+    """Limits by board and name: every third supplier stands for a growth board, those of every fifth nation for names under special treatment."""
+    named = ships(spark, d).join(B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), "s_name", "s_nationkey"), "code")
+    board = F.concat(F.when(F.col("code") % 3 == 0, "300").otherwise("600"), F.col("code").cast("string"))
+    limit = scalars.limit_pct(board, F.concat(F.when(F.col("s_nationkey") % 5 == 0, "*st ").otherwise(""), "s_name"))
+    return rounded(trends.reversal_scores(named, limit), "code", "date")
 
 
 @register(
