@@ -49,6 +49,36 @@ def contributions(cov: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.join(var).select(F.col("a").alias("code"), F.col("w_a").alias("weight"), (F.col("cw") / F.sqrt("var")).alias("marginal"), (F.col("cw") * F.col("w_a") / F.col("var")).alias("share"))
 
 
+def ledoit_wolf(returns: DataFrame, target: str = "diagonal") -> DataFrame:
+    """``a, b, n, cov, shrinkage`` for a <= b: the covariance drawn towards its diagonal (``diagonal``) or the mean variance (``identity``) by the intensity that the data suggest.
+
+    Returns (code, date, ret; one for each) count on the dates on which all entities have one; NULLs are no returns. The intensity comes from sums by date of second and
+    fourth powers, so that no matrix of dates by entities is made. A target that is met already, up to 1e-12, has intensity 1; fewer than two such dates give an empty result.
+    """
+    if target not in ("diagonal", "identity"):
+        raise ValueError(f"target={target}")
+    r = returns.where("ret is not null").select("code", "date", "ret")
+    size = r.agg(F.count_distinct("code").alias("n")).first()["n"]
+    whole = r.join(r.groupBy("date").count().where(F.col("count") == size).select("date"), "date")
+    periods = whole.agg(F.count_distinct("date").alias("t")).first()["t"]
+    if periods < 2:
+        return returns.select(F.col("code").alias("a"), F.col("code").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("cov"), F.lit(1.0).alias("shrinkage")).limit(0)
+    sample = pairs(whole)
+    x = whole.join(whole.groupBy("code").agg(F.avg("ret").alias("mean")), "code").withColumn("x2", F.pow(F.col("ret") - F.col("mean"), 2))
+    days = x.groupBy("date").agg(F.sum("x2").alias("norm"), F.sum(F.col("x2") * F.col("x2")).alias("fourth"))
+    powers = days.agg(F.avg(F.col("norm") * F.col("norm")).alias("norm2"), F.avg("fourth").alias("fourth"))
+    own = F.col("a") == F.col("b")
+    square = F.col("cov") * F.col("cov")
+    sums = sample.agg(F.sum(F.when(own, square).otherwise(2 * square)).alias("all"), F.sum(F.when(own, square)).alias("diagonal"), F.sum(F.when(own, F.col("cov"))).alias("trace"))
+    p, q = powers.first(), sums.first()  # two rows of sums
+    mean = q["trace"] / size
+    pi = p["norm2"] - q["all"]
+    rho, apart = (p["fourth"] - q["diagonal"], q["all"] - q["diagonal"]) if target == "diagonal" else ((p["norm2"] - q["trace"] ** 2) / size, q["all"] - size * mean * mean)
+    d = 1.0 if apart <= 1e-12 else max(0.0, min(1.0, (pi - rho) / (periods * apart)))
+    aim = F.when(own, F.col("cov") if target == "diagonal" else F.lit(mean)).otherwise(F.lit(0.0))
+    return sample.select("a", "b", "n", (aim * d + F.col("cov") * (1 - d)).alias("cov"), F.lit(d).alias("shrinkage"))
+
+
 def nearest_psd(m: np.ndarray, floor: float = 1e-10) -> np.ndarray:
     """The matrix with its negative eigenvalues raised to ``floor``."""
     values, vectors = np.linalg.eigh((m + m.T) / 2)
