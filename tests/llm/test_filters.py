@@ -43,10 +43,27 @@ def corpus(spark):
 def test_quality_parts_junk_from_text(corpus):
     rows, df, labels = corpus
     # Cold, so that the weights decide: at temperature 1 the models of so few words leave some of it to chance.
-    got = {r["doc_id"]: r["sampled"] for r in quality.resampled(df, labels, temperature=0.05, cut=-3.0).collect()}
+    got = {r["doc_id"]: r["sampled"] for r in quality.resampled(df, labels, temperature=0.05, k=160).collect()}
     assert got == {i: i % 5 != 0 for i, _ in rows}
 
 
+def test_the_budget_is_the_share_of_good_labels(spark):
+    labels = labelled(spark, [(i, int(i % 4 > 0), 0) for i in range(100)] + [(None, None, 1)])
+    assert quality.good_share(labels) == pytest.approx(0.75 + 2 * (0.75 * 0.25 / 100) ** 0.5)
+    assert quality.good_share(labelled(spark, [])) == 1.0
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.resampled(d, labels).collect()
+    k = sum(r["sampled"] for r in got)
+    assert k == math.ceil(len(got) * quality.good_share(labels))
+    # The noise decides on some rows: the sample is not the k largest weights.
+    threshold = sorted((r["log_weight"] for r in got), reverse=True)[k - 1]
+    differ = sum(r["sampled"] != (r["log_weight"] >= threshold) for r in got)
+    assert 0 < differ < 0.1 * len(got)
+    # No row labelled good is left out.
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    assert all(r["sampled"] for r in got if r["doc_id"] in good)
+
+
 def test_weights_against_a_plain_model(corpus):
     """Log weights by dictionaries of buckets, counted token by token."""
     rows, df, labels = corpus
@@ -129,7 +146,7 @@ def brute_restore(model, word):
         if c.isalpha():
             ways.append([(c * k, toxicity.DROPPED * (n - k)) for k in ((1, 2) if n > 2 else (n,))])
         else:
-            ways.append([(x * k, toxicity.SIGN * n) for x in toxicity.STANDS_FOR[c] for k in {1, min(n, 2)}] + [(c * n, toxicity.KEPT * n)])
+            ways.append([(x * k, toxicity.SIGN * n) for x in toxicity.STANDS_FOR[c] for k in ((1, 2) if n > 2 else (n,))] + [(c * n, toxicity.KEPT * n)])
     best = (math.inf, "")
 
     def walk(i, text, cost):
@@ -168,7 +185,7 @@ def test_trigram_counts_against_a_loop():
     assert {k: got[k] for k in zip(*np.nonzero(got))} == dict(want)
 
 
-@pytest.mark.parametrize("word", ["1d10t", "l0ser", "looooser", "p4th3tic", "w0rthle55", "b04t", "7h15"])
+@pytest.mark.parametrize("word", ["1d10t", "l0ser", "a55", "a$$", "b0000t", "looooser", "p4th3tic", "w0rthle55", "b04t", "7h15"])
 def test_viterbi_against_all_spellings(char_model, word):
     assert char_model.restore(word) == brute_restore(char_model, word)
 
@@ -196,6 +213,7 @@ def test_rows_of_letters_become_words():
 
     assert restored("y o u i d i o t") == restored("y o u   i d i o t") == restored("y\no\nu\ni\nd\ni\no\nt") == "you idiot"
     assert restored("a i d i o t") == "a idiot"
+    assert restored("y o u") == "you" and restored("l0$$") == "loss"
     assert restored("idio7") == restored("1d10t") == restored("id10+") == "idiot" and restored("you! 12") == "you! 12"
     spaced = "the moon is bright and this little boat sails on but you are an idiot and a pathetic loser"
     assert restored(" ".join(spaced.replace(" ", ""))) == spaced

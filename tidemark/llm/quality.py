@@ -5,12 +5,12 @@ BUCKETS buckets. The raw model counts them over all documents; the target model
 (of those rows a bounded sample, TARGET_ROWS, chosen by hash). A document's log weight is the sum of its features' log ratios.
 The sample of k documents without replacement is the k largest keys, log weight over TEMPERATURE plus Gumbel noise
 drawn from the document's id; their k-th largest is found by counting, without a sort or a gather.
-k is the number of documents whose log weight is CUT or more, counted over all of them; at temperature 1 chance decides
-which of the documents about that weight are among the k.
+k is a budget that no weight sets: the share of good ones among the labelled rows, at the upper end of its interval (SURE standard errors), of all
+documents; so that good ones are not left out for want of room, and chance decides which of the others take what is left of it.
 
 Null and empty texts have no features: log weight 0. A null doc_id draws its noise as id 0. Equal keys fall to the smaller doc_id (null
 as 0); rows of one id with equal keys are sampled together, so that such repeats may give more than k rows. Without labelled rows all
-weights are 0 and every document is kept. An empty table gives an empty result; further columns are ignored.
+weights are 0 and every document is kept. Texts of any length count whole. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from tidemark.llm.texthash import BYTE_VALUE, mix, span_hashes
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
-TEMPERATURE, CUT = 1.0, -6.0
+TEMPERATURE, SURE = 1.0, 2.0
 #: Pseudo-counts added to every bucket of either model, and those by which the target model is drawn towards the raw one (a bucket's mean).
 PRIOR, SHRINK = 1.0, 20.0
 
@@ -149,26 +149,37 @@ def _sampler(rows: DataFrame, k: int) -> Sampler:
     return lambda key: (key > least) | ((key == least) & (F.coalesce("doc_id", F.lit(0)) <= last))
 
 
-def _sampling(docs: DataFrame, labels: DataFrame, temperature: float, cut: float, k: int | None) -> tuple[DataFrame, np.ndarray, Sampler]:
+def good_share(labels: DataFrame, sure: float = SURE) -> float:
+    """The share of rows labelled good, ``sure`` standard errors above what is seen; 1 without labels."""
+    n, good = labels.where("quality in (0, 1)").agg(F.count("*"), F.count_if(F.col("quality") == 1)).first()
+    seen = good / n if n else 1.0
+    return min(1.0, seen + sure * (seen * (1 - seen) / max(n, 1)) ** 0.5)
+
+
+def _sampling(docs: DataFrame, labels: DataFrame, temperature: float, share: float | None, k: int | None) -> tuple[DataFrame, np.ndarray, Sampler]:
     """Weights and keys of ``doc_id, text``, the models' log ratios, and the choice of rows by their keys."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS)
     ratios = log_ratios(docs, good)
     rows = written(weighed(docs, ratios).withColumn("gumbel_key", gumbel_key(temperature)), "weighed")
+    n = rows.count()
     if k is None:
-        k = rows.agg(F.count_if(F.col("log_weight") >= cut)).first()[0]
-    return rows, ratios, _sampler(rows, min(k, rows.count()))
+        k = -int(-n * (good_share(labels) if share is None else share) // 1)
+    return rows, ratios, _sampler(rows, min(k, n))
+
 
+def resampled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", temperature: float = TEMPERATURE, share: float | None = None, k: int | None = None) -> DataFrame:
+    """``doc_id, n_features, log_weight, gumbel_key, sampled`` of every row of ``docs``; ``labels`` has doc_id and quality (0 or 1).
 
-def resampled(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", temperature: float = TEMPERATURE, cut: float = CUT, k: int | None = None) -> DataFrame:
-    """``doc_id, n_features, log_weight, gumbel_key, sampled`` of every row of ``docs``; ``labels`` has doc_id and quality (0 or 1)."""
+    ``k`` documents are sampled, or else ``share`` of all, or else ``good_share``.
+    """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    rows, _, sampled = _sampling(docs, labels, temperature, cut, k)
+    rows, _, sampled = _sampling(docs, labels, temperature, share, k)
     return rows.withColumn("sampled", sampled(F.col("gumbel_key")))
 
 
-def sampled_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, cut: float = CUT, k: int | None = None) -> DataFrame:
+def sampled_documents(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, share: float | None = None, k: int | None = None) -> DataFrame:
     """The rows of ``docs`` (with doc_id and text, and any others) that are sampled, unchanged and without a shuffle: a second pass weighs them again."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    _, ratios, sampled = _sampling(narrow, labels, temperature, cut, k)
+    _, ratios, sampled = _sampling(narrow, labels, temperature, share, k)
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return weighed(whole, ratios).where(sampled(gumbel_key(temperature))).select("row.*")

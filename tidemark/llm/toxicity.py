@@ -4,7 +4,8 @@
 2. Words that look disguised (digits or signs before, among or after letters, a letter three times or more, letters set apart by
    blanks or points) become a lattice of the letters each character may stand for. A Viterbi search under the channel's
    costs and the character model picks the likeliest spelling, which takes the word's place in the text. Letters set apart
-   may be several words: any separator may end one, a wider one most likely does; frequent words cost what their counts say. Neither words nor rows of letters have a longest length.
+   may be several words: any separator may end one, a wider one most likely does; frequent words cost what their counts say. Words and rows of letters of any length are decoded, but a word of over REMEMBERED
+   letters within a row is none of the counted ones, and words that began over 2 * REMEMBERED runs ago are no longer told apart.
 3. A word's marks are its hash and those of its prefixes of 4 to 8 bytes; a feature is a mark that at least 1, 2 or 3 of a
    text's distinct words bear. From a bounded sample of labelled rows (TRAIN_ROWS, chosen by hash; copies and near copies
    count once) the classifier takes the features whose presence marks toxic texts beyond doubt, then weaker ones as long as they
@@ -35,6 +36,8 @@ from tidemark.llm.texthash import SPACES, shingles, span_hashes, word_spans, wor
 
 HELD, FOLDS, THRESHOLD = 2, 4, 0.3
 TRAIN_ROWS = 12_000
+#: Features that the classifier chooses from: those in most toxic rows of the sample.
+FEATURES = 12_000
 BUCKETS = 1 << 20
 PREFIXES, LEVELS = (4, 5, 6, 7, 8), 3
 #: A feature is taken if its log odds less two standard errors are SURE_ODDS or more; or if they are MIN_ODDS or more
@@ -118,7 +121,8 @@ class CharModel:
             if "a" <= c <= "z":
                 ways = [(c * k, DROPPED * (n - k)) for k in ((1, 2) if n > 2 else (n,))]
             elif c in STANDS_FOR:
-                ways = [(x * k, SIGN * n) for x in STANDS_FOR[c] for k in {1, min(n, 2)}]
+                # Two signs are two letters; of a longer run one or two.
+                ways = [(x * k, SIGN * n) for x in STANDS_FOR[c] for k in ((1, 2) if n > 2 else (n,))]
                 ways.append((c * n, KEPT * n))
             elif c in "._-* " and letters_apart:
                 ways = [("", APART + UNLIKE * (n > narrow))]
@@ -240,13 +244,13 @@ class Restorer:
         marked = np.flatnonzero(mark)
         odd = np.zeros(len(start), bool)
         odd[np.searchsorted(start, marked, "right") - 1] = True
-        # Four and more words of one character in a row are words set apart; the lattice finds where they end.
+        # Three and more words of one character in a row are words set apart; the lattice finds where they end.
         single = (end - start == 1) & (letter[start] | sign[start])
         begins = np.isin(start, off)
         chain = single[1:] & single[:-1] & ~begins[1:]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], chain.astype(np.int8), [0]])))
         first, last = edge[::2], edge[1::2]
-        long = last - first >= 3
+        long = last - first >= 2
         spans = [(int(start[i]), int(end[j])) for i, j in zip(first[long], last[long])]
         for i, j in zip(first[long], last[long]):
             odd[i : j + 1] = False
@@ -340,8 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharModel) -> tuple[dict[tupl
     odds = F.log((F.col("p") + 0.5) / (bad + 1)) - F.log((F.col("n") + 0.5) / (good + 1))
     error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
     telling = by_bucket.where((F.col("p") >= MIN_ROWS) & (F.col("p") >= MIN_RATIO * F.col("n"))).withColumn("odds", odds).withColumn("sure", odds - 2 * error).where(F.col("sure") >= MIN_ODDS)
-    # All of this stems from the bounded sample.
-    telling = telling.orderBy(F.desc("p"), "bucket", "least").limit(TRAIN_ROWS).select("bucket", "least", "odds", "sure")
+    # All of this stems from the bounded sample; FEATURES bounds the model.
+    telling = telling.orderBy(F.desc("p"), "bucket", "least").limit(FEATURES).select("bucket", "least", "odds", "sure")
     has = seen.where("toxic = 1").join(F.broadcast(telling), "bucket").where("level >= least").select("kind", "bucket", "least", "odds", "sure").toPandas()
     facts = {(r.bucket, r.least): (r.odds, r.sure) for r in has.drop_duplicates(["bucket", "least"]).itertuples()}
     rows_of = {k: set(g) for k, g in has.groupby(["bucket", "least"]).kind}
