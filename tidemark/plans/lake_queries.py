@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendars, xsec
+from tidemark.operators import calendars, rescoring, xsec
 from tidemark.plans.merge_queries import _CUBE, _FEATS, _LONG, FEATS, feats
-from tidemark.plans.panel_queries import c, daily, rounded
+from tidemark.plans.panel_queries import c, daily, rounded, ships
 from tidemark.plans.registry import register
-from tidemark.plans.sql import DAILY
+from tidemark.plans.sql import DAILY, SHIPS
 from tidemark.sources import bars as B
 from tidemark.sources import lake
+from tidemark.sources.versions import Versions
 
 
 def folder(spark) -> str:
@@ -109,6 +110,86 @@ def lake_series_hash(spark, d):
     return b.groupBy("code").agg(lake.series_hash("date", "v").alias("mark"))
 
 
+# Versions of a table: bars by shipping day are merged with bars by the day of the order, partitioned by month.
+
+_ORDERED = """ordered as (select l_suppkey as code, cast(o_orderdate as date) as date, max(l_extendedprice) as high, min(l_extendedprice) as low, sum(l_quantity) as volume from lineitem join orders on l_orderkey = o_orderkey where l_extendedprice is not null and isfinite(l_extendedprice) group by 1, 2),
+shipped as (select code, date, high, low, volume from ships)"""
+_BARS = "code long, date date, high double, low double, volume double, month string"
+
+
+def _monthly(bars):
+    return bars.select(c("code").cast("long").alias("code"), "date", "high", "low", c("volume").cast("double").alias("volume"), F.date_format("date", "yyyy-MM").alias("month"))
+
+
+def ordered(spark, d):
+    lines = B.read(spark, d, "lineitem").join(B.read(spark, d, "orders").select(c("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("date")), "l_orderkey")
+    price = B.finite(c("l_extendedprice"))
+    return lines.where(price.isNotNull()).groupBy(c("l_suppkey").alias("code"), "date").agg(F.max(price).alias("high"), F.min(price).alias("low"), F.sum("l_quantity").alias("volume"))
+
+
+@register(
+    "lake_versions_merge",
+    f"""with {SHIPS}, {_ORDERED}, merged as (select * from ordered union all select * from shipped where (code, date) not in (select (code, date) from ordered))
+    select code, date, high, low, volume from merged where strftime(date, '%Y') <> '1995'""",
+)
+def lake_versions_merge(spark, d):
+    """Two whole tables merged by code and day, the later one first; then a year is dropped."""
+    t = Versions(spark, folder(spark), _BARS, ("month",))
+    t.replace(_monthly(ships(spark, d)))
+    merged = t.merge(_monthly(ordered(spark, d)), "code", "date")
+    t.drop(t.live(merged).where("month like '1995-%'").select("month"))
+    return t.read().select("code", "date", "high", "low", "volume")
+
+
+@register("lake_versions_prune", f"with {SHIPS}, {_ORDERED}, k as (select max(strftime(date, '%Y-%m')) as m from ordered) select code, date, high, low, volume from shipped, k where strftime(date, '%Y-%m') > m")
+def lake_versions_prune(spark, d):
+    """Months later than the last order are kept, after an empty keep set that prunes nothing."""
+    t = Versions(spark, folder(spark), _BARS, ("month",))
+    t.replace(_monthly(ships(spark, d)))
+    last = _monthly(ordered(spark, d)).agg(F.max("month")).first()[0]
+    keep = [r[0] for r in t.live().where(c("month") > last).select("month").collect()]
+    t.prune("month", [])
+    t.prune("month", keep)
+    return t.read().select("code", "date", "high", "low", "volume")
+
+
+# Scores by a stored model: two blocks of features, statistics, coefficients.
+
+_BETAS = [("(intercept)", 0.25), ("ret1", 1.5), ("range_pct", -0.5), ("size", 0.125)]
+_SCORED = f"""{_FEATS}, wide as (select code, date, ret1, range_pct, ln(volume) as size from feats), cells as (select date, code, unnest(['ret1', 'range_pct', 'size']) as name, unnest([ret1, range_pct, size]) as x from wide),
+stats as (select date, name, avg(x) as mu, case when var_pop(x) > 1e-12 then sqrt(var_pop(x)) end as sigma from cells where x is not null group by 1, 2 having count(x) >= 2), betas as (select unnest(['ret1', 'range_pct', 'size']) as name, unnest([1.5, -0.5, 0.125]) as beta),
+old as (select date, code, count(*) as n, 0.25 + sum(coalesce((x - mu) / sigma, 0) * beta) as score from cells join stats using (date, name) join betas using (name) where x is not null group by 1, 2)"""
+
+
+def blocks(spark, d):
+    f = feats(spark, d)
+    return rescoring.overlaid(f.select("code", "date", "ret1"), f.select("code", "date", "range_pct", F.log("volume").alias("size")))
+
+
+@register("xs_model_scores", f"with {_SCORED} select date, code, n, round(score, 6) as score from old")
+def xs_model_scores(spark, d):
+    rows = blocks(spark, d)
+    cube = xsec.day_cube(rows, ["ret1", "range_pct", "size"])
+    return rounded(rescoring.scored(rows, cube, spark.createDataFrame(_BETAS, "name string, beta double")), "date", "code", "n")
+
+
+@register(
+    "lake_rescored",
+    f"with {_SCORED}, moved as (select date from stats where name = 'size' and mu > (select avg(mu) from stats where name = 'size')) select date, code, n, round(case when date in (select date from moved) then score - 0.125 * coalesce(0.5 / sigma, 0) else score end, 6) as score, date in (select date from moved) as fresh from old left join (select date, sigma from stats where name = 'size') using (date)",
+)
+def lake_rescored(spark, d):
+    """Scores are stored; then the mean size moves up on days of large sizes, and those days are scored again."""
+    rows = blocks(spark, d)
+    coefficients = spark.createDataFrame(_BETAS, "name string, beta double")
+    cube = xsec.day_cube(rows, ["ret1", "range_pct", "size"])
+    path = folder(spark)
+    stored = rescoring.scored(rows, cube, coefficients).join(rescoring.marks(cube, coefficients), "date")
+    lake.write_partitions(stored, path, "date")
+    usual = cube.where("name = 'size'").agg(F.avg("mu")).first()[0]
+    moved = cube.withColumn("mu", F.when((c("name") == "size") & (c("mu") > F.lit(usual)), c("mu") + 0.5).otherwise(c("mu")))
+    return rounded(rescoring.rescored(rows, moved, coefficients, spark.read.parquet(path)).drop("mark"), "date", "code", "n", "fresh")
+
+
 # Trading days: weekdays but for given holidays.
 
 _HOLIDAYS = ["1995-05-01", "1996-05-01", "1997-10-01", "2024-01-01"]
