@@ -140,3 +140,16 @@ def test_empty_tables(spark):
     assert token_counts.count_tokens(none, tokenizer("byte_bpe_50k.json")).count() == 0
     assert packing.pack_documents(none, tokenizer("word_bpe_49k.json")).count() == 0
     assert sentencepiece.encoded(none, tokenizer("piece_bpe_32k.model")).count() == 0
+
+
+def test_packing_of_another_tokenizer_file():
+    """A file whose words the packing does not know goes to the library whole."""
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.packing import Encoder, by_words
+
+    word, byte = tokenizer("word_bpe_49k.json"), tokenizer("byte_bpe_50k.json")
+    assert by_words(word) and not by_words(byte)
+    texts = ["It's  a Test", "", "don't 123 über"]
+    library = Tokenizer.from_file(byte)
+    assert Encoder(byte).encode_all(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

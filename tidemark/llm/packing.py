@@ -14,6 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,10 +35,23 @@ REMEMBERED, TOGETHER = 250_000, 2 << 20
 #: Texts of these characters need no normalization but lower case, and their words are found by WORD (Latin letters and signs).
 PLAIN = re.compile("[\t-\r -~¡-©«-±´¶-¸»¿-į]*")
 WORD = re.compile("'(?:[stmd]|re|ve|ll)|[a-zß-öø-į]+|[0-9]|[^\\sa-zß-öø-į0-9]+")
+#: What a tokenizer file must say for that to hold (fixed values): its normalizers, the pattern of its words, and their ending.
+NORMALIZERS, PATTERN, ENDING = ["NFC", "Replace", "Lowercase"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+
+
+def by_words(path: str) -> bool:
+    """Whether the tokenizer of a file lower-cases and splits as PLAIN and WORD suppose."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normalizers = (spec.get("normalizer") or {}).get("normalizers", [])
+    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    blanks = [n.get("content") for n in normalizers if n["type"] == "Replace"]
+    split = (first.get("type"), (first.get("pattern") or {}).get("Regex"), first.get("behavior"), first.get("invert"))
+    return [n["type"] for n in normalizers] == NORMALIZERS and blanks == [" "] and split == ("Split", PATTERN, "Removed", True) and spec["model"].get("end_of_word_suffix") == ENDING
 
 
 class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit numbers.
+    """Ids of texts, as little-endian unsigned 32-bit numbers. Files that are not ``by_words`` go to the library text by text.
 
     The tokenizer drops white space and encodes each word for itself, so the words of a plain text are looked up and only new
     ones are encoded; other texts go to the library whole. Words not used for a while are forgotten.
@@ -46,6 +60,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.plain = PLAIN if by_words(path) else re.compile("(?!)")
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,7 +79,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words that several of them share are looked for once."""
-        split = [None if "<|" in t or not PLAIN.fullmatch(t) else WORD.findall(t.lower()) for t in texts]
+        split = [None if "<|" in t or not self.plain.fullmatch(t) else WORD.findall(t.lower()) for t in texts]
         if len(self.recent) > REMEMBERED:
             self.recent, self.older = {}, self.recent
         new = list(set().union(*(w for w in split if w)).difference(self.recent))

@@ -41,7 +41,8 @@ BLANK = "▁"
 LETTER, OTHER = r"[^\W\d_¹²³]", rf"(?:[^\w{BLANK}]|[\d_¹²³])"
 WORD = re.compile(f"{BLANK}*(?:{OTHER}*{LETTER}+|{OTHER}+)|{BLANK}+")
 UNIT = re.compile(f"{BLANK}+[^{BLANK}]*")
-BLOCK_BYTES = 32 << 20
+#: Bytes of text in a block; less where there are not so many blocks as cores, but not below the second.
+BLOCK_BYTES, LEAST_BYTES = 32 << 20, 2 << 20
 
 
 def units_of(text: str) -> list[str]:
@@ -168,7 +169,8 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
     """``doc_id, n_tokens, ids_crc32, round_trip`` [, ``ids``] of every row: the ids' CRC as little-endian unsigned 32-bit numbers, and whether decoding gives the text (with U+2581 as a blank)."""
     vocabulary = Vocabulary(path)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    blocks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Some megabytes of rows as one compressed value: texts shrink to a third before they are shuffled."""
