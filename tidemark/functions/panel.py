@@ -9,12 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
 
 
+def refuse(rows: DataFrame, *names: str) -> None:
+    """Raise if ``rows`` has a column that is about to be added: it would be overwritten."""
+    if clash := sorted(set(names) & set(rows.columns)):
+        raise ValueError(f"the table has columns of the names {clash} already")
+
+
 def finite(x: Column) -> Column:
     """``x``, or NULL where it is NaN or infinite."""
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import finite
+from tidemark.functions.panel import finite, refuse
 
 #: Penalties tried, rows that a choice needs, and the limits of a panel's columns.
 GRID = (0.0, 0.1, 1.0, 5.0, 10.0)
@@ -26,11 +26,6 @@ LEAST_ROWS, FLAT = 12, 1e-6
 SHARES = r"(?i)^[OP]?V?SUM[PN]_?\d+$"
 
 
-def _refuse(rows: DataFrame, names: Iterable[str]) -> None:
-    if clash := sorted(set(names) & set(rows.columns)):
-        raise ValueError(f"the table has columns of the names {clash} already")
-
-
 @dataclass(frozen=True)
 class Moments:
     """Rows, means, and sums of products of deviations from them."""
@@ -144,7 +139,7 @@ def symmetric(m: Moments) -> np.ndarray:
 
 def transformed(rows: DataFrame, m: Moments, transform: np.ndarray, prefix: str = "orth_") -> DataFrame:
     """``rows`` with a column for each column of the transform; NULL where a value is missing."""
-    _refuse(rows, (prefix + c for c in m.columns))
+    refuse(rows, *(prefix + c for c in m.columns))
     centred = [finite(F.col(c).cast("double")) - float(mu) for c, mu in zip(m.columns, m.mean)]
     there = F.lit(True)
     for x in centred:
@@ -273,7 +268,7 @@ def head_and_tail(rows: DataFrame, head: int, order: tuple[str, str] = ("date",
 
     The rows of each date are counted; only those of the date in which the head ends are put in order.
     """
-    _refuse(rows, ["part"])
+    refuse(rows, "part")
     date, then = order
     so_far = F.sum("count").over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0))
     ends = rows.where(F.col(date).isNotNull()).groupBy(date).count().withColumn("upto", so_far).where(F.col("upto") >= head).orderBy(date).first()

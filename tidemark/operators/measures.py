@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import Panel, finite
+from tidemark.functions.panel import Panel, finite, refuse
 
 P = Panel()
 #: Buckets of entry scores, from and below; words of a name that say an entity does not trade.
@@ -143,6 +143,7 @@ def limit_flags(bars: DataFrame, limit_pct: Column) -> DataFrame:
 
 def capped_parity(rows: DataFrame, vol: str, sector: str, cap: float, sector_cap: float, section: str = "date") -> DataFrame:
     """``rows`` with ``weight``: shares in proportion to 1 / volatility, each at most ``cap``; a sector that holds more than ``sector_cap`` is scaled down to it, and what is cut stays cash."""
+    refuse(rows, "weight")
     day = Window.partitionBy(section)
     inverse = F.when(F.col(vol) > 0, 1 / F.nullif(vol, F.lit(0.0))).otherwise(F.lit(0.0))
     w = rows.withColumn("__i", inverse).withColumn("__w", F.least(F.lit(cap), F.col("__i") / F.nullif(F.sum("__i").over(day), F.lit(0.0))))

@@ -17,12 +17,12 @@ from tidemark.functions.panel import EPS, finite
 def gram(rows: DataFrame, features: list[str], label: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Number of rows with a label, feature means, centred Gram matrix and centred products with the label; a missing feature counts as its mean."""
     x = {f: finite(F.col(f).cast("double")) for f in features}
-    rows = rows.select(*(x[f].alias(f) for f in features), finite(F.col(label).cast("double")).alias("_y")).where("_y is not null")
-    first = rows.agg(F.count("*").alias("n"), F.avg("_y").alias("y"), *(F.avg(f).alias(f"m{i}") for i, f in enumerate(features))).first()
+    rows = rows.select(*(x[f].alias(f) for f in features), finite(F.col(label).cast("double")).alias("__label")).where("__label is not null")
+    first = rows.agg(F.count("*").alias("n"), F.avg("__label").alias("y"), *(F.avg(f).alias(f"m{i}") for i, f in enumerate(features))).first()
     mu = np.array([first[f"m{i}"] or 0.0 for i in range(len(features))])
     z = [F.coalesce(F.col(f) - float(m), F.lit(0.0)) for f, m in zip(features, mu)]
     pairs = list(combinations_with_replacement(range(len(features)), 2))
-    sums = rows.agg(*(F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(v * (F.col("_y") - float(first["y"] or 0))).alias(f"b{i}") for i, v in enumerate(z))).first()
+    sums = rows.agg(*(F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(v * (F.col("__label") - float(first["y"] or 0))).alias(f"b{i}") for i, v in enumerate(z))).first()
     g = np.zeros((len(features),) * 2)
     for i, j in pairs:
         g[i, j] = g[j, i] = sums[f"g{i}_{j}"] or 0.0

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import Panel, finite
+from tidemark.functions.panel import Panel, finite, refuse
 from tidemark.operators import measures, technical
 
 P = Panel()
@@ -112,6 +112,7 @@ def tiers(rows: DataFrame, score: str, a_count: int = 100, b_count: int = 300) -
 
     The limits are found among as many rows as A and B have: no task orders all codes.
     """
+    refuse(rows, "tier")
     x = finite(F.col(score).cast("double"))
     best = rows.select("code", x.alias("__x")).where("__x is not null").orderBy(F.desc("__x"), "code").limit(a_count + b_count)
     placed = best.select("code", F.row_number().over(Window.orderBy(F.desc("__x"), "code")).alias("__place"))
@@ -134,6 +135,7 @@ def prediction_metrics(rows: DataFrame, pred: str, y: str, *by: str, least: int
 
 def split_rows(rows: DataFrame, train: float = 0.6, valid: float = 0.2, least: int = 30) -> DataFrame:
     """``rows`` of codes with ``least`` rows or more with ``part``: train, valid or test by place in time, each of some rows."""
+    refuse(rows, "part")
     train, valid = max(0.1, min(train, 0.8)), max(0.05, min(valid, 0.3))
     if train + valid >= 0.95:
         train, valid = 0.6, 0.2

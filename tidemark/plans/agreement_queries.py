@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import agreement
+from tidemark.operators import agreement, matching
 from tidemark.plans.lake_queries import _ORDERED, ordered
 from tidemark.plans.panel_queries import c, daily, rounded, ships
 from tidemark.plans.registry import register
@@ -103,3 +103,13 @@ def agg_coverage_kinds(spark, d):
 def agg_coverage_gaps(spark, d):
     g = agreement.gaps(covered(spark, d))
     return g.select("kind", "n_days", c("date_from").cast("string").alias("date_from"), c("date_to").cast("string").alias("date_to"), F.array_join(c("sample").cast("array<string>"), ",").alias("sample"))
+
+
+@register("log_effectiveness", dates=())
+def log_effectiveness(spark, d):
+    """Errors of users as entries, their purchases and signups within an hour as labels, each used once."""
+    e = B.read(spark, d, "events").select(c("user_id").alias("code"), "ts", c("event_id").alias("id"), "event_type")
+    outcome = F.when(c("event_type") == "purchase", "true_positive").when(c("event_type") == "signup", "false_positive")
+    labels = e.withColumn("outcome", outcome).where("outcome is not null").drop("event_type")
+    out = matching.labelled(e.where("event_type = 'error'"), labels, ["code"], tolerance=3600)
+    return matching.effectiveness(out.withColumn("hour", F.hour("ts")), "hour")
