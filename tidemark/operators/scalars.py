@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import safe_div
+from tidemark.functions.panel import EPS, safe_div
 
 #: Daily limits in per cent by kind of share, and the prefixes of codes with the wide one.
 SPECIAL_LIMIT, WIDE_LIMIT, LIMIT = 4.5, 19.5, 9.5
@@ -60,6 +60,19 @@ def remaining_pct(forecast: Column, so_far: Column) -> Column:
     return (safe_div(1 + forecast / 100, 1 + so_far / 100) - 1) * 100
 
 
+def remaining_variance(variance: Column, so_far: Column) -> Column:
+    """The variance of what ``remaining_pct`` leaves: divided by the square of the growth so far, 1e-12 at least; unchanged where that is not known or nought."""
+    p, grown = F.greatest(F.coalesce(variance, F.lit(1.0)), F.lit(1e-6)), 1 + so_far / 100
+    return F.when(F.abs(grown) > EPS, F.greatest(F.lit(1e-12), p / F.nullif(grown * grown, F.lit(0.0)))).otherwise(p)
+
+
+def inverse_variance_shares(clock: Column, day: Column, so_far: Column) -> tuple[Column, Column]:
+    """Shares of two forecasts in proportion to 1 / variance, the day's first brought to the time left; NULL where a variance is missing or not above 1e-12."""
+    usable = (clock > EPS) & (day > EPS)
+    a, b = 1 / F.nullif(clock, F.lit(0.0)), 1 / remaining_variance(day, so_far)
+    return F.when(usable, a / (a + b)), F.when(usable, b / (a + b))
+
+
 def fused(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean of the parts that are there; NULL without any."""
     weight = sum((F.when(x.isNotNull(), w).otherwise(0.0) for x, w in parts), F.lit(0.0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import Panel
+from tidemark.functions.panel import Panel, finite
 from tidemark.operators.technical import _series, scan
 
 P = Panel()
@@ -113,8 +113,18 @@ def volume_price_scores(bars: DataFrame) -> DataFrame:
     return b.select("code", "date", "volume_ratio", "volume_place", F.when(F.col("n") >= 5, _tenth(total)).alias("score"))
 
 
+def inflow_scores(bars: DataFrame, inflow: str = "net_inflow") -> DataFrame:
+    """``code, date, ratio, score``: a day's net inflow against the mean amount above 0 (close times volume) of ten rows; by its sign alone where there is no such amount, NULL without an inflow."""
+    amount = F.col("close") * F.col("volume")
+    b = bars.select("code", "date", finite(F.col(inflow).cast("double")).alias("net"), F.avg(F.when(amount > 0, amount)).over(_last(10)).alias("usual"))
+    ratio = F.col("net") / F.col("usual")
+    by_sign = F.when(F.col("net") > 0, 62.0).when(F.col("net") < 0, 38.0).when(F.col("net") == 0, 50.0)
+    score = F.when(ratio.isNotNull(), F.greatest(F.lit(20.0), F.least(F.lit(85.0), F.round(50 + 35 * F.tanh(ratio * 8), 1)))).otherwise(by_sign)
+    return b.select("code", "date", ratio.alias("ratio"), score.alias("score"))
+
+
 def money_flow_scores(bars: DataFrame, window: int = 14) -> DataFrame:
-    """``code, date, mfi, score``: the share of typical price times volume that came on rises, of ``window`` moves."""
+    """``code, date, mfi, score``: the share of typical price times volume that came on rises, of ``window`` moves. Where net inflows are known, ``inflow_scores`` come first."""
     s = P.series
     typical = (F.coalesce("high", "close") + F.coalesce("low", "close") + F.col("close")) / 3
     b = bars.select("code", "date", typical.alias("tp"), "volume").withColumns({"n": _rows(), "before": F.lag("tp").over(s)})
