@@ -128,20 +128,20 @@ def report_log_counts(spark, d):
 @register(
     "report_against_index",
     f"""with {_TRADES}, ix as (select date, avg(close) as c, row_number() over (order by date) as i from bars group by 1), k as (select code, r, round((b.c / a.c - 1) * 100, 2) as k from tr join ix a using (date) join ix b on b.i = a.i + 3 where a.c > 0)
-    select code, count(*) as n, round(avg(r), 4) as trade_pct, round(avg(k), 4) as index_pct, round(avg(r) - avg(k), 4) as excess_pct from k group by 1""",
+    select code, count(*) as n, round(avg(r), 9) as trade_pct, round(avg(k), 9) as index_pct, round(avg(r) - avg(k), 9) as excess_pct from k group by 1""",
     dates=(),
 )
 def report_against_index(spark, d):
     b = daily(spark, d)
     index = b.groupBy("date").agg(F.avg("close").alias("close"))
-    return rounded(reports.against_index_holds(b, index, trades(spark, d).withColumn("hold", F.lit(3))), "code", "n", digits=4)
+    return rounded(reports.against_index_holds(b, index, trades(spark, d).withColumn("hold", F.lit(3))), "code", "n", digits=9)
 
 
 @register(
     "factor_inflow",
     f"""with {SHIPS}, f as (select l_suppkey as code, cast(l_shipdate as date) as date, sum(case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end) / 100 as net from lineitem where l_extendedprice is not null and isfinite(l_extendedprice) group by 1, 2),
     b as (select code, date, net, avg(case when close * volume > 0 then close * volume end) over (partition by code order by date rows between 9 preceding and current row) as usual from ships join f using (code, date))
-    select code, date, round(net / usual, 6) as ratio, round(case when net / usual is not null then greatest(20, least(85, round(50 + 35 * tanh(net / usual * 8), 1))) when net > 0 then 62 when net < 0 then 38 when net = 0 then 50 end, 6) as score from b""",
+    select code, date, round(net / usual, 6) + 0.0 as ratio, round(case when net / usual is not null then greatest(20, least(85, round(50 + 35 * tanh(net / usual * 8), 1))) when net > 0 then 62 when net < 0 then 38 when net = 0 then 50 end, 6) as score from b""",
 )
 def factor_inflow(spark, d):
     lines = B.read(spark, d, "lineitem").where("l_extendedprice is not null and abs(l_extendedprice) < double('inf')")
