@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from tests.llm.helpers import docs, odd_texts, sentence
 
@@ -186,6 +187,21 @@ def test_alignment(spark):
     assert {r[0] for r in got if r[1] == 0} >= {0, 1} and any(r[1] > 500 for r in got)
 
 
+def test_alignment_of_blanks_at_the_end(spark):
+    """A last blank is a token of both sides, also beside units that begin with several blanks."""
+    rows = list(enumerate(["a ", "a\n ", " c", "   c", "x \n  ", " ", "the end ", "b  ", "漢字 "]))
+    found = alignment.with_link_counts(alignment.written(alignment.aligned(docs(spark, rows).coalesce(1), A, B), "t"), A, B)
+    got = {r["doc_id"]: (r["n_a"], r["n_b"], r["n_groups"], r["groups"]) for r in found.collect()}
+    v = alignment.Vocabularies(A, B)
+    for i, text in rows:
+        a, b = v.a.encode(" " + text, add_special_tokens=False).ids, v.b.encode(text)
+        ends = [np.cumsum([len(of[t]) for t in ids]).tolist() for ids, of in ((a, v.bytes_a), (b, v.bytes_b))]
+        both = [0, *sorted(set(ends[0]) & set(ends[1]))]
+        side = lambda ids, end, lo, hi: ",".join(str(t) for t, e in zip(ids, end) if lo < e <= hi)
+        groups = [side(a, ends[0], lo, hi) + "|" + side(b, ends[1], lo, hi) for lo, hi in zip(both, both[1:])]
+        assert got[i] == (len(a), len(b), len(groups), ";".join(groups)), text
+
+
 def test_alignment_forgets_and_splits(monkeypatch):
     texts = [sentence(random.Random(i), 40) for i in range(30)] + ["y" * 700 + " z"]
     whole = alignment.Aligner(A, B).align(texts)

@@ -73,6 +73,8 @@ class Vocabularies:
             if not self.b.is_byte(i) and ACROSS.search(pieces[i].replace("▁", " ")):
                 raise ValueError(f"{path_b}: the piece {pieces[i]!r} goes across units")
         self.n_b = len(pieces)
+        # A blank at the end of a text is a unit by itself; the second tokenizer gives nothing for the empty text that follows its own blank.
+        self.blank = [i for i in [self.b.piece_to_id("▁")] if self.bytes_b[i] == b" "]
         if len(self.bytes_a) * self.n_b >= 1 << 32:
             raise ValueError("the vocabularies are too large for the numbers of links")
         self.length_a = np.array([len(x) for x in self.bytes_a])
@@ -94,17 +96,21 @@ class Aligner:
         self.shown = [f"{i}{sign}" for n, signs in ((len(self.words.bytes_a), ",|"), (self.words.n_b, ",;")) for sign in signs for i in range(n)]
 
     def learn(self, units: list[str]) -> None:
-        """Align new units (each begins with a blank, the first tokenizer parts them)."""
+        """Align new units (each begins with a blank, the first tokenizer parts them after all but white space)."""
         v = self.words
+        units = sorted(units, key=lambda u: u[-1] in WHITE)
         raw = [u.encode() for u in units]
-        ids_b = v.b.encode([u[1:] for u in units], num_threads=1)
+        ids_b = [ids or v.blank for ids in v.b.encode([u[1:] for u in units], num_threads=1)]
         whole = [b"".join(map(v.bytes_b.__getitem__, ids)) == r for ids, r in zip(ids_b, raw)]
         self.recent.update((u, None) for u, ok in zip(units, whole) if not ok)
         units, raw, ids_b = ([x for x, ok in zip(xs, whole) if ok] for xs in (units, raw, ids_b))
         if not units:
             return
         data = b"".join(raw)
-        a = np.array(v.a.encode(data.decode(), add_special_tokens=False).ids, np.int64)
+        # What ends in white space would join that of the next unit: such units (ends of texts) go to the first tokenizer one by one.
+        open_end = sum(u[-1] in WHITE for u in units)
+        apart = ["".join(units[: len(units) - open_end]), *units[len(units) - open_end :]]
+        a = np.array([i for part in apart for i in v.a.encode(part, add_special_tokens=False).ids], np.int64)
         b = np.array([i for ids in ids_b for i in ids], np.int64)
         end_a, end_b = np.cumsum(v.length_a[a]), np.cumsum(v.length_b[b])
         ends = np.cumsum([len(r) for r in raw])
