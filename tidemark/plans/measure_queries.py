@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.panel import safe_div
+from tidemark.functions.panel import EPS, rounded_to, safe_div
 from tidemark.operators import backtest, measures, portfolio, scalars, session
 from tidemark.plans.merge_queries import _FEATS, feats
 from tidemark.plans.panel_queries import c, daily, rounded, ships
@@ -23,6 +23,7 @@ tr as (select code, date, least(100, ratio * 40) as score, greatest(-60, least(8
 def trades(spark, d):
     b = daily(spark, d).withColumn("ratio", safe_div(c("close"), c("open")))
     t = backtest.overlapping_trades(b, "ratio", 0.0, 3, 0.2).withColumn("ret_pct", portfolio.clamp(c("ret_pct"), -60, 80))
+    t = t.where(c("entry") > EPS)  # from an entry of 0 there is no return, and limits would make one of it
     return t.join(b.select("code", "date", "ratio"), ["code", "date"]).withColumn("score", F.least(F.lit(100.0), c("ratio") * 40))
 
 
@@ -34,7 +35,7 @@ def trades(spark, d):
     dates=(),
 )
 def metric_trades(spark, d):
-    return rounded(measures.trade_metrics(trades(spark, d), "code", order=("date",), hold=3), "code", "n").withColumn("total_pct", F.round("total_pct", 4))
+    return rounded(measures.trade_metrics(trades(spark, d), "code", order=("date",), hold=3), "code", "n").withColumn("total_pct", rounded_to(c("total_pct"), 4))
 
 
 @register(
