@@ -61,3 +61,21 @@ def test_penalties_of_equal_error_are_all_selected(spark):
     assert got[0].mse == got[1].mse
     best = min(r.mse for r in got)
     assert [r.selected for r in got] == [r.mse == best for r in got] and sum(r.selected for r in got) >= 2
+
+
+def test_open_pack_carries_series_across_batches(spark):
+    """Batches that end anywhere, also within a series, change nothing; and no batch is needed whole."""
+    from tidemark.operators import packs
+
+    rows = [(code, f"2024-{1 + i // 28:02}-{1 + i % 28:02}", 10.0 + (i * 7 + (code or 0)) % 11, 22.0, 9.0 - i % 3, float(100 + (i * 13) % 17)) for code in (None, 1, 2) for i in range(90)]
+    bars = spark.createDataFrame(rows, "code long, date string, open double, high double, low double, volume double").repartition(3)
+    want = as_rows(packs.open_pack(bars, (5, 60)).toPandas())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        plan = packs.open_pack(bars, (5, 60))
+        got = as_rows(plan.toPandas())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and sum(row[-1] != "~" for row in got) > 80
+    # Sliding windows of Spark add each of their rows again for every row.
+    assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
