@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from tests.conftest import SMALL, as_rows
 from tidemark.operators import rescoring, xsec
+from tidemark.sources import lake
 from tidemark.sources.versions import Versions
 
 SCHEMA = "code string, n long, day string, clock string"
@@ -174,3 +178,14 @@ def test_overlaid_blocks(spark):
     assert {r.code for r in rescoring.overlaid(base, top, need="top").collect()} == {"x", "y", "w"}
     with pytest.raises(ValueError):
         rescoring.overlaid(base, top, need="both")
+
+
+def test_statistics_are_made_once(spark, duck, monkeypatch):
+    """Statistics whose last digits differ whenever they are made do not make a date a changed one."""
+    unsteady = F.udf(lambda mu: mu * (1 + int.from_bytes(os.urandom(1)) * 2.0**-52), "double").asNondeterministic()
+    once = xsec.day_cube
+    made = lambda *args: once(*args).withColumn("mu", unsteady("mu"))
+    monkeypatch.setattr(xsec, "day_cube", made)
+    monkeypatch.setattr(lake, "day_cube", made)
+    got = __spark_entry__.queries()["lake_rescored"](spark, SMALL).toPandas()
+    assert as_rows(got) == as_rows(duck.execute(__spark_entry__.oracle_sql()["lake_rescored"]).df())

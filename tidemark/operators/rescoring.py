@@ -2,7 +2,8 @@
 
 A score is the intercept plus the sum of coefficients times standard scores by the stored statistics. It is a join of three long tables
 (values, statistics, coefficients) and one aggregate, so that features that a model does not use are never read past the join. What a
-date's scores depend on is summed up in one number a date; only dates whose number differs from the stored one are read again.
+date's scores depend on is summed up in one number a date; only dates whose number differs from the stored one are read again. The number goes by
+the statistics' last digits: they are to be read from a table (``lake.write_cube``), as statistics made again from the same rows may differ there.
 
 Values that are missing or not finite count as their date's mean; so do flat features. Rows without any value of the model have no score; dates without statistics have
 none. Repeated rows of a code and date give repeated scores only in the sum of their values: one row for each is expected.

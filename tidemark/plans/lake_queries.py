@@ -181,8 +181,10 @@ def lake_rescored(spark, d):
     """Scores are stored; then the mean size moves up on days of large sizes, and those days are scored again."""
     rows = blocks(spark, d)
     coefficients = spark.createDataFrame(_BETAS, "name string, beta double")
-    cube = xsec.day_cube(rows, ["ret1", "range_pct", "size"])
-    path = folder(spark)
+    path, statistics = folder(spark), folder(spark)
+    # Statistics are made once: made again, sums in another order would differ in their last digits, and every date would count as changed.
+    lake.write_cube(rows, ["ret1", "range_pct", "size"], statistics, "all")
+    cube = lake.read_cube(spark, statistics, "all")
     stored = rescoring.scored(rows, cube, coefficients).join(rescoring.marks(cube, coefficients), "date")
     lake.write_partitions(stored, path, "date")
     usual = cube.where("name = 'size'").agg(F.avg("mu")).first()[0]
