@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import random
+from datetime import date, timedelta
 
 import duckdb
 import pytest
@@ -11,7 +13,7 @@ from tests.conftest import SMALL, as_rows
 
 import __spark_entry__  # noqa: F401
 from tidemark.functions.panel import rounded_to
-from tidemark.operators import algebra, reports
+from tidemark.operators import algebra, clock_pack, reports
 from tidemark.plans import registry
 
 QUERIES = [
@@ -79,3 +81,27 @@ def test_open_pack_carries_series_across_batches(spark):
     assert got == want and sum(row[-1] != "~" for row in got) > 80
     # Sliding windows of Spark add each of their rows again for every row.
     assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clock_pack_is_one_pass_in_any_batches(spark):
+    """Batches may part a day's slots from its bar; slots of days without a bar say nothing."""
+    rng = random.Random(8)
+    rows = [(k, date(2024, 1, 1) + timedelta(i), *(rng.uniform(5, 9) for _ in range(4)), float(rng.randint(0, 9))) for k in ("a", "b", None) for i in range(66)]
+    bars = spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, volume double")
+    slots = [(k, date(2024, 1, 1) + timedelta(i), 570 + 5 * m, *(rng.uniform(5, 9) for _ in range(3)), 1.0) for k in ("a", "b", "c", None) for i in range(0, 70, 2) for m in range(1, 5)]
+    slots = spark.createDataFrame(slots, "code string, date date, minute int, high double, low double, close double, volume double")
+    plan = clock_pack.clock_pack(bars, slots, [0, 580], (5, 60), digits=6)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Window" not in text and "Join" not in text
+    want = as_rows(plan.toPandas())
+    assert len(want) == 2 * 3 * 66 and sum(row[2] != "~" for row in want) > 0
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7")
+        assert as_rows(clock_pack.clock_pack(bars, slots, [0, 580], (5, 60), digits=6).toPandas()) == want
+    finally:
+        spark.conf.set(size, usual)
+    by_key = {(r.code, r.date, r.tau): r for r in plan.collect()}
+    last = date(2024, 1, 1) + timedelta(65)
+    assert by_key["a", last, 580].RANGE_PCT == 0 and by_key["a", last - timedelta(1), 580].RANGE_PCT > 0 and by_key[None, last - timedelta(1), 580].RANGE_PCT == 0

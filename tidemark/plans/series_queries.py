@@ -135,7 +135,7 @@ def _pack_sql(d: int) -> str:
 
 def _pack_open(d: int):
     def query(spark, folder):
-        return rounded(packs.open_pack(ships(spark, folder), (d,)), "code", "date", digits=4)
+        return packs.open_pack(ships(spark, folder), (d,), digits=4)
 
     return register(f"pack_open_{d}", _pack_sql(d))(query)
 
