@@ -13,7 +13,7 @@ from tests.conftest import SMALL, as_rows
 
 import __spark_entry__  # noqa: F401
 from tidemark.functions.panel import rounded_to
-from tidemark.operators import algebra, clock_pack, reports
+from tidemark.operators import algebra, clock_pack, packs, reports
 from tidemark.plans import registry
 
 QUERIES = [
@@ -105,3 +105,23 @@ def test_clock_pack_is_one_pass_in_any_batches(spark):
     by_key = {(r.code, r.date, r.tau): r for r in plan.collect()}
     last = date(2024, 1, 1) + timedelta(65)
     assert by_key["a", last, 580].RANGE_PCT == 0 and by_key["a", last - timedelta(1), 580].RANGE_PCT > 0 and by_key[None, last - timedelta(1), 580].RANGE_PCT == 0
+
+
+def test_gap_pack_is_one_pass_in_any_batches(spark):
+    """Batches that end anywhere change nothing; the first row has no gap, and missing prices do not count in a mean."""
+    rng = random.Random(9)
+    rows = [(k, date(2024, 1, 1) + timedelta(i), *(None if i == 30 else rng.uniform(5, 9) for _ in range(4)), float(rng.randint(0, 9))) for k in ("a", "b", None) for i in range(45)]
+    bars = spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, volume double")
+    plan = packs.gap_pack(bars, digits=6)
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+    want = as_rows(plan.toPandas())
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7")
+        assert as_rows(packs.gap_pack(bars, digits=6).toPandas()) == want
+    finally:
+        spark.conf.set(size, usual)
+    got = {(r.code, r.date): r for r in plan.collect()}
+    day = lambda i: date(2024, 1, 1) + timedelta(i)
+    assert got[None, day(0)].GAP is None and got[None, day(1)].GAP is not None and got["b", day(31)].GAP is None and got["b", day(33)].GAP_ATR is not None

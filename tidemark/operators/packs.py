@@ -111,6 +111,25 @@ def _open_fields(x: dict[str, np.ndarray], rows: np.ndarray, d: int) -> dict[str
     return dict(zip(NAMES, fields))
 
 
+def along(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[tuple[pa.RecordBatch, pa.Table, np.ndarray, int]]:
+    """Each batch of sorted series (its first column is the code) with the ``reach`` rows before it: the batch, all rows, their numbers within their series from 1, and how many of them are from before."""
+    kept, before = None, 0  # rows of the batch before, and how many rows of the first one's series lie before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n_kept = kept.num_rows if kept is not None else 0
+        rows = pa.Table.from_batches([kept, batch] if n_kept else [batch]).combine_chunks()
+        code = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
+        at = np.arange(len(code))
+        first = np.maximum.accumulate(np.where(np.concatenate([[False], code[1:] != code[:-1]]), at, 0))
+        i = at - first + 1 + np.where(first == 0, before, 0)
+        yield batch, rows, i, n_kept
+        start = max(len(at) - reach, 0)
+        before = int(i[start]) - 1
+        kept = rows.slice(start).combine_chunks().to_batches()[0]
+
+
 def open_pack(bars: DataFrame, windows: tuple[int, ...] = WINDOWS, least: int = LEAST, digits: int | None = None) -> DataFrame:
     """``code, date`` and for each window d the fields NAME_d, rounded to ``digits`` places if given; NULL unless ``least`` and d + 1 rows exist.
 
@@ -123,17 +142,8 @@ def open_pack(bars: DataFrame, windows: tuple[int, ...] = WINDOWS, least: int =
     reach = max(windows)
 
     def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, before = None, 0  # rows of the batch before, and how many rows of the first one's series lie before it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n_kept = kept.num_rows if kept is not None else 0
-            rows = pa.Table.from_batches([kept, batch] if n_kept else [batch]).combine_chunks()
-            code = rows.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
-            code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
-            at = np.arange(len(code))
-            first = np.maximum.accumulate(np.where(np.concatenate([[False], code[1:] != code[:-1]]), at, 0))
-            i = at - first + 1 + np.where(first == 0, before, 0)
+        for batch, rows, i, n_kept in along(batches, reach):
+            at = np.arange(len(i))
             o, high, low, v = (rows.column(c).to_numpy().astype(float) for c in ("open", "high", "low", "volume"))
             with np.errstate(all="ignore"):
                 ago = lambda a: np.where(i > 1, np.concatenate([[np.nan], a[:-1]]), np.nan)  # noqa: B023, E731
@@ -153,9 +163,6 @@ def open_pack(bars: DataFrame, windows: tuple[int, ...] = WINDOWS, least: int =
                             whole[known] = values[name] if digits is None else places(values[name], digits)
                         columns.append(pa.array(whole[n_kept:], pa.float64(), mask=np.isnan(whole[n_kept:])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["code", "date", *names])
-            start = max(len(at) - reach, 0)
-            before = int(i[start]) - 1
-            kept = rows.slice(start).combine_chunks().to_batches()[0]
 
     series = bars.select("code", "date", *(F.col(c).cast("double") for c in ("open", "high", "low", "volume"))).repartition("code").sortWithinPartitions("code", "date")
     kinds = StructType([series.schema["code"], series.schema["date"], *(StructField(name, DoubleType()) for name in names)])
@@ -178,36 +185,66 @@ def candle_pack(bars: DataFrame) -> DataFrame:
     return bars.select("code", "date", *(v.alias(k) for k, v in fields.items()))
 
 
-def gap_pack(bars: DataFrame) -> DataFrame:
-    """``code, date`` and today's open against yesterday's bar: the gap, its size in ranges, in true ranges and in usual moves, the distance to the limits of 10 per cent, and yesterday's levels and volume."""
-    s, x = P.series, F.col
-    ago = lambda c, n=1: F.lag(c, n).over(s)
-    last = lambda n: s.rowsBetween(-n, -1)
-    b = bars.select("code", "date", "open", "high", "low", "close", "volume").withColumns({"n": F.row_number().over(s), "before": ago("close")})
-    b = b.withColumns({
-        "tr": _over(F.greatest(x("high") - x("low"), F.abs(x("high") - x("before")), F.abs(x("low") - x("before"))), x("before")),
-        "oo": F.when(x("n") == 1, F.lit(0.0)).otherwise(_over(x("open"), ago("open")) - 1),
-    })
-    # The first row has no true range: NULLs do not count in a mean.
-    tr = F.when(x("before").isNotNull(), x("tr"))
-    b = b.withColumn("tr", tr)
-    atr = F.coalesce(F.avg("tr").over(last(14)), F.lit(EPS))
-    c, o, h, l, v = (ago(y) for y in ("close", "open", "high", "low", "volume"))
-    gap, rng = _over(x("open"), c) - 1, h - l
-    rng_pct = _over(rng, c)
-    ma5 = F.when(x("n") > 5, F.avg("oo").over(last(5))).otherwise(F.lit(0.0))
-    ma20 = F.when(x("n") > 20, F.avg("oo").over(last(20))).otherwise(ma5)
-    full = x("n") > 20
-    vol_z = _over(v - F.when(full, F.avg("volume").over(last(20))).otherwise(v), F.when(full, F.stddev_pop("volume").over(last(20))).otherwise(F.lit(EPS)))
-    flag = lambda hit: F.when(hit.isNotNull(), hit.cast("double"))
-    fields = {
-        "GAP": gap, "GAP_ABS": F.abs(gap), "CLOSE0": _over(c, x("open")), "YHIGH0": _over(h, x("open")), "YLOW0": _over(l, x("open")), "YVWAP0": _over((h + l + c) / 3, x("open")), "YOPEN0": _over(o, x("open")),
-        "OPEN_IN_YRANGE": _inside(x("open") - l, rng, 0.5), "GAP_VS_YRANGE": _inside(gap, rng_pct, 0.0), "GAP_ATR": _over(gap, atr), "ABOVE_YHIGH": flag(x("open") > h), "BELOW_YLOW": flag(x("open") < l),
-        "GAP_UP": F.greatest(gap, F.lit(0.0)), "GAP_DN": F.greatest(-gap, F.lit(0.0)), "NEAR_UPLIMIT": _over(c * 1.1 - x("open"), c), "NEAR_DNLIMIT": _over(x("open") - c * 0.9, c), "YCLOSE_LOC": _inside(c - l, rng, 0.5),
-        "GAP_X_YVOL": gap * vol_z, "GAP_X_YRANGE": gap * rng_pct, "YOPEN_RET": F.when(x("n") >= 3, _over(o, ago("close", 2)) - 1).otherwise(F.lit(0.0)), "YRANGE_PCT": rng_pct, "YVOL_Z20": vol_z,
-        "GAP_VS_OOMA5": gap - ma5, "GAP_VS_OOMA20": gap - ma20,
+GAPS = (
+    "GAP", "GAP_ABS", "CLOSE0", "YHIGH0", "YLOW0", "YVWAP0", "YOPEN0", "OPEN_IN_YRANGE", "GAP_VS_YRANGE", "GAP_ATR", "ABOVE_YHIGH", "BELOW_YLOW", "GAP_UP", "GAP_DN", "NEAR_UPLIMIT", "NEAR_DNLIMIT", "YCLOSE_LOC", "GAP_X_YVOL", "GAP_X_YRANGE", "YOPEN_RET", "YRANGE_PCT", "YVOL_Z20", "GAP_VS_OOMA5", "GAP_VS_OOMA20",
+)
+
+
+def _gap_fields(x: dict[str, np.ndarray], i: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
+    """The fields at ``rows`` of consecutive series ``x``, their rows numbered ``i``. NaN is missing, and does not count in a mean."""
+    per = lambda a, b: a / (b + EPS)
+    inside = lambda value, span, flat: np.where(span > EPS, value / span, np.where(np.isnan(span), np.nan, flat))
+    flag = lambda hit, *needs: np.where(np.isnan(sum(needs)), np.nan, hit)
+    before = np.where(i > 1, shifted(x["close"], 1), np.nan)
+    true = np.fmax(np.fmax(x["high"] - x["low"], np.abs(x["high"] - before)), np.abs(x["low"] - before))
+    x = x | {"tr": per(true, before), "oo": np.where(i == 1, 0.0, per(x["open"], shifted(x["open"], 1)) - 1)}
+    n = i[rows]
+    ago = lambda c, k=1: np.where(n > k, x[c][np.maximum(rows - k, 0)], np.nan)
+
+    def last(c: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of the k rows before."""
+        back = np.arange(k, 0, -1)
+        values = x[c][np.maximum(rows[:, None] - back, 0)]
+        there = (n[:, None] > back) & ~np.isnan(values)
+        count = there.sum(1)
+        mean = np.where(there, values, 0.0).sum(1) / count
+        apart = np.where(there, values - mean[:, None], 0.0)
+        return mean, np.sqrt((apart * apart).sum(1) / count)
+
+    today = x["open"][rows]
+    o, h, l, c, v = (ago(y) for y in ("open", "high", "low", "close", "volume"))  # noqa: E741
+    atr = last("tr", 14)[0]
+    atr = np.where(np.isnan(atr), EPS, atr)
+    gap, rng = per(today, c) - 1, h - l
+    rng_pct = per(rng, c)
+    ma5 = np.where(n > 5, last("oo", 5)[0], 0.0)
+    ma20 = np.where(n > 20, last("oo", 20)[0], ma5)
+    usual, deviation = last("volume", 20)
+    vol_z = per(v - np.where(n > 20, usual, v), np.where(n > 20, deviation, EPS))
+    return {
+        "GAP": gap, "GAP_ABS": np.abs(gap), "CLOSE0": per(c, today), "YHIGH0": per(h, today), "YLOW0": per(l, today), "YVWAP0": per((h + l + c) / 3, today), "YOPEN0": per(o, today),
+        "OPEN_IN_YRANGE": inside(today - l, rng, 0.5), "GAP_VS_YRANGE": inside(gap, rng_pct, 0.0), "GAP_ATR": per(gap, atr), "ABOVE_YHIGH": flag(today > h, today, h), "BELOW_YLOW": flag(today < l, today, l),
+        "GAP_UP": np.fmax(gap, 0.0), "GAP_DN": np.fmax(-gap, 0.0), "NEAR_UPLIMIT": per(c * 1.1 - today, c), "NEAR_DNLIMIT": per(today - c * 0.9, c), "YCLOSE_LOC": inside(c - l, rng, 0.5),
+        "GAP_X_YVOL": gap * vol_z, "GAP_X_YRANGE": gap * rng_pct, "YOPEN_RET": np.where(n >= 3, per(o, ago("close", 2)) - 1, 0.0), "YRANGE_PCT": rng_pct, "YVOL_Z20": vol_z, "GAP_VS_OOMA5": gap - ma5, "GAP_VS_OOMA20": gap - ma20,
     }
-    return b.select("code", "date", *(F.when(x("n") > 1, y).alias(k) for k, y in fields.items()))
+
+
+def gap_pack(bars: DataFrame, digits: int | None = None) -> DataFrame:
+    """``code, date`` and today's open against yesterday's bar: the gap, its size in ranges, in true ranges and in usual moves, the distance to the limits of 10 per cent, and yesterday's levels and volume.
+
+    Fields are rounded to ``digits`` places if given, and NULL on a series' first row. One pass along sorted series, as in ``open_pack``.
+    """
+    prices = ("open", "high", "low", "close", "volume")
+
+    def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows, i, n_kept in along(batches, 21):
+            with np.errstate(all="ignore"):
+                found = _gap_fields({c: doubles(rows.column(c)) for c in prices}, i, np.arange(n_kept, len(i)))
+                values = [np.where(i[n_kept:] > 1, found[name] if digits is None else places(found[name], digits), np.nan) for name in GAPS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.float64(), from_pandas=True) for v in values)], ["code", "date", *GAPS])
+
+    series = bars.select("code", "date", *(F.col(c).cast("double") for c in prices)).repartition("code").sortWithinPartitions("code", "date")
+    return series.mapInArrow(fields, StructType([series.schema["code"], series.schema["date"], *(StructField(name, DoubleType()) for name in GAPS)]))
 
 
 def lag_pack(bars: DataFrame) -> DataFrame:

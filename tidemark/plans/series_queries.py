@@ -180,7 +180,7 @@ _GAP = {
     select code, date, {_fields(_GAP, 1)} from u""",
 )
 def pack_gap(spark, d):
-    return rounded(packs.gap_pack(ships(spark, d)), "code", "date", digits=4)
+    return packs.gap_pack(ships(spark, d), digits=4)
 
 
 _LAGS = {
