@@ -17,9 +17,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _bars(trades: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """One bar for each key of ``trades`` (price, size, and an order within the key)."""
+    """One bar for each key of ``trades`` (price, size, and an order within the key).
+
+    The trades themselves are dealt by entity (a bar holds few of them, and a bar's state is wider than a trade): bars come out dealt by entity and sorted by ``keys``, as windows along series want them.
+    """
     o = order
-    return trades.where("price is not null").groupBy(*keys).agg(
+    return trades.where("price is not null").repartition(keys[0]).groupBy(*keys).agg(
         F.min_by("price", o).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", o).alias("close"), F.sum("size").alias("volume")
     )
 
