@@ -125,3 +125,9 @@ def test_gap_pack_is_one_pass_in_any_batches(spark):
     got = {(r.code, r.date): r for r in plan.collect()}
     day = lambda i: date(2024, 1, 1) + timedelta(i)
     assert got[None, day(0)].GAP is None and got[None, day(1)].GAP is not None and got["b", day(31)].GAP is None and got["b", day(33)].GAP_ATR is not None
+
+
+@pytest.mark.parametrize("name", ["pack_open_10", "pack_open_20", "pack_gap", "pack_clock"])
+def test_packs_are_rounded_in_their_tasks(spark, name):
+    """A projection that rounds tens of columns is too large to be compiled by the JVM."""
+    assert "rint" not in registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().lower()
