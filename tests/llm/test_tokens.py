@@ -135,6 +135,24 @@ def test_sentencepiece_long_words_blanks_and_decoding(spark):
         assert r["round_trip"] and vocabulary.decode(r["ids"]) == texts[r["doc_id"]].replace("▁", " ")
 
 
+def test_sentencepiece_cuts_plain_texts_in_arrow(monkeypatch):
+    """Only texts with runs of blanks are cut by Python; both ways agree, and each distinct unit's words are looked for once."""
+    import pyarrow as pa
+
+    texts = ["a b", "", " a", "a ", "a  b", "é▁b\n c", "▁", "a b"]
+    want, cut_by_hand = {i: sentencepiece.units_of(t) for i, t in enumerate(texts)}, []
+    by_hand = sentencepiece.units_of
+    monkeypatch.setattr(sentencepiece, "units_of", lambda t: cut_by_hand.append(t) or by_hand(t))
+    at, counts, units = sentencepiece.units_in(pa.array(texts))
+    cut = iter(units.to_pylist())
+    assert {i: [next(cut) for _ in range(n)] for i, n in zip(at.to_pylist(), counts)} == want and sorted(cut_by_hand) == sorted(["", " a", "a  b", "▁"])
+    found, (used,) = sentencepiece.distinct([units])
+    words, places, counts = sentencepiece.words_of(found)
+    assert found.take(used).to_pylist() == units.to_pylist() and words.to_pylist() == sorted(set(words.to_pylist()))
+    parts = iter(words.take(pa.array(places)).to_pylist())
+    assert ["".join(next(parts) for _ in range(n)) for n in counts] == ["▁" + u for u in found.to_pylist()]
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert token_counts.count_tokens(none, tokenizer("byte_bpe_50k.json")).count() == 0

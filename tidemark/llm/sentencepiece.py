@@ -24,10 +24,11 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,22 +44,70 @@ WORD = re.compile(f"{BLANK}*(?:{OTHER}*{LETTER}+|{OTHER}+)|{BLANK}+")
 UNIT = re.compile(f"{BLANK}+[^{BLANK}]*")
 #: Bytes of text in a block; less where there are not so many blocks as cores, but not below the second.
 BLOCK_BYTES, LEAST_BYTES = 32 << 20, 2 << 20
+#: Words that are Python's at one time; Arrow holds the others in less room.
+STEP = 50_000
 
 
 def units_of(text: str) -> list[str]:
-    """A text cut before its blanks; it begins with a blank of its own unless it is empty."""
-    return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    """A text cut before its blanks, each unit without its first blank; a text begins with a blank of its own unless it is empty."""
+    text = text.replace(BLANK, " ")
+    if text.startswith(" ") or "  " in text:
+        return [unit[1:] for unit in UNIT.findall((" " + text).replace(" ", BLANK))]
+    return text.split(" ") if text else []
 
 
-def words_of(texts: Iterable[list[str]]) -> list[str]:
-    """The distinct words of many texts, in order."""
-    return sorted({word for text in texts for unit in set().union(*map(units_of, text)) for word in WORD.findall(unit)})
+def units_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """Places of all texts, how many units each has, and their units; texts without runs of blanks are cut by Arrow."""
+    blanked = pc.replace_substring(texts, BLANK, " ")
+    odd = pc.or_(pc.match_substring(blanked, "  "), pc.or_(pc.starts_with(blanked, " "), pc.equal(blanked, "")))
+    at, plain = pc.indices_nonzero(odd), pc.invert(odd)
+    few = pa.array([units_of(text) for text in texts.take(at).to_pylist()], pa.list_(pa.string()))
+    cut = pa.concat_arrays([pc.split_pattern(blanked.filter(plain), " "), few])
+    return pa.concat_arrays([pc.indices_nonzero(plain), at]), cut.value_lengths().to_numpy(), cut.flatten()
+
+
+def distinct(values: list[pa.Array]) -> tuple[pa.Array, list[pa.Array]]:
+    """The distinct values of some arrays, and for each array where its values stand among them."""
+    coded = iter(pa.chunked_array([v for v in values if len(v)], pa.string()).dictionary_encode().chunks)
+    codes = [next(coded) if len(v) else None for v in values]
+    found = next((c.dictionary for c in codes if c is not None), pa.array([], pa.string()))
+    return found, [pa.array([], pa.int32()) if c is None else c.indices for c in codes]
+
+
+def words_of(units: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of units in order, the place among them of each word of each unit, and how many words each unit has."""
+    counts: list[int] = []
+
+    def found() -> Iterator[str]:
+        for a in range(0, len(units), STEP):
+            for unit in units.slice(a, STEP).to_pylist():
+                words = WORD.findall(BLANK + unit)
+                counts.append(len(words))
+                yield from words
+
+    words, (codes,) = distinct([pa.array(found(), pa.string())])
+    order = pc.sort_indices(words).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return words.take(pa.array(order)), place[codes.to_numpy()], np.array(counts, np.int64)
+
+
+def joined(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    """Each run of so many values, one after the other, as one."""
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[values.offset :][np.concatenate([[0], np.cumsum(counts)])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds), data])
 
 
 def _batch(data: bytes | pa.Buffer) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.decompress(data)).read_next_batch()
 
 
+def plain(decoded: bytes) -> str:
+    """Decoded bytes as text, without the blank that encoding puts before it."""
+    return decoded.removeprefix(b" ").decode("utf-8", "replace")
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model file."""
 
@@ -110,32 +159,24 @@ class Vocabulary:
     def cut(self, word: str, stand: bytes | None) -> list[int]:
         """The ids of a word whose pieces end where ``stand`` has a 1 (without one, its characters); a character that is no piece gives its bytes."""
         out, a = [], 0
-        while a < len(word):
-            b = a + 1 if stand is None else stand.index(b"1", a + 1)
-            piece = word[a:b]
-            if piece in self.pieces:
-                out.append(self.pieces[piece][0])
+        for gap in b"1" * len(word) if stand is None else stand.split(b"1")[1:-1]:
+            b = a + 1 if stand is None else a + 1 + len(gap)
+            found = self.pieces.get(word[a:b])
+            if found:
+                out.append(found[0])
             else:
-                out += [self.bytes[x] for x in piece.encode()]
+                out += [self.bytes[x] for x in word[a:b].encode()]
             a = b
         return out
 
+    def coded(self, word: str, stand: bytes | None) -> tuple[bytes, bytes]:
+        """A word's ids as little-endian unsigned 32-bit numbers, and what they decode to."""
+        ids = self.cut(word, stand)
+        return array("I", ids).tobytes(), b"".join(map(self.text.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the blank that encoding puts before it."""
-        text = b"".join(map(self.text.__getitem__, ids))
-        return text.removeprefix(b" ").decode("utf-8", "replace")
-
-
-class UnitIds(dict):
-    """Ids of units as little-endian unsigned 32-bit numbers, made when first asked for, from where the pieces of words end."""
-
-    def __init__(self, vocabulary: Vocabulary, stands: dict[str, bytes]):
-        super().__init__()
-        self.vocabulary, self.stands = vocabulary, stands
-
-    def __missing__(self, unit: str) -> bytes:
-        found = self[unit] = array("I", [i for w in WORD.findall(unit) for i in self.vocabulary.cut(w, self.stands[w])]).tobytes()
-        return found
+        return plain(b"".join(map(self.text.__getitem__, ids)))
 
 
 def folded(words: DataFrame, vocabulary: Vocabulary, keys: list[str]) -> DataFrame:
@@ -189,15 +230,16 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
         """The distinct words of a block, which is one partition, numbered in their order."""
         numbers: list[int] = []
 
-        def texts() -> Iterator[list[str]]:
+        def units() -> Iterator[pa.Array]:
             for batch in batches:
                 numbers.extend(batch.column("block").to_pylist())
-                yield from (_batch(r.as_buffer()).column("text").to_pylist() for r in batch.column("rows"))
+                for r in batch.column("rows"):
+                    yield units_in(_batch(r.as_buffer()).column("text"))[2].unique()
 
-        words = words_of(texts())
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(numbers[0], pa.int32()), len(part)), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part)], ["block", "number", "word"])
+        words = words_of(distinct(list(units()))[0])[0]
+        for i in range(0, len(words), STEP):
+            part = words.slice(i, STEP)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(numbers[0], pa.int32()), len(part)), pa.array(range(i, i + len(part)), pa.int32()), part], ["block", "number", "word"])
 
     # No column may be null or is left out, so that both uses of the dealt texts, and of the names, share one shuffle.
     kinds = {"block": T.IntegerType(), "number": T.IntegerType(), "word": T.StringType()}
@@ -209,17 +251,27 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
 
     def put_together(packs: pa.Table, known: pa.Table) -> pa.Table:
         rows = [_batch(r.as_buffer()) for r in packs.column("rows")]
-        words = words_of(r.column("text").to_pylist() for r in rows)
-        stands: list[bytes | None] = [None] * len(words)
-        for number, stand in zip(known.column("number").to_pylist(), known.column("stand").to_pylist()):
-            stands[number] = stand
-        ids_of = UnitIds(vocabulary, dict(zip(words, stands)))
+        at, counts, flats = zip(*(units_in(r.column("text")) for r in rows))
+        units, used = distinct(flats)
+        del flats
+        words, places, sizes = words_of(units)
+        row_of = np.full(len(words), -1)
+        row_of[known.column("number").to_numpy()] = np.arange(len(known))
+        stands = known.column("stand").combine_chunks().take(pa.array(row_of, mask=row_of < 0))
+        coded: tuple[list[pa.Array], ...] = ([pa.array([], pa.large_binary())], [pa.array([], pa.large_binary())])
+        for a in range(0, len(words), STEP):
+            part = map(vocabulary.coded, words.slice(a, STEP).to_pylist(), stands.slice(a, STEP).to_pylist())
+            for values, found in zip(coded, zip(*part)):
+                values.append(pa.array(found, pa.large_binary()))
+        # What an id decodes to does not depend on its neighbours: words give units, units give texts.
+        ids_of, texts_of = (joined(pa.concat_arrays(values).take(pa.array(places)), sizes) for values in coded)
         out = []
-        for doc, text in (row for r in rows for row in zip(r.column("doc_id").to_pylist(), r.column("text").to_pylist())):
-            ids = b"".join(map(ids_of.__getitem__, units_of(text)))
-            numbers = np.frombuffer(ids, "<u4")
-            row = (doc, len(numbers), zlib.crc32(ids), vocabulary.decode(numbers.tolist()) == text.replace(BLANK, " "))
-            out.append((*row, numbers.astype(np.int32)) if with_ids else row)
+        for r, places, n, codes in zip(rows, at, counts, used):
+            ids, decoded = (joined(values.take(codes), n) for values in (ids_of, texts_of))
+            for doc, text, i, d in zip(r.column("doc_id").take(places).to_pylist(), r.column("text").take(places).to_pylist(), ids, decoded.to_pylist()):
+                i = i.as_buffer()
+                row = (doc, i.size // 4, zlib.crc32(i), plain(d) == text.replace(BLANK, " "))
+                out.append((*row, np.frombuffer(i, "<u4").astype(np.int32)) if with_ids else row)
         columns = list(zip(*out)) or [()] * len(schema)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], schema.names)
