@@ -13,7 +13,7 @@ from tests.conftest import SMALL, as_rows
 
 import __spark_entry__  # noqa: F401
 from tidemark.functions.panel import rounded_to
-from tidemark.operators import algebra, clock_pack, packs, reports
+from tidemark.operators import algebra, clock_pack, packs, reports, signals, technical, trends
 from tidemark.plans import registry
 
 QUERIES = [
@@ -131,3 +131,23 @@ def test_gap_pack_is_one_pass_in_any_batches(spark):
 def test_packs_are_rounded_in_their_tasks(spark, name):
     """A projection that rounds tens of columns is too large to be compiled by the JVM."""
     assert "rint" not in registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("query", ["combined", "pattern_scores", "macd", "rsi", "kdj", "directional_index"])
+def test_recursive_series_are_one_pass_in_any_batches(spark, query):
+    """Batches that end anywhere change nothing; no series is copied at each of its rows, and nothing is joined back by code and date."""
+    rng = random.Random(10)
+    rows = [(k, date(2024, 1, 1) + timedelta(i), *(None if i == 30 else rng.uniform(5, 9) for _ in range(4)), float(rng.randint(0, 9))) for k, n in (("a", 50), ("b", 45), ("c", 7), (None, 50)) for i in range(n)]
+    bars = spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, volume double")
+    of = next(getattr(m, query) for m in (signals, trends, technical) if hasattr(m, query))
+    text = of(bars)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "aggregate(" not in text and "Join" not in text
+    want = as_rows(of(bars).toPandas())
+    assert len(want) > 60
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7")
+        assert as_rows(of(bars).toPandas()) == want
+    finally:
+        spark.conf.set(size, usual)

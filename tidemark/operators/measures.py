@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,11 @@ def volume_anomaly(bars: DataFrame, threshold: float = 2.0) -> DataFrame:
     return b.select("code", "date", F.round(r, 2).alias("ratio"), kind.alias("kind"), strength.alias("strength"))
 
 
+def strength(ratio: np.ndarray, threshold: float = 2.0) -> np.ndarray:
+    """The strengths of ``volume_anomaly`` of ratios."""
+    return np.select([ratio >= threshold * 2, ratio >= threshold, ratio >= 1.5, ratio < 0.3, ratio < 0.5], [3.0, 2.0, 1.0, -2.0, -1.0], 0.0)
+
+
 def without_halted(bars: DataFrame, texts: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Bars without a volume of 0 or less whose ``texts`` (names of columns) have no word of a halt, as it is written; and ``code, kept, no_volume, halted`` of all.
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,35 +20,34 @@ LEAST = {"macd": 35, "kdj": 9, "rsi": 16, "volume": 20}
 WEIGHTS = {"macd": 0.35, "kdj": 0.25, "rsi": 0.25, "volume": 0.15}
 
 
-def _first(*cases: tuple[Column, float]) -> Column:
-    out = F.lit(0)
-    for holds, value in reversed(cases):
-        out = F.when(holds, F.lit(value)).otherwise(out)
-    return out
+def _strengths(x: technical.Fields, i: np.ndarray) -> technical.Fields:
+    """The strengths of whole series, and the rows' numbers; prices count where there is a close."""
+    known = ~np.isnan(x["close"])
+    at = technical.of_rows(known, i)
+    before = lambda v: technical.ago(v, at)
+    priced = {c: x[c][known] for c in ("high", "low", "close")}
+    m = technical.macd_fields(priced["close"], at)
+    dif, dea, bar = m["dif"], m["dea"], m["bar"]
+    k, d, j = (technical.kdj_fields(priced, at)[c] for c in ("k", "d", "j"))
+    rsi = technical.rsi_field(priced["close"], at)
+    up, down = (k > d) & (before(k) <= before(d)), (k < d) & (before(k) >= before(d))
+    crossed = np.select([up & (k < 30), up, down & (k > 70), down], [2, 1, -2, -1], 0)
+    parts = {
+        "macd": np.select([(dif > dea) & (bar > before(bar)), dif > dea, (dif < dea) & (bar < before(bar)), dif < dea], [2, 1, -2, -1], 0),
+        "kdj": np.where(j < 0, np.maximum(crossed, 1), np.where(j > 100, np.minimum(crossed, -1), crossed)),
+        "rsi": np.select([rsi < 30, rsi < 40, rsi > 70, rsi > 60], [2, 1, -2, -1], 0),
+    }
+    summed, count = technical.total(x["volume"], i, 20)
+    return {"n": i.astype(float), "volume": measures.strength(x["volume"] / np.where(summed == 0, np.nan, summed / count)), **{c: technical.back(known, v.astype(float)) for c, v in parts.items()}}
 
 
 def combined(bars: DataFrame, weights: dict[str, float] = WEIGHTS, least: int = 30) -> DataFrame:
     """``code, date, macd, kdj, rsi, volume, composite, signal, score``: the strengths, -2 to 3, of each series on each date, and their weighted mean.
 
-    From the ``least``-th row of a code on; a series that is too short counts 0.
+    From the ``least``-th row of a code on; a series that is too short counts 0. One pass along each series.
     """
-    s = P.series
-    before = lambda c: F.lag(c).over(s)
-    m = technical.macd(bars)
-    up, grows = F.col("dif") > F.col("dea"), F.col("bar") > before("bar")
-    m = m.select("code", "date", _first((up & grows, 2), (up, 1), ((F.col("dif") < F.col("dea")) & (F.col("bar") < before("bar")), -2), (F.col("dif") < F.col("dea"), -1)).alias("macd"))
-    k = technical.kdj(bars)
-    crossed = _first(
-        ((F.col("k") > F.col("d")) & (before("k") <= before("d")) & (F.col("k") < 30), 2), ((F.col("k") > F.col("d")) & (before("k") <= before("d")), 1),
-        ((F.col("k") < F.col("d")) & (before("k") >= before("d")) & (F.col("k") > 70), -2), ((F.col("k") < F.col("d")) & (before("k") >= before("d")), -1),
-    )
-    k = k.select("code", "date", F.when(F.col("j") < 0, F.greatest(crossed, F.lit(1))).when(F.col("j") > 100, F.least(crossed, F.lit(-1))).otherwise(crossed).alias("kdj"))
-    r = technical.rsi(bars).select("code", "date", _first((F.col("rsi") < 30, 2), (F.col("rsi") < 40, 1), (F.col("rsi") > 70, -2), (F.col("rsi") > 60, -1)).alias("rsi"))
-    v = measures.volume_anomaly(bars).select("code", "date", F.col("strength").alias("volume"))
-    rows = bars.select("code", "date", F.row_number().over(s).alias("n"))
-    for part in (m, k, r, v):
-        rows = rows.join(part, ["code", "date"], "left")
-    rows = rows.withColumns({c: F.when(F.col("n") >= LEAST[c], F.coalesce(c, F.lit(0))).otherwise(0) for c in LEAST})
+    rows = technical.along_series(bars, ("high", "low", "close", "volume"), _strengths, ("n", *LEAST))
+    rows = rows.select("code", "date", "n", *(F.when(F.col("n") >= LEAST[c], F.coalesce(F.col(c).cast("int"), F.lit(0))).otherwise(0).alias(c) for c in LEAST))
     total = sum(w for w in weights.values() if w > 0)
     rows = rows.withColumn("composite", F.round(sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)) / total, 4))
     x = F.col("composite")

@@ -1,75 +1,179 @@
 """Technical series: recursive averages, bars of bars, signed volume, streaks, drawdowns.
 
-Recursions (exponential and Wilder averages, KDJ) fold the sorted array of one entity's series with ``aggregate``: the value at a
-row depends on all rows before it, so no window frame expresses it. An entity's series is one row here; that is its
-length in days, not the size of the table.
+Recursions (exponential and Wilder averages, KDJ) go along one entity's series after the other: the value at a row depends on all rows
+before it, so no window frame expresses it. Spark deals and sorts the rows; a task has the rows of some whole series at
+once, which is their length in days, not the size of the table. NaN is missing there, as everywhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import accumulate
+from operator import add
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.panel import Panel, finite, safe_div
+from tidemark.operators.packs import doubles, shifted
 
 P = Panel()
+Fields = dict[str, np.ndarray]
+
+
+def whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows (their first column is the code) as tables of whole series, and the rows' numbers in their series from 1."""
+    kept: list[pa.RecordBatch] = []
+
+    def numbered(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(parts)
+        at = np.arange(len(rows))
+        return rows, at - np.maximum.accumulate(np.where(_begins(rows.column(0)), at, 0)) + 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        before = [kept[-1].column(0)[-1:]] if kept else []
+        starts = np.flatnonzero(_begins(pa.chunked_array([*before, batch.column(0)]))[len(before) :])
+        if kept and not len(starts):
+            kept.append(batch)
+            continue
+        last = int(starts[-1])
+        if kept or last:
+            yield numbered([*kept, batch.slice(0, last)])
+        kept = [batch.slice(last)]
+    if kept:
+        yield numbered(kept)
+
+
+def _begins(codes: pa.ChunkedArray) -> np.ndarray:
+    """Where a series begins; the first row begins one."""
+    code = codes.combine_chunks().dictionary_encode(null_encoding="encode")
+    code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
+    return np.concatenate([[True], code[1:] != code[:-1]])
+
 
+def along_series(bars: DataFrame, columns: tuple[str, ...], fields: Callable[[Fields, np.ndarray], Fields], names: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``code, date``, the columns ``keep`` and ``names``: what ``fields`` makes of whole series of ``columns`` and their rows' numbers."""
 
-def _series(bars: DataFrame, *columns: str) -> DataFrame:
-    """``code, s``: the entity's rows as one array, in order of date."""
-    return bars.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("date", *columns))).alias("s"))
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, i in whole_series(batches):
+            with np.errstate(all="ignore"):
+                found = fields({c: doubles(rows.column(c)) for c in columns}, i)
+            yield from pa.table([rows.column(0), rows.column(1), *(rows.column(c) for c in keep), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in names)], ["code", "date", *keep, *names]).combine_chunks().to_batches()
 
+    series = bars.select("code", "date", *(F.col(c).cast("double") for c in columns)).repartition("code").sortWithinPartitions("code", "date")
+    return series.mapInArrow(passed, StructType([series.schema["code"], series.schema["date"], *(StructField(n, DoubleType()) for n in (*keep, *names))]))
 
-def scan(values: Column, first: Column, step) -> Column:
-    """All states of a fold over ``values`` from its second element on, beginning with ``first`` (an array of states)."""
-    rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.aggregate(rest, F.array(first), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
 
+def of_rows(known: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The numbers in their series of the rows that are ``known``, the others left out."""
+    series = np.cumsum(i == 1)[known]
+    at = np.arange(len(series))
+    return at - np.maximum.accumulate(np.where(np.concatenate([[True], series[1:] != series[:-1]])[: len(at)], at, 0)) + 1
 
-def ema(values: Column, span: int) -> Column:
-    """Exponential average of an array with alpha 2 / (span + 1), begun with its first value."""
+
+def back(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of the known rows at their places among all."""
+    out = np.full(len(known), np.nan)
+    out[known] = values
+    return out
+
+
+def ago(x: np.ndarray, i: np.ndarray, n: int = 1) -> np.ndarray:
+    """The value of n rows before in the same series."""
+    return np.where(i > n, shifted(x, n), np.nan)
+
+
+def folded(x: np.ndarray, i: np.ndarray, step: Callable[[float, float], float], first: float | None = None) -> np.ndarray:
+    """All states of a fold along each series from its second row on, begun with ``first`` (default: its first value)."""
+    begins = np.flatnonzero(i == 1).tolist()
+    out: list[float] = []
+    for a, b in zip(begins, [*begins[1:], len(x)]):
+        values = x[a:b].tolist()
+        out += accumulate(values if first is None else [first, *values[1:]], step)
+    return np.array(out, float)
+
+
+def ema(x: np.ndarray, i: np.ndarray, span: int) -> np.ndarray:
+    """Exponential average with alpha 2 / (span + 1), begun with a series' first value."""
     a = 2.0 / (span + 1)
-    return scan(values, F.get(values, F.lit(0)), lambda e, v: e + (v - e) * a)
+    return folded(x, i, lambda e, v: e + (v - e) * a)
+
+
+def wilder(x: np.ndarray, i: np.ndarray, period: int) -> np.ndarray:
+    """Wilder's average, begun with the mean of the first ``period`` values, given from the value after them on."""
+    begins = np.flatnonzero(i == 1).tolist()
+    out = np.full(len(x), np.nan)
+    for a, b in zip(begins, [*begins[1:], len(x)]):
+        values = x[a:b].tolist()
+        if len(values) > period:
+            first = reduce(add, values[:period], 0.0) / period
+            out[a + period : b] = list(accumulate([first, *values[period:]], lambda e, v: (e * (period - 1) + v) / period))[1:]
+    return out
+
+
+def total(x: np.ndarray, i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of the values among the last n rows; the sum of none is NaN."""
+    summed, count = np.zeros(len(x)), np.zeros(len(x))
+    for k in range(n - 1, -1, -1):
+        v = ago(x, i, k)
+        there = ~np.isnan(v)
+        summed += np.where(there, v, 0.0)
+        count += there
+    return np.where(count > 0, summed, np.nan), count
+
+
+def extreme(x: np.ndarray, i: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """The largest (``np.fmax``) or smallest (``np.fmin``) of the last n rows."""
+    out = x
+    for k in range(1, n):
+        out = of(out, ago(x, i, k))
+    return out
+
+
+def macd_fields(close: np.ndarray, i: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) -> Fields:
+    dif = ema(close, i, fast) - ema(close, i, slow)
+    dea = ema(dif, i, signal)
+    return {"dif": dif, "dea": dea, "bar": 2 * (dif - dea)}
+
+
+def rsi_field(close: np.ndarray, i: np.ndarray, period: int = 14) -> np.ndarray:
+    """NaN where there is none."""
+    moved = i > 1
+    move, at = (close - shifted(close, 1))[moved], i[moved] - 1
+    gain, loss = (wilder(np.maximum(x, 0.0), at, period) for x in (move, -move))
+    return back(moved, np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss)))
+
+
+def kdj_fields(x: Fields, i: np.ndarray, n: int = 9, m: int = 3) -> Fields:
+    low, high = extreme(x["low"], i, n, np.fmin), extreme(x["high"], i, n, np.fmax)
+    rsv = np.where(high > low, (x["close"] - low) / (high - low) * 100, 50.0)
+    smooth = lambda v: folded(v, i, lambda e, y: (e * (m - 1) + y) / m, 50.0)
+    series = np.cumsum(i == 1) - 1
+    enough = np.bincount(series)[series] >= n if len(i) else np.zeros(0, bool)
+    k = smooth(rsv)
+    d = smooth(k)
+    return {c: np.where(enough, v, np.nan) for c, v in (("k", k), ("d", d), ("j", 3 * k - 2 * d))}
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """``code, date, dif, dea, bar``: difference of two exponential averages of close, its average, and twice what lies between."""
-    s = _series(bars.where("close is not null"), "close").withColumn("x", F.transform("s", lambda r: r["close"]))
-    s = s.withColumn("dif", F.zip_with(ema(F.col("x"), fast), ema(F.col("x"), slow), lambda a, b: a - b)).withColumn("dea", ema(F.col("dif"), signal))
-    rows = s.select("code", F.inline(F.arrays_zip(F.transform("s", lambda r: r["date"]).alias("date"), "dif", "dea")))
-    return rows.withColumn("bar", 2 * (F.col("dif") - F.col("dea")))
+    return along_series(bars.where("close is not null"), ("close",), lambda x, i: macd_fields(x["close"], i, fast, slow, signal), ("dif", "dea", "bar"))
 
 
 def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     """``code, date, rsi`` by Wilder's average: begun with the mean of the first ``period`` moves, given from the move after them on; 100 without a loss."""
-    move = F.col("close") - F.lag("close").over(P.series)
-    moves = bars.where("close is not null").withColumn("move", move).where("move is not null").withColumns({"gain": F.greatest("move", F.lit(0.0)), "loss": F.greatest(-F.col("move"), F.lit(0.0))})
-    s = _series(moves, "gain", "loss").where(F.size("s") > period)
-
-    def wilder(name: str) -> Column:
-        x = F.transform("s", lambda r: r[name])
-        first = F.aggregate(F.slice(x, 1, period), F.lit(0.0), lambda a, v: a + v) / period
-        all_states = scan(F.concat(F.array(first), F.slice(x, period + 1, F.size(x))), first, lambda e, v: (e * (period - 1) + v) / period)
-        return F.slice(all_states, 2, F.size(x))
-
-    dates = F.transform(F.slice("s", period + 1, F.size("s")), lambda r: r["date"])
-    rows = s.select("code", F.inline(F.arrays_zip(dates.alias("date"), wilder("gain").alias("g"), wilder("loss").alias("l"))))
-    return rows.select("code", "date", F.when(F.col("l") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + F.col("g") / F.col("l"))).alias("rsi"))
+    return along_series(bars.where("close is not null"), ("close",), lambda x, i: {"rsi": rsi_field(x["close"], i, period)}, ("rsi",)).where("rsi is not null")
 
 
 def kdj(bars: DataFrame, n: int = 9, m: int = 3) -> DataFrame:
     """``code, date, k, d, j``: the place in the range of up to n rows, smoothed twice by 1 / m; the first row is 50, and entities with fewer than n rows have none."""
-    w = P.frame(n)
-    low, high = F.min("low").over(w), F.max("high").over(w)
-    rsv = F.when(high > low, (F.col("close") - low) / (high - low) * 100).otherwise(F.lit(50.0))
-    s = _series(bars.where("close is not null").withColumn("rsv", rsv), "rsv").where(F.size("s") >= n).withColumn("x", F.transform("s", lambda r: r["rsv"]))
-
-    def smooth(x: Column) -> Column:
-        return scan(x, F.lit(50.0), lambda e, v: (e * (m - 1) + v) / m)
-
-    s = s.withColumn("k", smooth(F.col("x"))).withColumn("d", smooth(F.col("k")))
-    rows = s.select("code", F.inline(F.arrays_zip(F.transform("s", lambda r: r["date"]).alias("date"), "k", "d")))
-    return rows.withColumn("j", 3 * F.col("k") - 2 * F.col("d"))
+    return along_series(bars.where("close is not null"), ("high", "low", "close"), lambda x, i: kdj_fields(x, i, n, m), ("k", "d", "j")).where("k is not null")
 
 
 def chunk_bars(bars: DataFrame, n: int = 5) -> DataFrame:

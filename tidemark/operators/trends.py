@@ -7,11 +7,14 @@ them, further columns are ignored, an empty table gives an empty result.
 
 from __future__ import annotations
 
+from operator import add
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.panel import Panel, finite
-from tidemark.operators.technical import _series, scan
+from tidemark.operators import technical
 
 P = Panel()
 Step = tuple[str, float, float]
@@ -183,27 +186,32 @@ def weekly_scores(bars: DataFrame, days: int = 5) -> DataFrame:
     return b.select("code", "date", "momentum_4w", "momentum_8w", "volume_trend", score.alias("score"))
 
 
+def _adx(x: technical.Fields, i: np.ndarray, period: int = 14) -> tuple[np.ndarray, np.ndarray]:
+    """The mean so far of the directional movement index along whole series, NaN where there is none, and the rows that Wilder's averages reach."""
+    before = {c: technical.ago(x[c], i) for c in ("high", "low", "close")}
+    moved = ~np.isnan(before["close"])
+    tr = np.fmax(np.fmax(x["high"] - x["low"], np.abs(x["high"] - before["close"])), np.abs(x["low"] - before["close"]))
+    moved &= ~np.isnan(tr)
+    at = technical.of_rows(moved, i)
+    rise, fall = x["high"] - before["high"], before["low"] - x["low"]
+    up, down = np.where((rise > fall) & (rise > 0), rise, 0.0), np.where((fall > rise) & (fall > 0), fall, 0.0)
+    tr, up, down = (technical.wilder(v[moved], at, period) for v in (tr, up, down))
+    given = ~np.isnan(tr)
+    up, down = (100 * v / np.where(tr == 0, np.nan, tr) for v in (up, down))
+    dx = np.where(up + down > 0, 100 * np.abs(up - down) / (up + down), np.where(given & (tr != 0), 0.0, np.nan))
+    there = ~np.isnan(dx)
+    summed, count = (technical.folded(v, at, add) for v in (np.where(there, dx, 0.0), there.astype(float)))
+    return technical.back(moved, np.where(given & (count > 0), summed / count, np.nan)), technical.back(moved, given.astype(float)) == 1
+
+
 def directional_index(bars: DataFrame, period: int = 14) -> DataFrame:
     """``code, date, adx``: the mean so far of the directional movement index by Wilder's averages, from row ``period + 2`` on."""
-    ago = lambda c: F.lag(c).over(P.series)
-    rise, fall = F.col("high") - ago("high"), ago("low") - F.col("low")
-    moves = bars.select("code", "date", "high", "low", "close").withColumns({
-        "tr": F.when(ago("close").isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - ago("close")), F.abs(F.col("low") - ago("close")))),
-        "up": F.when((rise > fall) & (rise > 0), rise).otherwise(F.lit(0.0)), "down": F.when((fall > rise) & (fall > 0), fall).otherwise(F.lit(0.0)),
-    })
-    s = _series(moves.where("tr is not null"), "tr", "up", "down").where(F.size("s") > period)
 
-    def wilder(name: str) -> Column:
-        x = F.transform("s", lambda r: r[name])
-        first = F.aggregate(F.slice(x, 1, period), F.lit(0.0), lambda a, v: a + v) / period
-        states = scan(F.concat(F.array(first), F.slice(x, period + 1, F.size(x))), first, lambda e, v: (e * (period - 1) + v) / period)
-        return F.slice(states, 2, F.size(x))
+    def fields(x: technical.Fields, i: np.ndarray) -> technical.Fields:
+        adx, given = _adx(x, i, period)
+        return {"adx": adx, "given": np.where(given, 1.0, np.nan)}
 
-    dates = F.transform(F.slice("s", period + 1, F.size("s")), lambda r: r["date"])
-    rows = s.select("code", F.inline(F.arrays_zip(dates.alias("date"), *(wilder(c).alias(c) for c in ("tr", "up", "down")))))
-    up, down = (100 * F.col(c) / F.nullif("tr", F.lit(0.0)) for c in ("up", "down"))
-    dx = F.when(up + down > 0, 100 * F.abs(up - down) / F.nullif(up + down, F.lit(0.0))).when(F.col("tr") != 0, F.lit(0.0))
-    return rows.withColumn("dx", dx).select("code", "date", F.avg("dx").over(P.series.rowsBetween(Window.unboundedPreceding, 0)).alias("adx"))
+    return technical.along_series(bars, ("high", "low", "close"), fields, ("adx", "given")).where("given is not null").select("code", "date", "adx")
 
 
 def candle(o: Column, h: Column, l: Column, c: Column) -> tuple[Column, Column]:
@@ -226,11 +234,24 @@ def _named(cases: list[tuple[Column, str, float]], otherwise: str, value: float
     return name, score
 
 
+def _box(x: technical.Fields, i: np.ndarray) -> technical.Fields:
+    """What ``pattern_scores`` looks at, along whole series."""
+
+    def mean(k: int) -> np.ndarray:
+        summed, count = technical.total(x["close"], i, k)
+        return np.where(i >= k, summed / count, np.nan)
+
+    means = {f"ma_{k}": mean(k) for k in (5, 10, 20, 60)}
+    return means | {
+        "adx": _adx(x, i)[0], "n": i.astype(float), "box_high": technical.extreme(x["high"], i, 20, np.fmax), "box_low": technical.extreme(x["low"], i, 20, np.fmin), "usual": technical.total(x["volume"], i, 20)[0] / 20,
+        "before": technical.ago(x["close"], i), "past": technical.ago(means["ma_20"], i, 5),
+    }
+
+
 def pattern_scores(bars: DataFrame) -> DataFrame:
-    """``code, date, alignment, breakout, candle, adx, score``: order of the averages, exits from the 20-row box, the bar's shape and the strength of the trend."""
-    w = _last(20)
-    b = bars.select("code", "date", "open", "high", "low", "close", "volume").join(directional_index(bars), ["code", "date"], "left")
-    b = b.withColumns({"n": _rows(), **{f"ma_{k}": average(k) for k in (5, 10, 20, 60)}, "box_high": F.max("high").over(w), "box_low": F.min("low").over(w), "usual": F.sum("volume").over(w) / 20, "before": F.lag("close").over(P.series), "past": F.lag(F.when(_rows() >= 20, F.avg("close").over(w)), 5).over(P.series)})
+    """``code, date, alignment, breakout, candle, adx, score``: order of the averages, exits from the 20-row box, the bar's shape and the strength of the trend. One pass along each series."""
+    prices = ("open", "high", "low", "close", "volume")
+    b = technical.along_series(bars, prices, _box, ("adx", "n", "ma_5", "ma_10", "ma_20", "ma_60", "box_high", "box_low", "usual", "before", "past"), keep=prices)
     x, v, m5, m10, m20, m60 = (F.col(c) for c in ("close", "volume", "ma_5", "ma_10", "ma_20", "ma_60"))
     long = F.coalesce(m60 != 0, F.lit(False))
     away = F.abs(m5 - m20) / F.nullif(m20, F.lit(0.0)) * 100
