@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.panel import Panel, finite
 from tidemark.operators import technical
+from tidemark.operators.packs import places
 
 P = Panel()
 Step = tuple[str, float, float]
@@ -214,62 +215,73 @@ def directional_index(bars: DataFrame, period: int = 14) -> DataFrame:
     return technical.along_series(bars, ("high", "low", "close"), fields, ("adx", "given")).where("given is not null").select("code", "date", "adx")
 
 
-def candle(o: Column, h: Column, l: Column, c: Column) -> tuple[Column, Column]:
-    """Name and score of a bar's shape."""
-    body, size, span = c - o, F.abs(c - o), h - l
-    share, top, bottom = size / F.nullif(span, F.lit(0.0)), h - F.greatest(o, c), F.least(o, c) - l
-    near_high, near_low = (h - c) / F.nullif(span, F.lit(0.0)) < 0.1, (c - l) / F.nullif(span, F.lit(0.0)) < 0.1
-    cases = [
+def _scored(x: np.ndarray, steps: list[Step], otherwise: float = 50.0) -> np.ndarray:
+    """``stepped`` for values in a task."""
+    signs = {">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal}
+    return np.select([signs[sign](x, limit) for sign, limit, _ in steps], [float(v) for *_, v in steps], otherwise)
+
+
+Case = tuple[np.ndarray, str, float]
+
+
+def _chosen(cases: list[Case], otherwise: str, value: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first case that holds among the cases' names (``otherwise`` last), and its value."""
+    holds = [c[0] for c in cases]
+    return np.select(holds, [float(n) for n in range(len(cases))], float(len(cases))), np.select(holds, [float(c[2]) for c in cases], float(value))
+
+
+def _shapes(o: np.ndarray, h: np.ndarray, l: np.ndarray, c: np.ndarray) -> list[Case]:
+    """The cases of a bar's shape."""
+    body, size, span = c - o, np.abs(c - o), h - l
+    per = np.where(span == 0, np.nan, span)
+    share, top, bottom = size / per, h - np.fmax(o, c), np.fmin(o, c) - l
+    near_high, near_low = (h - c) / per < 0.1, (c - l) / per < 0.1
+    return [
         (span == 0, "doji", 48), (share < 0.1, "doji", 50), ((bottom > size * 2) & (top < size * 0.5) & (body > 0), "hammer", 65), ((top > size * 2) & (bottom < size * 0.5) & (body > 0), "inverted_hammer", 55),
         ((body > 0) & (share > 0.7) & near_high, "strong_bullish", 75), ((body > 0) & (share > 0.7), "bullish", 65), ((body < 0) & (share > 0.7) & near_low, "strong_bearish", 25), ((body < 0) & (share > 0.7), "bearish", 35),
         ((body > 0) & (share < 0.3), "small_bullish", 58), ((body < 0) & (share < 0.3), "small_bearish", 42), ((top > size * 1.5) & (body > 0), "long_upper_shadow", 38), ((bottom > size * 1.5) & (body < 0), "long_lower_shadow", 55),
     ]
-    return _named(cases, "neutral")
 
 
-def _named(cases: list[tuple[Column, str, float]], otherwise: str, value: float = 50.0) -> tuple[Column, Column]:
-    name, score = F.lit(otherwise), F.lit(float(value))
-    for holds, n, v in reversed(cases):
-        name, score = F.when(holds, F.lit(n)).otherwise(name), F.when(holds, F.lit(float(v))).otherwise(score)
-    return name, score
+ALIGNMENTS = ("insufficient_data", "bullish_alignment", "bullish_alignment_short", "bearish_alignment", "bearish_alignment_short", "price_above_all_ma", "price_above_ma", "price_below_all_ma", "price_below_ma", "ma_entangled", "ma_loosely_entangled", "ma_mixed")
+BREAKOUTS = ("insufficient_data", "no_box", "volume_breakout_up", "moderate_breakout_up", "weak_breakout_up", "volume_breakdown", "weak_breakdown", "ma_breakout", "ma_breakdown", "no_breakout")
+CANDLES = ("doji", "doji", "hammer", "inverted_hammer", "strong_bullish", "bullish", "strong_bearish", "bearish", "small_bullish", "small_bearish", "long_upper_shadow", "long_lower_shadow", "neutral")
 
 
-def _box(x: technical.Fields, i: np.ndarray) -> technical.Fields:
-    """What ``pattern_scores`` looks at, along whole series."""
+def _patterns(x: technical.Fields, i: np.ndarray) -> technical.Fields:
+    """What ``pattern_scores`` gives, along whole series; names by their places."""
 
     def mean(k: int) -> np.ndarray:
         summed, count = technical.total(x["close"], i, k)
         return np.where(i >= k, summed / count, np.nan)
 
-    means = {f"ma_{k}": mean(k) for k in (5, 10, 20, 60)}
-    return means | {
-        "adx": _adx(x, i)[0], "n": i.astype(float), "box_high": technical.extreme(x["high"], i, 20, np.fmax), "box_low": technical.extreme(x["low"], i, 20, np.fmin), "usual": technical.total(x["volume"], i, 20)[0] / 20,
-        "before": technical.ago(x["close"], i), "past": technical.ago(means["ma_20"], i, 5),
-    }
+    tenth = lambda v: places(v + 1e-9, 1)
+    m5, m10, m20, m60 = map(mean, (5, 10, 20, 60))
+    c, v = x["close"], x["volume"]
+    long = ~np.isnan(m60) & (m60 != 0)
+    away = np.abs(m5 - m20) / np.where(m20 == 0, np.nan, m20) * 100
+    alignment = _chosen(list(zip([
+        np.isnan(m20), long & (m5 > m10) & (m10 > m20) & (m20 > m60), (m5 > m10) & (m10 > m20), long & (m5 < m10) & (m10 < m20) & (m20 < m60), (m5 < m10) & (m10 < m20), long & (c > m5) & (m5 > m10) & (m10 > m20),
+        (c > m5) & (c > m10) & (c > m20), long & (c < m5) & (m5 < m10) & (m10 < m20), (c < m5) & (c < m10) & (c < m20), away < 2, away < 5,
+    ], ALIGNMENTS, (50, 82, 72, 18, 28, 75, 65, 22, 35, 52, 48))), ALIGNMENTS[-1], 45)
+    high, low = technical.extreme(x["high"], i, 20, np.fmax), technical.extreme(x["low"], i, 20, np.fmin)
+    usual, before = technical.total(v, i, 20)[0] / 20, technical.ago(c, i)
+    breakout = _chosen(list(zip([
+        i < 20, high == low, (c > high) & (v > usual * 1.5), (c > high) & (v > usual * 1.2), c > high, (c < low) & (v > usual * 1.5), c < low, (c > m20) & (before <= m20), (c < m20) & (before >= m20),
+    ], BREAKOUTS, (50, 50, 88, 78, 65, 15, 30, 68, 32))), BREAKOUTS[-1])
+    shape = _chosen(_shapes(x["open"], x["high"], x["low"], c), CANDLES[-1])
+    adx, past = _adx(x, i)[0], technical.ago(m20, i, 5)
+    slope = (m20 / np.where(past == 0, np.nan, past) - 1) * 100
+    strength = np.where(i >= 20, tenth(0.5 * _scored(adx, TREND_STRENGTH) + 0.5 * _scored(slope, TREND_SLOPE)), 50.0)
+    total = 0.35 * breakout[1] + 0.3 * shape[1] + 0.2 * alignment[1] + 0.15 * strength
+    return {"alignment": alignment[0], "breakout": breakout[0], "candle": shape[0], "adx": adx, "score": np.where(i >= 5, tenth(total), np.nan)}
 
 
 def pattern_scores(bars: DataFrame) -> DataFrame:
     """``code, date, alignment, breakout, candle, adx, score``: order of the averages, exits from the 20-row box, the bar's shape and the strength of the trend. One pass along each series."""
-    prices = ("open", "high", "low", "close", "volume")
-    b = technical.along_series(bars, prices, _box, ("adx", "n", "ma_5", "ma_10", "ma_20", "ma_60", "box_high", "box_low", "usual", "before", "past"), keep=prices)
-    x, v, m5, m10, m20, m60 = (F.col(c) for c in ("close", "volume", "ma_5", "ma_10", "ma_20", "ma_60"))
-    long = F.coalesce(m60 != 0, F.lit(False))
-    away = F.abs(m5 - m20) / F.nullif(m20, F.lit(0.0)) * 100
-    alignment = _named([
-        (m20.isNull(), "insufficient_data", 50), (long & (m5 > m10) & (m10 > m20) & (m20 > m60), "bullish_alignment", 82), ((m5 > m10) & (m10 > m20), "bullish_alignment_short", 72), (long & (m5 < m10) & (m10 < m20) & (m20 < m60), "bearish_alignment", 18),
-        ((m5 < m10) & (m10 < m20), "bearish_alignment_short", 28), (long & (x > m5) & (m5 > m10) & (m10 > m20), "price_above_all_ma", 75), ((x > m5) & (x > m10) & (x > m20), "price_above_ma", 65), (long & (x < m5) & (m5 < m10) & (m10 < m20), "price_below_all_ma", 22),
-        ((x < m5) & (x < m10) & (x < m20), "price_below_ma", 35), (away < 2, "ma_entangled", 52), (away < 5, "ma_loosely_entangled", 48),
-    ], "ma_mixed", 45)
-    high, low, usual, before = F.col("box_high"), F.col("box_low"), F.col("usual"), F.col("before")
-    breakout = _named([
-        (F.col("n") < 20, "insufficient_data", 50), (high == low, "no_box", 50), ((x > high) & (v > usual * 1.5), "volume_breakout_up", 88), ((x > high) & (v > usual * 1.2), "moderate_breakout_up", 78), (x > high, "weak_breakout_up", 65),
-        ((x < low) & (v > usual * 1.5), "volume_breakdown", 15), (x < low, "weak_breakdown", 30), ((x > m20) & (before <= m20), "ma_breakout", 68), ((x < m20) & (before >= m20), "ma_breakdown", 32),
-    ], "no_breakout")
-    shape = candle(F.col("open"), F.col("high"), F.col("low"), x)
-    slope = F.when(F.col("past") != 0, (m20 / F.nullif("past", F.lit(0.0)) - 1) * 100)
-    strength = F.when(F.col("n") >= 20, _tenth(0.5 * stepped(F.col("adx"), TREND_STRENGTH) + 0.5 * stepped(slope, TREND_SLOPE))).otherwise(F.lit(50.0))
-    total = 0.35 * breakout[1] + 0.3 * shape[1] + 0.2 * alignment[1] + 0.15 * strength
-    return b.select("code", "date", alignment[0].alias("alignment"), breakout[0].alias("breakout"), shape[0].alias("candle"), "adx", F.when(F.col("n") >= 5, _tenth(total)).alias("score"))
+    found = technical.along_series(bars, ("open", "high", "low", "close", "volume"), _patterns, ("alignment", "breakout", "candle", "adx", "score"))
+    named = lambda c, names: F.get(F.array(*map(F.lit, names)), F.col(c).cast("int")).alias(c)
+    return found.select("code", "date", named("alignment", ALIGNMENTS), named("breakout", BREAKOUTS), named("candle", CANDLES), "adx", "score")
 
 
 def reversal_scores(bars: DataFrame, limit_pct: float | Column = 9.5) -> DataFrame:
