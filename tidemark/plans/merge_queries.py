@@ -172,13 +172,16 @@ def asof_point_in_time(spark, d):
     """What was known at a date: rows count from the day they became available, and the newest report among them is taken."""
     from pyspark.sql import Window
 
-    o = B.read(spark, d, "orders")
-    f = o.where("o_orderstatus = 'F'").select(c("o_custkey").alias("code"), F.to_date("o_orderdate").alias("report_date"), F.date_add(F.to_date("o_orderdate"), 30).alias("available"))
+    o, lines = B.read(spark, d, "orders"), B.read(spark, d, "lineitem")
+    n = B.pieces(lines)
+    f = o.where("o_orderstatus = 'F'").select(c("o_custkey").alias("code"), F.to_date("o_orderdate").alias("report_date"), F.date_add(F.to_date("o_orderdate"), 30).alias("available")).repartition(n, "code")
     known = Window.partitionBy("code").orderBy("available").rangeBetween(Window.unboundedPreceding, 0)
     f = f.withColumns({"newest": F.max("report_date").over(known), "n_known": F.count("report_date").over(known)}).select("code", "available", c("newest").alias("report_date"), "n_known").distinct()
-    q = B.read(spark, d, "lineitem").where("l_returnflag = 'R'").join(o, c("l_orderkey") == c("o_orderkey")).select(c("l_orderkey").alias("id"), c("l_linenumber").alias("line"), c("l_partkey").alias("part"), c("o_custkey").alias("code"), F.to_date("l_shipdate").alias("as_of"))
+    # Lines are dealt by order once: that deals what is distinct too.
+    returned = lines.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("l_shipdate").alias("as_of")).repartition(n, "l_orderkey")
+    q = returned.join(o.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), c("l_orderkey") == c("o_orderkey")).select(c("l_orderkey").alias("id"), c("l_linenumber").alias("line"), c("l_partkey").alias("part"), c("o_custkey").alias("code"), "as_of")
     q = q.distinct()
-    return asof.backward(q, f, "code", "as_of", "available").select("id", "line", "part", "code", "as_of", "report_date", F.coalesce("n_known", F.lit(0)).alias("n_known"))
+    return asof.backward(q, f, "code", "as_of", "available", pieces=n).select("id", "line", "part", "code", "as_of", "report_date", F.coalesce("n_known", F.lit(0)).alias("n_known"))
 
 
 # Cross-sections of the daily bars; the market segment of a customer stands for the sector.

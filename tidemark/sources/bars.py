@@ -12,10 +12,19 @@ from pyspark.sql import functions as F
 from tidemark.functions.panel import finite
 
 
+#: Rows of a table that one task is to have.
+ROWS_A_PIECE = 1_000_000
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def pieces(table: DataFrame) -> int:
+    """In how many partitions a stored table is to be dealt, so that what one task holds does not grow with it (Parquet counts by its footers)."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, table.count() // ROWS_A_PIECE + 1)
+
+
 def _bars(trades: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One bar for each key of ``trades`` (price, size, and an order within the key).
 
