@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from tests.conftest import SMALL, as_rows
 from tidemark.sources import bars as B
+from tidemark.sources.versions import Versions
 
 
 def test_reports_known_at_a_date_are_dealt_by_the_size_of_the_table(spark, duck, monkeypatch):
@@ -14,3 +18,19 @@ def test_reports_known_at_a_date_are_dealt_by_the_size_of_the_table(spark, duck,
     got = __spark_entry__.queries()["asof_point_in_time"](spark, SMALL)
     assert pieces > 4 and got.rdd.getNumPartitions() == pieces
     assert as_rows(got.toPandas()) == as_rows(duck.execute(__spark_entry__.oracle_sql()["asof_point_in_time"]).df())
+
+
+@pytest.mark.parametrize("stored_first", [False, True])
+def test_rows_that_are_merged_are_made_once(spark, tmp_path, stored_first):
+    t = Versions(spark, f"file://{tmp_path}/t", "code string, n long, day string", ("day",))
+    t.replace(spark.createDataFrame([("a", 1, "d1"), ("b", 2, "d1"), ("a", 3, "d2")], "code string, n long, day string"))
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda n: made.add(1) or n, "long").asNondeterministic()
+    t.merge(spark.createDataFrame([("a", 10, "d1"), ("c", 30, "d1"), ("c", 40, "d3")], "code string, n long, day string").withColumn("n", seen("n")), "code", stored_first=stored_first)
+    assert made.value == 3
+    assert {tuple(r) for r in t.read().collect()} == {("a", 1 if stored_first else 10, "d1"), ("b", 2, "d1"), ("c", 30, "d1"), ("a", 3, "d2"), ("c", 40, "d3")}
+    # A partition whose files lie in two writes is replaced, and dropped, as one.
+    t.replace(spark.createDataFrame([("z", 9, "d1")], "code string, n long, day string"))
+    assert {tuple(r) for r in t.read().collect()} == {("z", 9, "d1"), ("a", 3, "d2"), ("c", 40, "d3")}
+    t.vacuum()
+    assert t.read().count() == 3

@@ -124,7 +124,8 @@ def _monthly(bars):
 def ordered(spark, d):
     lines = B.read(spark, d, "lineitem").join(B.read(spark, d, "orders").select(c("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("date")), "l_orderkey")
     price = B.finite(c("l_extendedprice"))
-    return lines.where(price.isNotNull()).groupBy(c("l_suppkey").alias("code"), "date").agg(F.max(price).alias("high"), F.min(price).alias("low"), F.sum("l_quantity").alias("volume"))
+    # As for bars: lines are narrower than states, and few share a supplier and a day.
+    return lines.where(price.isNotNull()).repartition("l_suppkey").groupBy(c("l_suppkey").alias("code"), "date").agg(F.max(price).alias("high"), F.min(price).alias("low"), F.sum("l_quantity").alias("volume"))
 
 
 @register(

@@ -56,51 +56,68 @@ class Versions:
     def _commit(self, live: DataFrame, before: int) -> int:
         # A row without a write keeps a version that lists nothing; one file, so that the version is there whole or not at all.
         mark = self.spark.createDataFrame([(None,) * (1 + len(self.by))], live.schema)
-        live.unionByName(mark).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/versions/version={before + 1}")
+        live.unionByName(mark).repartition(1).write.mode("errorifexists").parquet(f"{self.path}/versions/version={before + 1}")
         return before + 1
 
     # Reading.
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; the scan is pruned to the partitions that it lists."""
-        live = self.live(version)
+        return self._of(self.live(version))
+
+    def _of(self, live: DataFrame) -> DataFrame:
+        """The rows of the writes and partitions in ``live``."""
         writes = [r[0] for r in live.select("write").distinct().collect()]  # one for each write that still counts
         if not writes:
             return self.empty()
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields) + ", `write` string"
-        rows = self.spark.read.schema(kinds).parquet(f"{self.path}/data").where(F.col("write").isin(writes))
-        return rows.join(live, ["write", *self.by], "left_semi").select(*self.columns)
+        return self._rows(*writes).join(live, ["write", *self.by], "left_semi").select(*self.columns)
 
     # Upkeep; each returns the version it made, or the newest if there was nothing to do.
 
-    def replace(self, rows: DataFrame) -> int:
-        """The partitions that ``rows`` touch become these rows; the others stay."""
-        before = self.current()
-        rows = rows.select(*self.columns)
+    def _put(self, rows: DataFrame) -> DataFrame:
+        """Store ``rows`` as a write that no version lists yet; what ``live`` says of it."""
         write = uuid.uuid4().hex
-        checked = rows
+        checked = rows.select(*self.columns)
         for c in self.by:
             checked = checked.withColumn(c, F.coalesce(c, F.raise_error(F.lit(f"{c} is NULL in a row")).cast("string")))
         checked.repartition(*self.by).write.partitionBy(*self.by).parquet(f"{self.path}/data/write={write}")
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
-        made = self.spark.read.schema(kinds).parquet(f"{self.path}/data/write={write}").select(*self.by).distinct().withColumn("write", F.lit(write))
+        return self._rows(write).select("write", *self.by).distinct()
+
+    def _rows(self, *writes: str) -> DataFrame:
+        """Everything in ``writes``, with ``write``."""
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields) + ", `write` string"
+        return self.spark.read.schema(kinds).parquet(f"{self.path}/data").where(F.col("write").isin(*writes))
+
+    def replace(self, rows: DataFrame) -> int:
+        """The partitions that ``rows`` touch become these rows; the others stay."""
+        before = self.current()
+        made = self._put(rows)
         if not made.limit(1).count():
             return before
         old = self.live(before).join(made.select(*self.by), list(self.by), "left_anti")
         return self._commit(old.unionByName(made), before)
 
     def merge(self, rows: DataFrame, *keys: str, stored_first: bool = False) -> int:
-        """Rows join those of their partitions; of rows of one key (NULLs are equal) the new one stays, or the stored one with ``stored_first``."""
-        rows = rows.select(*self.columns)
-        touched = rows.select(*self.by).distinct()
-        stored = self.read().join(touched, list(self.by), "left_semi")
-        first, second = (stored, rows) if stored_first else (rows, stored)
-        same = None
-        taken = first.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+        """Rows join those of their partitions; of rows of one key (NULLs are equal) the new one stays, or the stored one with ``stored_first``.
+
+        ``rows`` are made once, and stored. What gives way to the other side's keys is left out of one more write; the side that comes first
+        keeps its files, so a partition may have files in several writes.
+        """
+        before = self.current()
+        new = self._put(rows)
+        if not new.limit(1).count():
+            return before
+        live = self.live(before)
+        touched = new.select(*self.by)
+        kept, old = live.join(touched, list(self.by), "left_anti"), live.join(touched, list(self.by), "left_semi")
+        stored, added = self._of(old), self._of(new)
+        first, second = (stored, added) if stored_first else (added, stored)
+        same = F.lit(True)
+        taken = first.select(*(F.col(k).alias(f"__{k}") for k in keys))
         for k in keys:
-            here = second[k].eqNullSafe(taken[f"__{k}"])
-            same = here if same is None else same & here
-        return self.replace(first.unionByName(second.join(taken, same, "left_anti")))
+            same = same & second[k].eqNullSafe(taken[f"__{k}"])
+        rest = self._put(second.join(taken, same, "left_anti"))
+        return self._commit(kept.unionByName(old if stored_first else new).unionByName(rest), before)
 
     def drop(self, partitions: DataFrame) -> int:
         """Leave out the partitions named in ``partitions``, by any of the partition columns it has."""
