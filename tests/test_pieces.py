@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.conftest import SMALL, as_rows
+from tidemark.operators import reports
 from tidemark.sources import bars as B
 from tidemark.sources.versions import Versions
 
@@ -34,3 +35,41 @@ def test_rows_that_are_merged_are_made_once(spark, tmp_path, stored_first):
     assert {tuple(r) for r in t.read().collect()} == {("z", 9, "d1"), ("a", 3, "d2"), ("c", 40, "d3")}
     t.vacuum()
     assert t.read().count() == 3
+
+
+DAYS = 47
+
+
+@pytest.fixture(scope="module")
+def series(spark):
+    """Two series of uneven closes, and one with gaps."""
+    rows = [(code, d, 10.0 + (d * k) % 7, 11.0 + (d * k) % 9, 9.0 + (d * k) % 5, None if k == 5 and d % 6 == 0 else 10.0 + (d * d * k) % 11, float(100 + (d * k) % 13)) for code, k in (("a", 3), ("b", 4), ("c", 5)) for d in range(DAYS)]
+    return spark.createDataFrame(rows, "code string, date int, open double, high double, low double, close double, volume double")
+
+
+def sorts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Sort [")
+
+
+def test_trades_get_their_states_in_one_pass(spark, series):
+    """As the join of returns with states, but of one shuffle and one sort."""
+    from pyspark.sql import Window
+
+    s = Window.partitionBy("code").orderBy("date")
+    bars = series.where("close is not null")
+    smooth = bars.select("code", "date", F.avg("close").over(s.rowsBetween(-3, 0)).alias("close"))
+    returns = bars.where("close > 0").select("code", "date", ((F.lead("close", 5).over(s) / F.col("close") - 1) * 100).alias("ret_pct"))
+    want = returns.join(reports.market_states(smooth, "code"), ["code", "date"])
+    got = reports.returns_in_states(series, 5, smooth=4)
+    key = lambda r: (r.code, r.date)
+    assert sorted(got.select("code", "date", "state", "ret_pct").collect(), key=key) == sorted(want.select("code", "date", "state", "ret_pct").collect(), key=key)
+    assert sorts(got) == 1
+    own = {r.state: r.asDict() for r in reports.trades_by_state(got).collect()}
+    assert own == {r.state: r.asDict() for r in reports.trades_by_state(returns, reports.market_states(smooth, "code"), "code", "date").collect()} and len(own) > 1
+
+
+def test_states_of_series_by_two_keys(spark, series):
+    two = series.select(F.col("code").alias("k"), (F.col("date") % 2).alias("j"), F.col("date").alias("t"), "close")
+    got = {(r.k, r.j, r.t): r.state for r in reports.market_states(two, "k", "j", order="t").collect()}
+    one = series.select(F.concat("code", (F.col("date") % 2).cast("string")).alias("code"), "date", "close")
+    assert got == {(r.code[0], int(r.code[1]), r.date): r.state for r in reports.market_states(one, "code").collect()} and len(got) == series.where("close is not null").count()

@@ -25,20 +25,20 @@ P = Panel()
 Fields = dict[str, np.ndarray]
 
 
-def whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Sorted rows (their first column is the code) as tables of whole series, and the rows' numbers in their series from 1."""
+def whole_series(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows (their first ``keys`` columns are the code) as tables of whole series, and the rows' numbers in their series from 1."""
     kept: list[pa.RecordBatch] = []
 
     def numbered(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
         rows = pa.Table.from_batches(parts)
         at = np.arange(len(rows))
-        return rows, at - np.maximum.accumulate(np.where(_begins(rows.column(0)), at, 0)) + 1
+        return rows, at - np.maximum.accumulate(np.where(_begins(rows.columns[:keys]), at, 0)) + 1
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        before = [kept[-1].column(0)[-1:]] if kept else []
-        starts = np.flatnonzero(_begins(pa.chunked_array([*before, batch.column(0)]))[len(before) :])
+        before = [kept[-1].slice(kept[-1].num_rows - 1)] if kept else []
+        starts = np.flatnonzero(_begins(pa.Table.from_batches([*before, batch]).columns[:keys])[len(before) :])
         if kept and not len(starts):
             kept.append(batch)
             continue
@@ -50,24 +50,31 @@ def whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
         yield numbered(kept)
 
 
-def _begins(codes: pa.ChunkedArray) -> np.ndarray:
+def _begins(keys: list[pa.ChunkedArray]) -> np.ndarray:
     """Where a series begins; the first row begins one."""
-    code = codes.combine_chunks().dictionary_encode(null_encoding="encode")
-    code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
-    return np.concatenate([[True], code[1:] != code[:-1]])
+    begins = np.zeros(len(keys[0]), bool)
+    begins[:1] = True
+    for codes in keys:
+        code = codes.combine_chunks().dictionary_encode(null_encoding="encode")
+        code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
+        begins[1:] |= code[1:] != code[:-1]
+    return begins
 
 
-def along_series(bars: DataFrame, columns: tuple[str, ...], fields: Callable[[Fields, np.ndarray], Fields], names: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
-    """``code, date``, the columns ``keep`` and ``names``: what ``fields`` makes of whole series of ``columns`` and their rows' numbers."""
+def along_series(
+    bars: DataFrame, columns: tuple[str, ...], fields: Callable[[Fields, np.ndarray], Fields], names: tuple[str, ...], keep: tuple[str, ...] = (), by: tuple[str, ...] = ("code",), order: str = "date"
+) -> DataFrame:
+    """``by, order`` (``code, date``), the columns ``keep`` and ``names``: what ``fields`` makes of whole series of ``columns`` and their rows' numbers."""
+    keys = [*by, order]
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, i in whole_series(batches):
+        for rows, i in whole_series(batches, len(by)):
             with np.errstate(all="ignore"):
                 found = fields({c: doubles(rows.column(c)) for c in columns}, i)
-            yield from pa.table([rows.column(0), rows.column(1), *(rows.column(c) for c in keep), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in names)], ["code", "date", *keep, *names]).combine_chunks().to_batches()
+            yield from pa.table([*(rows.column(k) for k in (*keys, *keep)), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in names)], [*keys, *keep, *names]).combine_chunks().to_batches()
 
-    series = bars.select("code", "date", *(F.col(c).cast("double") for c in columns)).repartition("code").sortWithinPartitions("code", "date")
-    return series.mapInArrow(passed, StructType([series.schema["code"], series.schema["date"], *(StructField(n, DoubleType()) for n in (*keep, *names))]))
+    series = bars.select(*keys, *(F.col(c).cast("double") for c in columns)).repartition(*by).sortWithinPartitions(*keys)
+    return series.mapInArrow(passed, StructType([*(series.schema[k] for k in keys), *(StructField(n, DoubleType()) for n in (*keep, *names))]))
 
 
 def of_rows(known: np.ndarray, i: np.ndarray) -> np.ndarray:
