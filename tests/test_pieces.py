@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.conftest import SMALL, as_rows
-from tidemark.operators import reports
+from tidemark.operators import reports, trends
 from tidemark.sources import bars as B
 from tidemark.sources.versions import Versions
 
@@ -73,3 +73,22 @@ def test_states_of_series_by_two_keys(spark, series):
     got = {(r.k, r.j, r.t): r.state for r in reports.market_states(two, "k", "j", order="t").collect()}
     one = series.select(F.concat("code", (F.col("date") % 2).cast("string")).alias("code"), "date", "close")
     assert got == {(r.code[0], int(r.code[1]), r.date): r.state for r in reports.market_states(one, "code").collect()} and len(got) == series.where("close is not null").count()
+
+
+def test_weeks_are_scored_in_one_pass(series):
+    got = trends.weekly_scores(series)
+    assert sorts(got) == 1
+    rows = {(r.code, r.date): r for r in got.collect()}
+    close = {(r.code, r.date): r.close for r in series.collect()}
+    volume = {(r.code, r.date): r.volume for r in series.collect()}
+    assert len(rows) == 3 * DAYS
+    for (code, d), r in rows.items():
+        last = (d // 5 - 4) * 5 + 4  # the last row of the fourth week before
+        want = (close[code, d] / close[code, last] - 1) * 100 if d >= 20 and close[code, d] is not None and close[code, last] else None
+        assert (r.momentum_4w is None and want is None) or abs(r.momentum_4w - want) < 1e-9
+        first = d // 5 * 5
+        if d >= 35:
+            now, before = (sum(volume[code, n] for n in span) for span in (range(first - 15, d + 1), range(first - 35, first - 15)))
+            assert abs(r.volume_trend - (now / before - 1) * 100) < 1e-9
+        else:
+            assert r.volume_trend is None

@@ -165,26 +165,46 @@ def against_index(bars: DataFrame, index: DataFrame, window: int = 20, residual_
     return b.select("code", "date", "excess_pct", F.when(F.col("excess_pct").isNotNull(), stepped(F.col("excess_pct"), EXCESS)).alias("strength"), "residual_pct", idio.alias("idiosyncratic"))
 
 
+def _cases(*cases: tuple[np.ndarray, float], otherwise: float = 50.0) -> np.ndarray:
+    """``_first`` for values in a task."""
+    return np.select([holds for holds, _ in cases], [float(v) for _, v in cases], float(otherwise))
+
+
+def _weekly(x: technical.Fields, i: np.ndarray, days: int) -> technical.Fields:
+    """What ``weekly_scores`` gives, along whole series."""
+    c, v = x["close"], x["volume"]
+    at, week, day = np.arange(len(c)), (i - 1) // days, (i - 1) % days
+    absent = lambda a: np.where(a == 0, np.nan, a)
+    # A week's last row is day + 1 + days * (k - 1) rows before today's for the k-th week before.
+    whole = technical.total(v, i, days)[0]
+
+    def ended(a: np.ndarray, k: int) -> np.ndarray:
+        return np.where(week >= k, a[np.maximum(at - day - 1 - days * (k - 1), 0)], np.nan)
+
+    def added(a: np.ndarray, far: int, near: int) -> np.ndarray:
+        """The sum over the weeks from ``far`` to ``near`` before; NaN if none is there."""
+        values = [ended(a, k) for k in range(far, near - 1, -1)]
+        known = [~np.isnan(y) for y in values]
+        return np.where(np.any(known, axis=0), sum(np.where(there, y, 0.0) for there, y in zip(known, values)), np.nan)
+
+    mean = lambda k: np.where(week >= k - 1, (c + added(c, k - 1, 1)) / k, np.nan)
+    grown = lambda k: (c / absent(ended(c, k)) - 1) * 100
+    so_far = [np.where(k <= day, technical.ago(v, i, k), np.nan) for k in range(days - 1, -1, -1)]
+    this_week = np.where(np.any([~np.isnan(y) for y in so_far], axis=0), sum(np.nan_to_num(y, nan=0.0) for y in so_far), np.nan)
+    volume_trend = np.where(week >= 7, ((this_week + added(whole, 3, 1)) / absent(added(whole, 7, 4)) - 1) * 100, np.nan)
+    m4, m8 = grown(4), grown(8)
+    a, z = absent(mean(5)), absent(mean(10))
+    trend = _cases(((a > z) & (c > a), 80), ((a < z) & (c < a), 25), (~np.isnan(z) & (c > a), 65), (~np.isnan(z) & (c < a), 38))
+    place = _cases((c > a * 1.05, 72), (c > a, 60), (c < a * 0.95, 28), (c < a, 40))
+    moved = _scored(m4, WEEK_MOMENTUM)
+    agree = _cases(((trend > 65) & (moved > 60), 5), ((trend < 35) & (moved < 40), -3), otherwise=0)
+    total = 0.35 * trend + 0.25 * place + 0.25 * moved + 0.15 * _scored(volume_trend, WEEK_VOLUME) + agree
+    return {"momentum_4w": m4, "momentum_8w": m8, "volume_trend": volume_trend, "score": np.where(week >= 2, places(np.clip(total, 0.0, 100.0) + 1e-9, 1), np.nan)}
+
+
 def weekly_scores(bars: DataFrame, days: int = 5) -> DataFrame:
-    """``code, date, momentum_4w, momentum_8w, volume_trend, score`` of weeks of ``days`` rows from an entity's first, the last of which may be shorter."""
-    by_week = Window.partitionBy("code").orderBy("week")
-    b = bars.select("code", "date", "close", "volume").withColumn("n", _rows())
-    b = b.withColumn("week", F.floor((F.col("n") - 1) / days)).withColumn("ended", F.when(F.col("n") % days == 0, F.col("close")))
-    ago = lambda k: F.max("ended").over(by_week.rangeBetween(-k, -k))
-    mean = lambda k: F.when(F.col("week") >= k - 1, (F.col("close") + F.sum("ended").over(by_week.rangeBetween(1 - k, -1))) / k)
-    traded = lambda a, z: F.sum("volume").over(by_week.rangeBetween(a, z))
-    this_week = F.sum("volume").over(Window.partitionBy("code", "week").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    grown = lambda k: F.when((F.col("week") >= k) & (ago(k) != 0), (F.col("close") / F.nullif(ago(k), F.lit(0.0)) - 1) * 100)
-    recent, earlier = this_week + traded(-3, -1), traded(-7, -4)
-    b = b.withColumns({"ma5": mean(5), "ma10": mean(10), "momentum_4w": grown(4), "momentum_8w": grown(8), "volume_trend": F.when((F.col("week") >= 7) & (earlier != 0), (recent / F.nullif(earlier, F.lit(0.0)) - 1) * 100)})
-    x, a, z = F.col("close"), F.nullif("ma5", F.lit(0.0)), F.nullif("ma10", F.lit(0.0))
-    trend = _first(((a > z) & (x > a), 80), ((a < z) & (x < a), 25), (z.isNotNull() & (x > a), 65), (z.isNotNull() & (x < a), 38))
-    place = _first((x > a * 1.05, 72), (x > a, 60), (x < a * 0.95, 28), (x < a, 40))
-    b = b.withColumns({"trend": trend, "moved": stepped(F.col("momentum_4w"), WEEK_MOMENTUM)})
-    agree = _first(((F.col("trend") > 65) & (F.col("moved") > 60), 5), ((F.col("trend") < 35) & (F.col("moved") < 40), -3), otherwise=0)
-    total = 0.35 * F.col("trend") + 0.25 * place + 0.25 * F.col("moved") + 0.15 * stepped(F.col("volume_trend"), WEEK_VOLUME) + agree
-    score = F.when(F.col("week") >= 2, _tenth(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))))
-    return b.select("code", "date", "momentum_4w", "momentum_8w", "volume_trend", score.alias("score"))
+    """``code, date, momentum_4w, momentum_8w, volume_trend, score`` of weeks of ``days`` rows from an entity's first, the last of which may be shorter. One pass along each series."""
+    return technical.along_series(bars, ("close", "volume"), lambda x, i: _weekly(x, i, days), ("momentum_4w", "momentum_8w", "volume_trend", "score"))
 
 
 def _adx(x: technical.Fields, i: np.ndarray, period: int = 14) -> tuple[np.ndarray, np.ndarray]:
