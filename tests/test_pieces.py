@@ -92,3 +92,15 @@ def test_weeks_are_scored_in_one_pass(series):
             assert abs(r.volume_trend - (now / before - 1) * 100) < 1e-9
         else:
             assert r.volume_trend is None
+
+
+def test_reversals_are_scored_in_one_pass(series):
+    got = trends.reversal_scores(series, 9.5)
+    assert sorts(got) == 1
+    rows = {(r.code, r.date): r for r in got.collect()}
+    close = {(r.code, r.date): r.close for r in series.collect()}
+    assert len(rows) == 3 * DAYS
+    for (code, d), r in rows.items():
+        up = [bool(n and close[code, n - 1] and close[code, n] and (close[code, n] / close[code, n - 1] - 1) * 100 >= 9.5) for n in range(max(d - 19, 0), d + 1)]
+        run = max(len(part) for part in "".join("1" if u else "0" for u in up).split("0"))
+        assert (r.limit_ups, r.limit_run) == (sum(up), run) and (r.score is None) == (d < 4)

@@ -304,28 +304,47 @@ def pattern_scores(bars: DataFrame) -> DataFrame:
     return found.select("code", "date", named("alignment", ALIGNMENTS), named("breakout", BREAKOUTS), named("candle", CANDLES), "adx", "score")
 
 
+def _reversals(x: technical.Fields, i: np.ndarray) -> technical.Fields:
+    """What ``reversal_scores`` gives, along whole series."""
+    o, h, l, c, limit = (x[k] for k in ("open", "high", "low", "close", "__limit"))  # noqa: E741
+    before = technical.ago(c, i)
+    change = np.nan_to_num(np.where(before > 0, (c / before - 1) * 100, np.nan), nan=0.0, posinf=np.inf, neginf=-np.inf)
+    known = lambda hit, *needs: np.where(np.isnan(sum(needs)), np.nan, hit)
+    up, down = known(change >= limit, limit), known(change <= -limit, limit)
+    ups, downs = technical.total(up, i, 20)[0], technical.total(down, i, 20)[0]
+    now, run = np.zeros(len(c)), np.zeros(len(c))
+    for k in range(19, -1, -1):
+        v = technical.ago(up, i, k)
+        now = np.where(np.isnan(v), now, (now + 1) * v)
+        run = np.maximum(run, now)
+    low = technical.extreme(l, i, 20, np.fmin)
+    span = technical.extreme(h, i, 20, np.fmax) - low
+    place = np.where(i >= 5, np.where(span == 0, 50.0, (c - low) / span * 100), np.nan)
+    amp = np.where(c > 0, (h - l) / c * 100, np.nan)
+    summed, count = technical.total(amp, i, 10)
+    last, first = amp, technical.ago(amp, i, 9)
+    for k in range(1, 10):
+        last = np.where(np.isnan(last), technical.ago(amp, i, k), last)
+        first = np.where(np.isnan(first), technical.ago(amp, i, 9 - k), first)
+    amplitude, trend = (np.where(i >= 5, places(v, 2), np.nan) for v in (summed / count, last - first))
+    gaps_up, gaps_down = (technical.total(known(hit, o, before), i, 10)[0] for hit in (o > before * 1.01, o < before * 0.99))
+    both = gaps_up + gaps_down
+    share = places(gaps_up / np.where(both == 0, np.nan, both), 2)
+    share = np.where(np.isnan(share), 0.5, share)
+    limits = _scored(ups, [(">=", 3, 25), (">=", 2, 38), (">=", 1, 52)])
+    limits = np.where(downs >= 2, np.maximum(limits, 72.0), np.where(downs == 1, np.maximum(limits, 58.0), limits))
+    spans = np.where(np.isnan(amplitude), 50.0, _cases(((trend > 2) & (amplitude > 5), 35), ((trend < -2) & (amplitude < 3), 58), ((trend > 0) & (amplitude < 4), 52), otherwise=48))
+    total = 0.25 * limits + 0.2 * _scored(run, [(">=", 3, 20), (">=", 2, 38), (">=", 1, 52)], 60) + 0.25 * _scored(place, PLACE_IN_RANGE) + 0.15 * spans + 0.15 * _scored(share, GAP_SHARE)
+    score = np.where(i >= 5, places(total + 1e-9, 1), np.nan)
+    return {"limit_ups": ups, "limit_downs": downs, "limit_run": run, "place": place, "amplitude": amplitude, "amplitude_trend": trend, "gap_share": share, "score": score}
+
+
 def reversal_scores(bars: DataFrame, limit_pct: float | Column = 9.5) -> DataFrame:
-    """``limit_pct`` is one limit for all, or an expression over ``bars`` (by board and name: ``scalars.limit_pct``). ``code, date, limit_ups, limit_downs, limit_run, place, amplitude, amplitude_trend, gap_share, score``: days at the limits among 20, the place in their range, and spans and gaps of ten rows."""
-    s = P.series
-    change = F.coalesce(_change(), F.lit(0.0))
+    """``limit_pct`` is one limit for all, or an expression over ``bars`` (by board and name: ``scalars.limit_pct``). ``code, date, limit_ups, limit_downs, limit_run, place, amplitude, amplitude_trend, gap_share, score``: days at the limits among 20, the place in their range, and spans and gaps of ten rows. One pass along each series."""
     limit = limit_pct if isinstance(limit_pct, Column) else F.lit(limit_pct)
-    b = bars.select("code", "date", "open", "high", "low", "close", limit.alias("limit"))
-    b = b.withColumns({"n": _rows(), "up": (change >= F.col("limit")).cast("int"), "down": (change <= -F.col("limit")).cast("int"), "before": F.lag("close").over(s)})
-    span, low = F.max("high").over(_last(20)) - F.min("low").over(_last(20)), F.min("low").over(_last(20))
-    b = b.withColumns({"amp": F.when(F.col("close") > 0, (F.col("high") - F.col("low")) / F.nullif("close", F.lit(0.0)) * 100), "opened_up": (F.col("open") > F.col("before") * 1.01).cast("int"), "opened_down": (F.col("open") < F.col("before") * 0.99).cast("int"), "span": span, "low20": low})
-    run = F.aggregate(F.collect_list("up").over(_last(20)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, v: F.struct(((a["now"] + 1) * v).alias("now"), F.greatest(a["most"], (a["now"] + 1) * v).alias("most")))["most"]
-    gaps_up, gaps_down = F.sum("opened_up").over(_last(10)), F.sum("opened_down").over(_last(10))
-    b = b.withColumns({
-        "limit_ups": F.sum("up").over(_last(20)), "limit_downs": F.sum("down").over(_last(20)), "limit_run": run, "place": F.when(F.col("n") >= 5, F.when(F.col("span") == 0, F.lit(50.0)).otherwise((F.col("close") - F.col("low20")) / F.nullif("span", F.lit(0.0)) * 100)),
-        "amplitude": F.when(F.col("n") >= 5, F.round(F.avg("amp").over(_last(10)), 2)), "amplitude_trend": F.when(F.col("n") >= 5, F.round(F.last("amp", ignorenulls=True).over(_last(10)) - F.first("amp", ignorenulls=True).over(_last(10)), 2)),
-        "gap_share": F.coalesce(F.round(gaps_up / F.nullif(gaps_up + gaps_down, F.lit(0)), 2), F.lit(0.5)),
-    })
-    ups, downs, runs = F.col("limit_ups"), F.col("limit_downs"), F.col("limit_run")
-    limits = stepped(ups, [(">=", 3, 25), (">=", 2, 38), (">=", 1, 52)])
-    limits = F.when(downs >= 2, F.greatest(limits, F.lit(72.0))).when(downs == 1, F.greatest(limits, F.lit(58.0))).otherwise(limits)
-    spans = F.when(F.col("amplitude").isNotNull(), _first(((F.col("amplitude_trend") > 2) & (F.col("amplitude") > 5), 35), ((F.col("amplitude_trend") < -2) & (F.col("amplitude") < 3), 58), ((F.col("amplitude_trend") > 0) & (F.col("amplitude") < 4), 52), otherwise=48)).otherwise(F.lit(50.0))
-    total = 0.25 * limits + 0.2 * stepped(runs, [(">=", 3, 20), (">=", 2, 38), (">=", 1, 52)], 60) + 0.25 * stepped(F.col("place"), PLACE_IN_RANGE) + 0.15 * spans + 0.15 * stepped(F.col("gap_share"), GAP_SHARE)
-    return b.select("code", "date", "limit_ups", "limit_downs", "limit_run", "place", "amplitude", "amplitude_trend", "gap_share", F.when(F.col("n") >= 5, _tenth(total)).alias("score"))
+    names = ("limit_ups", "limit_downs", "limit_run", "place", "amplitude", "amplitude_trend", "gap_share", "score")
+    found = technical.along_series(bars.withColumn("__limit", limit), ("open", "high", "low", "close", "__limit"), _reversals, names)
+    return found.withColumns({n: F.col(n).cast("long") for n in names[:2]} | {"limit_run": F.col("limit_run").cast("int")})
 
 
 def tail_scores(slots: DataFrame, minutes: int = 30, slope_minutes: int = 15, slot_minutes: int = 5) -> DataFrame:
