@@ -75,6 +75,11 @@ def test_states_of_series_by_two_keys(spark, series):
     assert got == {(r.code[0], int(r.code[1]), r.date): r.state for r in reports.market_states(one, "code").collect()} and len(got) == series.where("close is not null").count()
 
 
+def test_states_of_one_series_without_keys(series):
+    one = series.where("code = 'b'")
+    assert sorted(reports.market_states(one.drop("code")).collect()) == sorted(reports.market_states(one, "code").drop("code").collect())
+
+
 def test_weeks_are_scored_in_one_pass(series):
     got = trends.weekly_scores(series)
     assert sorts(got) == 1

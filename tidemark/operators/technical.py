@@ -32,13 +32,13 @@ def whole_series(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[t
     def numbered(parts: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
         rows = pa.Table.from_batches(parts)
         at = np.arange(len(rows))
-        return rows, at - np.maximum.accumulate(np.where(_begins(rows.columns[:keys]), at, 0)) + 1
+        return rows, at - np.maximum.accumulate(np.where(_begins(rows, keys), at, 0)) + 1
 
     for batch in batches:
         if not batch.num_rows:
             continue
         before = [kept[-1].slice(kept[-1].num_rows - 1)] if kept else []
-        starts = np.flatnonzero(_begins(pa.Table.from_batches([*before, batch]).columns[:keys])[len(before) :])
+        starts = np.flatnonzero(_begins(pa.Table.from_batches([*before, batch]), keys)[len(before) :])
         if kept and not len(starts):
             kept.append(batch)
             continue
@@ -50,11 +50,11 @@ def whole_series(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[t
         yield numbered(kept)
 
 
-def _begins(keys: list[pa.ChunkedArray]) -> np.ndarray:
+def _begins(rows: pa.Table, keys: int) -> np.ndarray:
     """Where a series begins; the first row begins one."""
-    begins = np.zeros(len(keys[0]), bool)
+    begins = np.zeros(len(rows), bool)
     begins[:1] = True
-    for codes in keys:
+    for codes in rows.columns[:keys]:
         code = codes.combine_chunks().dictionary_encode(null_encoding="encode")
         code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False)
         begins[1:] |= code[1:] != code[:-1]
@@ -64,7 +64,7 @@ def _begins(keys: list[pa.ChunkedArray]) -> np.ndarray:
 def along_series(
     bars: DataFrame, columns: tuple[str, ...], fields: Callable[[Fields, np.ndarray], Fields], names: tuple[str, ...], keep: tuple[str, ...] = (), by: tuple[str, ...] = ("code",), order: str = "date"
 ) -> DataFrame:
-    """``by, order`` (``code, date``), the columns ``keep`` and ``names``: what ``fields`` makes of whole series of ``columns`` and their rows' numbers."""
+    """``by, order`` (``code, date``), the columns ``keep`` and ``names``: what ``fields`` makes of whole series of ``columns`` and their rows' numbers. Without ``by`` all rows are one series."""
     keys = [*by, order]
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def along_series(
                 found = fields({c: doubles(rows.column(c)) for c in columns}, i)
             yield from pa.table([*(rows.column(k) for k in (*keys, *keep)), *(pa.array(found[n], pa.float64(), from_pandas=True) for n in names)], [*keys, *keep, *names]).combine_chunks().to_batches()
 
-    series = bars.select(*keys, *(F.col(c).cast("double") for c in columns)).repartition(*by).sortWithinPartitions(*keys)
+    series = bars.select(*keys, *(F.col(c).cast("double") for c in columns)).repartition(*(by or (1,))).sortWithinPartitions(*keys)
     return series.mapInArrow(passed, StructType([*(series.schema[k] for k in keys), *(StructField(n, DoubleType()) for n in (*keep, *names))]))
 
 
