@@ -43,6 +43,18 @@ def test_zero_prices(spark, zeros, name):
     assert as_rows(got) == as_rows(want)
 
 
+def test_wide_prefix_of_zero_prices(spark, tmp_path):
+    """A low or an open of 0 is a price; what is divided by it is infinite, not left out."""
+    con = duckdb.connect()
+    con.execute(f"""copy (select i as event_id, timestamp '2024-01-01 09:30:00' + to_minutes(cast(i // 240 * 1440 + i % 240 * 3 // 2 as bigint)) + to_microseconds(i) as ts, i % 3 as user_id, 'view' as event_type,
+        case when hash(i // 240, 7) % 2 = 0 and i % 240 = 0 or i % 50 = 30 then 0.0 else hash(i) % 900 / 100 + 1 end as value, '' as props from range(1440) r(i)) to '{tmp_path}/events.parquet'""")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = registry.QUERIES["session_wide_prefix"](spark, str(tmp_path)).toPandas()
+    want = con.execute(registry.ORACLES["session_wide_prefix"]).df()
+    assert (want.bounce_from_low == float("inf")).any() and (want.ret_open_to_tau == float("inf")).any() and (want.ret_open_to_tau < 1e9).any()
+    assert as_rows(got) == as_rows(want)
+
+
 def test_rounded_to(spark):
     values = [182.34425, -182.34425, 2.675, 0.5, -0.5, 1e300, None]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", *(rounded_to(F.col("v"), d).alias(f"d{d}") for d in (0, 2, 4))).orderBy("i").collect()
