@@ -163,3 +163,19 @@ def test_recursive_series_are_one_pass_in_any_batches(spark, query):
         assert as_rows(of(bars).toPandas()) == want
     finally:
         spark.conf.set(size, usual)
+
+
+def test_high_water_takes_events_in_any_order_and_parts(spark, tmp_path):
+    """An entity's events come in parts (Arrow batches) that are in no order; times repeat."""
+    con = duckdb.connect()
+    con.execute(f"copy (select i as event_id, timestamp '2024-01-01' + to_seconds(cast((i * 37) % 101 as bigint)) as ts, i % 3 as user_id, 'view' as event_type, 1.0 as value, '' as props from range(400) r(i)) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.execute(registry.ORACLES["stream_high_water"]).df()
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "7")
+        got = registry.QUERIES["stream_high_water"](spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.set(size, usual)
+    assert as_rows(got) == as_rows(want) and want.n_late.min() > 0
