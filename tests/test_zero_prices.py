@@ -179,3 +179,26 @@ def test_high_water_takes_events_in_any_order_and_parts(spark, tmp_path):
     finally:
         spark.conf.set(size, usual)
     assert as_rows(got) == as_rows(want) and want.n_late.min() > 0
+
+
+def test_clock_pack_meets_its_slots_in_adaptive_plans(spark):
+    """Bars and slots come dealt by entity, and far more slots than bars: partitions that are put together adaptively must be the same of both."""
+    day = lambda i: date(2024, 1, 1) + timedelta(i)
+    bars = spark.createDataFrame([(k, day(i), 5.0 + i % 3, 9.0, 4.0, 6.0, 10.0) for k in range(12) for i in range(63)], "code int, date date, open double, high double, low double, close double, volume double")
+    slots = spark.createDataFrame([(k, day(i), 570 + m, 8.0, 5.0 - m % 2, 7.0, 1.0) for k in range(12) for i in range(60, 63) for m in range(1, 120)], "code int, date date, minute int, high double, low double, close double, volume double")
+    confs = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    usual = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        got = clock_pack.clock_pack(bars.repartition("code"), slots.repartition("code"), [580], (5,), digits=4, dates_as_text=True).where("OPEN0 is not null").toPandas()
+    finally:
+        for k, v in usual.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(got.date.unique()) == ["2024-03-01", "2024-03-02", "2024-03-03"] and len(got) == 36
+    assert (got.CLOSE0 < 1).all() and (got.RANGE_PCT > 0).all()
+
+
+def test_clock_pack_is_not_projected_again(spark):
+    """Each row of 227 columns is copied once: dates are made text in the tasks."""
+    assert registry.QUERIES["pack_clock"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
